@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, jaccard, language, lattice, mixing, quality, substrings, toxicity
+from . import decontaminate, html_text, jaccard, language, lattice, lines, mixing, quality, substrings, toxicity
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,8 +51,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_substrings, op2_html_text, op3_toxicity, op5_decontamination, op6_quality,
+    op1_substrings, op2_html_text, op3_toxicity, op4_line_dedup, op5_decontamination, op6_quality,
     op7_language, op8_jaccard, op9_lattice_lm, op10_mixing,
 )}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_line_dedup": lines.SQL}
