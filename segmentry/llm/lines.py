@@ -11,9 +11,9 @@ with it; lines are judged on the input, so what matches a removed line goes too.
     words. A semi-join on these, with the length filter, the positional filter and a parity filter (64 bits, each
     flipped by the words that hash to it: two lines differ in at least as many words as in bits), keeps the lines that
     may match any other; as a semi-join it makes no pairs.
-4.  These lines are verified word by word. Each list of a rare word first meets its earliest line, then its earliest
-    lines that nothing has matched yet; what is left after CENTRES rounds meets everything earlier that passes the
-    filters. So groups of near copies are settled by a few lines each and never make all their pairs, and nothing is cut.
+4.  These lines are verified word by word. The centre of a rare word's list is its earliest line, then the earliest that
+    nothing has matched yet; each line is verified against the earliest centre of its lists. What is left after CENTRES
+    rounds meets everything earlier that passes the filters. So groups of near copies are settled by a few lines each and never make all their pairs, and nothing is cut.
 
 Defined cases: null text stays null (0 lines); lines without a word are kept and match nothing; rows that share a
 doc_id (or have none) are documents of their own in order of text, equal ones counting as one (each result row is
@@ -29,7 +29,7 @@ from .common import keyed, small, written
 
 PERCENT = 80
 BITS = 17
-CENTRES = 3
+CENTRES = 2
 _AT = ["rid", "pos"]
 
 
@@ -55,11 +55,10 @@ def _sets(docs: DataFrame, percent: int, bits: int) -> DataFrame:
     """Each line with a word: rid, pos, size n, two hashes of its set, parity, and the codes of its prefix."""
     lines = docs.select("rid", F.posexplode(F.split(_plain("text"), "\n")).alias("pos", "line")).filter(F.trim("line") != "").withColumn("ranks", _ranks(docs, bits).scalar())
 
-    def code(word: Column) -> Column:
-        h = F.xxhash64(word)
+    def code(h: Column) -> Column:
         return F.shiftleft(F.get("ranks", h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")).cast("long"), 52).bitwiseOR(F.shiftrightunsigned(h, 12))
 
-    codes = lines.select(*_AT, F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split("line", " "), ""), code))).alias("codes"))
+    codes = lines.select(*_AT, F.sort_array(F.array_distinct(F.transform(F.transform(F.array_remove(F.split("line", " "), ""), lambda w: F.xxhash64(w)), code))).alias("codes"))
     n = F.size("codes")
     parity = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
     return codes.select(*_AT, n.alias("n"), F.xxhash64("codes").alias("one"), F.xxhash64(F.lit(percent), "codes").alias("two"), parity.alias("parity"), F.slice("codes", 1, n - F.ceil(n * percent / 100).cast("int") + 1).alias("prefix"))
@@ -113,8 +112,8 @@ def _verified(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
 def later_matches(docs: DataFrame, percent: int = PERCENT, bits: int = BITS, centres: int = CENTRES) -> DataFrame:
     """(rid, pos) of the lines of docs (rid, text) that match an earlier line."""
     sets = written(_sets(docs, percent, bits), "lines")
-    first = sets.groupBy("one", "two").agg(F.min(F.struct(*_AT)).alias("first"), F.count("*").alias("n")).filter("n > 1").select("one", "two", "first")
-    copies = written(sets.select(*_AT, "one", "two").join(first, ["one", "two"]).filter((F.col("rid") != F.col("first.rid")) | (F.col("pos") != F.col("first.pos"))).select(*_AT), "copies")
+    first = written(sets.groupBy("one", "two").agg(F.min(F.struct(*_AT)).alias("first"), F.count("*").alias("n")).filter("n > 1").select("one", "two", "first"), "first")
+    copies = written(sets.select(*_AT, "one", "two").join(_near(first), ["one", "two"]).filter((F.col("rid") != F.col("first.rid")) | (F.col("pos") != F.col("first.pos"))).select(*_AT), "copies")
     # a set so small that a single word makes a difference matches only its equals
     able = sets.filter(100 * (F.col("n") - 1) >= percent * F.col("n")).join(_near(copies), _AT, "left_anti")
     may = _may_match(percent)
@@ -137,7 +136,11 @@ def later_matches(docs: DataFrame, percent: int = PERCENT, bits: int = BITS, cen
             y = written(rows.groupBy("code").agg(F.min(centre).alias("y")).select("code", *(F.col(f"y.{c}").alias(f"y_{c}") for c in ("rid", "pos", "n", "parity", "i"))), "centres")
             mine = y.select("code", F.col("y_rid").alias("rid"), F.col("y_pos").alias("pos"))
             used = mine if not turn else used.unionByName(mine)
-        pairs = x.join(y, ["code"]).filter(_EARLIER & may).select(*_PAIR).distinct()
+        pairs = x.join(y, ["code"]).filter(_EARLIER & may).select(*_PAIR)
+        if turn == centres:
+            pairs = pairs.distinct()
+        else:  # of its lists' centres, a line meets the earliest
+            pairs = pairs.groupBy("x_rid", "x_pos").agg(F.min(F.struct("y_rid", "y_pos")).alias("y")).select("x_rid", "x_pos", "y.*")
         if seen is not None:
             pairs = pairs.join(seen, _PAIR, "left_anti")
         pairs = written(pairs, "pairs")
