@@ -8,7 +8,7 @@ with it; lines are judged on the input, so what matches a removed line goes too.
     opens with its bucket's rank and ends in its hash, so all lines order their words alike, rare ones first.
 2.  Lines with equal sets collapse into the first of them by two 64-bit hashes of the codes; the others are removed.
 3.  The prefix filter: lines can only match if they share one of their n - ceil(percent * n / 100) + 1 rarest
-    words. A semi-join on these, with the length filter, the positional filter and a parity filter (64 bits, each
+    words. A semi-join on these, with the length filter, the positional filter and a parity filter (128 bits, each
     flipped by the words that hash to it: two lines differ in at least as many words as in bits), keeps the lines that
     may match any other; as a semi-join it makes no pairs.
 4.  These lines are verified word by word. The centre of a rare word's list is its earliest line, then the earliest that
@@ -60,33 +60,52 @@ def _sets(docs: DataFrame, percent: int, bits: int) -> DataFrame:
 
     codes = lines.select(*_AT, F.sort_array(F.array_distinct(F.transform(F.transform(F.array_remove(F.split("line", " "), ""), lambda w: F.xxhash64(w)), code))).alias("codes"))
     n = F.size("codes")
-    parity = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
-    return codes.select(*_AT, n.alias("n"), F.xxhash64("codes").alias("one"), F.xxhash64(F.lit(percent), "codes").alias("two"), parity.alias("parity"), F.slice("codes", 1, n - F.ceil(n * percent / 100).cast("int") + 1).alias("prefix"))
 
+    def parity(half: int) -> Column:
+        """64 bits, each flipped by the words of that half (by a bit of their hash) that six other bits assign to it."""
+        mine = F.filter("codes", lambda c: c.bitwiseAND(F.lit(1)) == half)
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, 1).bitwiseAND(F.lit(63)).cast("int"))))
 
-def _lists(lines: DataFrame, side: str) -> DataFrame:
-    """A row for each prefix word of each line, columns named by side."""
-    rows = lines.select(*_AT, "n", "parity", F.posexplode("prefix").alias("i", "code"))
-    return rows.select("code", *(F.col(c).alias(f"{side}_{c}") for c in (*_AT, "n", "parity", "i")))
+    return codes.select(*_AT, n.alias("n"), F.xxhash64("codes").alias("one"), F.xxhash64(F.lit(percent), "codes").alias("two"), parity(0).alias("parity"), parity(1).alias("more"), F.slice("codes", 1, n - F.ceil(n * percent / 100).cast("int") + 1).alias("prefix"))
+
+
+_ROW = [*_AT, "n", "parity", "more"]
+
+
+def _lists(lines: DataFrame) -> DataFrame:
+    """A row for each prefix word (code, place i) of each line."""
+    return lines.select(*_ROW, F.posexplode("prefix").alias("i", "code"))
 
 
 def _may_match(percent: int) -> Column:
-    """Length, parity and positional filters on a pair of prefix rows (sides x and y)."""
-    p, both = percent, F.col("x_n") + F.col("y_n")
+    """Length, parity and positional filters on a pair of prefix rows (aliases x and y)."""
+    p, both = percent, F.col("x.n") + F.col("y.n")
+    differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in ("parity", "more")), F.lit(0))
     # words before the shared one may be shared too: a pair meets at each word that its prefixes share
-    before, after = F.least("x_i", "y_i"), F.least(F.col("x_n") - F.col("x_i"), F.col("y_n") - F.col("y_i"))
-    return (
-        (100 * F.least("x_n", "y_n") >= p * F.greatest("x_n", "y_n"))
-        & ((100 + p) * F.bit_count(F.col("x_parity").bitwiseXOR(F.col("y_parity"))) <= (100 - p) * both)
-        & ((100 + p) * (before + after) >= p * both)
-    )
+    before, after = F.least("x.i", "y.i"), F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
+    return (100 * F.least("x.n", "y.n") >= p * F.greatest("x.n", "y.n")) & ((100 + p) * differ <= (100 - p) * both) & ((100 + p) * (before + after) >= p * both)
+
+
+def _earlier() -> Column:
+    return (F.col("y.rid") < F.col("x.rid")) | ((F.col("y.rid") == F.col("x.rid")) & (F.col("y.pos") < F.col("x.pos")))
 
 
-_EARLIER = (F.col("y_rid") < F.col("x_rid")) | ((F.col("y_rid") == F.col("x_rid")) & (F.col("y_pos") < F.col("x_pos")))
-_OTHER = (F.col("y_rid") != F.col("x_rid")) | (F.col("y_pos") != F.col("x_pos"))
 _PAIR = ["x_rid", "x_pos", "y_rid", "y_pos"]
 
 
+def _pairs(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
+    """Pairs of prefix rows with an earlier y that pass the filters."""
+    met = x.alias("x").join(y.alias("y"), (F.col("x.code") == F.col("y.code")) & _earlier() & _may_match(percent))
+    return met.select(*(F.col(c.replace("_", ".")).alias(c) for c in _PAIR))
+
+
+def _candidates(able: DataFrame, percent: int) -> DataFrame:
+    """(rid, pos) of the lines that share a prefix word with another line and pass the filters with it."""
+    lists = _lists(able)
+    other = (F.col("y.rid") != F.col("x.rid")) | (F.col("y.pos") != F.col("x.pos"))
+    return lists.alias("x").join(lists.alias("y"), (F.col("x.code") == F.col("y.code")) & other & _may_match(percent), "left_semi").select(*_AT).distinct()
+
+
 def _near(few: DataFrame) -> DataFrame:
     """The written side of a join: broadcast where it is small, else shuffled."""
     return F.broadcast(few) if small(few) else few
@@ -116,31 +135,22 @@ def later_matches(docs: DataFrame, percent: int = PERCENT, bits: int = BITS, cen
     copies = written(sets.select(*_AT, "one", "two").join(_near(first), ["one", "two"]).filter((F.col("rid") != F.col("first.rid")) | (F.col("pos") != F.col("first.pos"))).select(*_AT), "copies")
     # a set so small that a single word makes a difference matches only its equals
     able = sets.filter(100 * (F.col("n") - 1) >= percent * F.col("n")).join(_near(copies), _AT, "left_anti")
-    may = _may_match(percent)
-    near = written(_candidates(able, may), "near")
-    if not near.limit(1).count():
-        return copies
-    members = written(able.join(_near(near), _AT, "left_semi").select(*_AT, "n", "parity", "prefix"), "members")
+    near = written(_candidates(able, percent), "near")
+    members = written(able.join(_near(near), _AT, "left_semi").select(*_ROW, "prefix"), "members")
     words = written(_words_of(docs, near), "words")
-    lists, found, seen = _lists(members, "y"), copies, None
+    lists, found, seen, used = _lists(members), copies, None, None
     open_lines = members
     for turn in range(centres + 1):
-        x = _lists(open_lines, "x")
+        x = _lists(open_lines)
         if turn == centres:
-            y = lists
+            pairs = _pairs(x, lists, percent).distinct()
         else:
-            centre = F.struct("rid", "pos", "n", "parity", "i")
-            rows = lists.select("code", *(F.col(f"y_{c}").alias(c) for c in ("rid", "pos", "n", "parity", "i")))
-            if turn:  # the earliest line of the list that nothing has matched and that hasn't been its centre
-                rows = rows.join(open_lines.select(*_AT), _AT, "left_semi").join(used, ["code", *_AT], "left_anti")
-            y = written(rows.groupBy("code").agg(F.min(centre).alias("y")).select("code", *(F.col(f"y.{c}").alias(f"y_{c}") for c in ("rid", "pos", "n", "parity", "i"))), "centres")
-            mine = y.select("code", F.col("y_rid").alias("rid"), F.col("y_pos").alias("pos"))
-            used = mine if not turn else used.unionByName(mine)
-        pairs = x.join(y, ["code"]).filter(_EARLIER & may).select(*_PAIR)
-        if turn == centres:
-            pairs = pairs.distinct()
-        else:  # of its lists' centres, a line meets the earliest
-            pairs = pairs.groupBy("x_rid", "x_pos").agg(F.min(F.struct("y_rid", "y_pos")).alias("y")).select("x_rid", "x_pos", "y.*")
+            # a list's centre: its earliest line, then the earliest that nothing has matched and that wasn't its centre
+            rows = x if used is None else x.join(used, ["code", *_AT], "left_anti")
+            y = written(rows.groupBy("code").agg(F.min(F.struct(*_ROW, "i")).alias("y")).select("code", "y.*"), "centres")
+            used = y.select("code", *_AT) if used is None else used.unionByName(y.select("code", *_AT))
+            # of its lists' centres, a line meets the earliest
+            pairs = _pairs(x, y, percent).groupBy("x_rid", "x_pos").agg(F.min(F.struct("y_rid", "y_pos")).alias("y")).select("x_rid", "x_pos", "y.*")
         if seen is not None:
             pairs = pairs.join(seen, _PAIR, "left_anti")
         pairs = written(pairs, "pairs")
@@ -151,12 +161,6 @@ def later_matches(docs: DataFrame, percent: int = PERCENT, bits: int = BITS, cen
     return found
 
 
-def _candidates(able: DataFrame, may: Column) -> DataFrame:
-    """(rid, pos) of the lines that share a prefix word with another line and pass the filters with it."""
-    x, y = _lists(able, "x"), _lists(able, "y").withColumnRenamed("code", "y_code")
-    return x.join(y, (F.col("code") == F.col("y_code")) & _OTHER & may, "left_semi").select(F.col("x_rid").alias("rid"), F.col("x_pos").alias("pos")).distinct()
-
-
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with `text` freed of later matches, and the new columns n_lines (before) and n_removed.
 
