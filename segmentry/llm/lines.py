@@ -174,15 +174,15 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     else:
         of = written(rows.join(back, "rid").join(gone, "rid").select(F.col("id").alias("_id"), F.col("text").alias("_text"), "_gone"), "gone")
         joined = docs.join(of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text") == F.col("_text")), "left").drop("_id", "_text")
-    lines = F.split("text", "\n")
-    ends = F.concat("_gone", F.array(F.size(lines)))
+    joined = joined.withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split("text", "\n")))
+    ends = F.concat("_gone", F.array(F.size("_lines")))
 
     def kept(end: Column, i: Column) -> Column:
         begin = F.when(i == 0, F.lit(0)).otherwise(F.get("_gone", i - 1) + 1)
-        return F.slice(lines, begin + 1, end - begin)
+        return F.slice("_lines", begin + 1, end - begin)
 
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(F.transform(ends, kept)), "\n"))
-    counts = {"n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
+    counts = {"n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
     out = joined.select(*(c for c in docs.columns if c not in ("text", *counts)), text.alias("text"), *(v.alias(k) for k, v in counts.items()))
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))) if "n_chars" in docs.columns else out
 
