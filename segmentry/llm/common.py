@@ -48,6 +48,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, *own: str) -> DataFrame:
+    """docs' columns `own` and all columns as the struct `row`, so that no name of theirs meets one of an operator's."""
+    return docs.select(*own, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], changed: dict[str, Column], added: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of `row` with those `changed` in their place, and those `added` at the end (in place of any so named)."""
+    added = added or {}
+    kept = [changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in columns if c not in added]
+    return rows.select(*kept, *(v.alias(k) for k, v in added.items()))
+
+
+def text_changed(text: Column, columns: list[str]) -> dict[str, Column]:
+    """What a new text changes: itself and, where there is one, n_chars."""
+    return {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in columns else {})
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most `limit` rows. At most limit + 1 rows are looked at."""
     return df.limit(limit + 1).count() <= limit

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .common import packed, text_changed, unpacked
 
 N = 10
 BLOCK_BYTES = 32 << 20
@@ -130,12 +131,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, how: str = "spans", n:
 
     Other columns stay as they are; n_chars, where there is one, follows the text.
     """
-    hits = benchmark_hits(docs.select(*docs.columns), benchmark, docs.columns, n)
+    hits = benchmark_hits(packed(docs, "text"), benchmark, ["text", "row"], n)
     if how == "documents":
-        return hits.filter(F.size("spans") == 0).select(docs.columns)
-    schema = hits.schema
-    cut = hits.mapInArrow(_cut, schema).select(docs.columns)
-    return cut.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))) if "n_chars" in docs.columns else cut
+        return hits.filter(F.size("spans") == 0).select("row.*")
+    return unpacked(hits.mapInArrow(_cut, hits.schema), docs.columns, text_changed(F.col("text"), docs.columns))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import words as W
-from .common import keyed, semi, small, unkeyed, written
+from .common import keyed, packed, semi, small, unkeyed, written
 from .components import components
 
 K = 4
@@ -235,10 +235,10 @@ def deduplicate(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFram
     gone = classes(rows, k, percent).filter("rid <> component").select("rid")
     if back is None:
         gone = written(gone.withColumnRenamed("rid", "_gone"), "gone")
-        return docs.join(F.broadcast(gone) if small(gone) else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+        return docs.alias("d").join((F.broadcast(gone) if small(gone) else gone).alias("g"), F.col("d.doc_id") == F.col("g._gone"), "left_anti")
     # repeated ids: rows keep their own text, and of equal rows one stays
     stay = rows.join(back, "rid").join(gone, "rid", "left_anti").select(F.col("id").alias("_id"), F.col("text").alias("_text"))
-    mine = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text").eqNullSafe(F.col("_text")), "left_semi")
-    one = Window.partitionBy("doc_id", "text").orderBy(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(1)])
+    mine = packed(docs, "doc_id", "text").join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text").eqNullSafe(F.col("_text")), "left_semi")
+    one = Window.partitionBy("doc_id", "text").orderBy(F.xxhash64(F.to_json("row")))
     wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return mine.withColumn("_rank", F.row_number().over(one)).filter((F.col("_rank") == 1) | wordless).drop("_rank")
+    return mine.withColumn("rank", F.row_number().over(one)).filter((F.col("rank") == 1) | wordless).select("row.*")

@@ -292,8 +292,8 @@ def _score(head, model):
                 begin = pa.array(np.searchsorted(row[first], np.arange(n + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": pa.array(w.counts + 1, pa.int64()),
-                    "near": pa.array(np.bincount(w.row, weights=near, minlength=n)), "near_known": pa.array(np.bincount(w.row, weights=common, minlength=n).astype(np.int64)),
-                    "score": pa.array(score / math.log(10)),
+                    "near": pa.array(np.bincount(w.row, weights=near, minlength=n), pa.float64()), "near_known": pa.array(np.bincount(w.row, weights=common, minlength=n).astype(np.int64)),
+                    "score": pa.array(score / math.log(10), pa.float64()),
                     "tail": pa.ListArray.from_arrays(begin, pa.array(tail[first].view(np.int64))), "times": pa.ListArray.from_arrays(begin, pa.array(times.astype(np.int32))),
                 })
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, small, written
+from .common import keyed, packed, small, text_changed, unpacked, written
 
 PERCENT = 80
 BITS = 17
@@ -133,8 +133,8 @@ def later_matches(docs: DataFrame, percent: int = PERCENT, bits: int = BITS, cen
     sets = written(_sets(docs, percent, bits), "lines")
     first = written(sets.groupBy("one", "two").agg(F.min(F.struct(*_AT)).alias("first"), F.count("*").alias("n")).filter("n > 1").select("one", "two", "first"), "first")
     copies = written(sets.select(*_AT, "one", "two").join(_near(first), ["one", "two"]).filter((F.col("rid") != F.col("first.rid")) | (F.col("pos") != F.col("first.pos"))).select(*_AT), "copies")
-    # a set so small that a single word makes a difference matches only its equals
-    able = sets.filter(100 * (F.col("n") - 1) >= percent * F.col("n")).join(_near(copies), _AT, "left_anti")
+    # a set so small that one word more is too many matches only its equals
+    able = sets.filter(100 * F.col("n") >= percent * (F.col("n") + 1)).join(_near(copies), _AT, "left_anti")
     near = written(_candidates(able, percent), "near")
     members = written(able.join(_near(near), _AT, "left_semi").select(*_ROW, "prefix"), "members")
     words = written(_words_of(docs, near), "words")
@@ -162,7 +162,7 @@ def later_matches(docs: DataFrame, percent: int = PERCENT, bits: int = BITS, cen
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs with `text` freed of later matches, and the new columns n_lines (before) and n_removed.
+    """docs with `text` freed of later matches, and the columns n_lines (before) and n_removed at the end.
 
     Other columns stay as they are; n_chars, where there is one, follows the text.
     """
@@ -170,10 +170,10 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     gone = later_matches(rows, percent).groupBy("rid").agg(F.sort_array(F.collect_list("pos")).alias("_gone"))
     if back is None:
         gone = written(gone.withColumnRenamed("rid", "_rid"), "gone")
-        joined = docs.join(_near(gone), F.col("doc_id") == F.col("_rid"), "left").drop("_rid")
+        joined = packed(docs, "doc_id", "text").join(_near(gone), F.col("doc_id") == F.col("_rid"), "left")
     else:
         of = written(rows.join(back, "rid").join(gone, "rid").select(F.col("id").alias("_id"), F.col("text").alias("_text"), "_gone"), "gone")
-        joined = docs.join(of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text") == F.col("_text")), "left").drop("_id", "_text")
+        joined = packed(docs, "doc_id", "text").join(of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text") == F.col("_text")), "left")
     joined = joined.withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split("text", "\n")))
     ends = F.concat("_gone", F.array(F.size("_lines")))
 
@@ -183,8 +183,8 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(F.transform(ends, kept)), "\n"))
     counts = {"n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
-    out = joined.select(*(c for c in docs.columns if c not in ("text", *counts)), text.alias("text"), *(v.alias(k) for k, v in counts.items()))
-    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))) if "n_chars" in docs.columns else out
+    done = joined.withColumn("_kept", text)
+    return unpacked(done, docs.columns, text_changed(F.col("_kept"), docs.columns), counts)
 
 
 def digest(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import packed, unpacked, written
 
 WEIGHTS = (5, 2, 1)
 TIMES = 3
@@ -76,7 +76,7 @@ def plan(docs: DataFrame, shards: int = SHARDS, keep: tuple[str, ...] = (), seed
         F.xxhash64(F.lit(seed), F.col("doc_id"), "text").alias("place"),
     ).withColumns({"block": _bits(54), "part": _bits(44)})
     # only texts that pass through are worth reading twice
-    sized = sized if "text" in keep else written(sized, "sizes")
+    sized = sized if "row" in keep else written(sized, "sizes")
     known = sized.groupBy("_source").agg(F.sum("size").alias("s")).limit(MAX_SOURCES + 1).collect()
     if len(known) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -132,9 +132,11 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     Rows come partitioned by shard and in random (reproducible) order within it. A row of which fewer words
     than it has are taken keeps its text; mix_words says how many of its first words belong to the mixture.
     """
-    rows = plan(docs, shards, tuple(docs.columns), seed).withColumn("c", F.explode("copies"))
-    out = rows.select(*docs.columns, F.col("c.pass").alias("mix_pass"), F.col("c.shard").alias("mix_shard"), F.col("c.words").alias("mix_words"), F.xxhash64("place", "c.pass").alias("_order"))
-    return out.repartition(shards, "mix_shard").sortWithinPartitions("mix_shard", "_order").drop("_order")
+    rows = plan(packed(docs, "doc_id", "text", "source"), shards, ("doc_id", "row"), seed).withColumn("c", F.explode("copies"))
+    order = F.xxhash64("place", "c.pass")
+    out = rows.select("row", F.col("c.pass").alias("_pass"), F.col("c.shard").alias("_shard"), F.col("c.words").alias("_words"), order.alias("_order"))
+    dealt = out.repartition(shards, "_shard").sortWithinPartitions("_shard", "_order")
+    return unpacked(dealt, docs.columns, {}, {"mix_pass": F.col("_pass"), "mix_shard": F.col("_shard"), "mix_words": F.col("_words")})
 
 
 def digest(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
