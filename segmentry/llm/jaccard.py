@@ -9,6 +9,8 @@ others, the short lists. Which lists are short is settled on all documents:
     share of short lists), and more in hash order where these are fewer than |x| - T + 1. Lists are counted.
     A document with |x| - T + 1 lists of its own has no partner and drops out; others keep their shortest
     lists up to that number. All documents order shingles alike (measured ones by list length), so no link is lost.
+    Pairs must also pass a parity filter: of 256 bits, each flipped by the shingles that hash to it, two sets differ in at
+    most as many as in shingles. It loses no link and drops nearly all pairs that merely share a passage.
 3.  Each list meets in its most typical member (fewest unshared shingles) instead of all pairs: (centre, member)
     pairs are verified and components taken. Lists that still hold several components go round again with
     another centre; when little is left, the remaining pairs *between* components are verified. Pairs within a
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -46,6 +48,9 @@ MEASURED = 0.20
 ROUNDS = 6
 #: Pairs left between components, for each list row, at which the rounds end.
 DENSE = 4
+#: 64-bit words of a set's parity.
+PARITY = 4
+_BITS = [f"p{i}" for i in range(PARITY)]
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = K) -> list[np.ndarray]:
@@ -68,6 +73,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = K) -> list[np.n
     return out
 
 
+def parity(shingles: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """n x PARITY words: each bit says whether an odd number of the row's shingles hash to it."""
+    size = 64 * PARITY
+    odd = np.bincount(row * size + (shingles & np.uint64(size - 1)).astype(np.int64), minlength=n * size) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, size), axis=1).view(np.int64)
+
+
 def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
@@ -87,10 +99,12 @@ def _sets(k: int, percent: int, bound: int):
                 prefix = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
                 take = np.maximum(low, prefix)
                 begin = pa.array(np.append(0, np.cumsum(take)).astype(np.int32))
+                bits = parity(whole, np.repeat(np.arange(len(n)), n), len(n))
                 lists = np.concatenate([s[:t] for s, t in zip(sets, take, strict=True)]) if len(sets) else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_pydict({
                     "rid": rows.column("rid"), "n": pa.array(n), "low": pa.array(low),
                     "one": pa.array((one[ends] - one[ends - n]).view(np.int64)), "two": pa.array((two[ends] - two[ends - n]).view(np.int64)),
+                    **{c: pa.array(np.ascontiguousarray(bits[:, i])) for i, c in enumerate(_BITS)},
                     "lists": pa.ListArray.from_arrays(begin, pa.array(lists.view(np.int64))),
                 })
 
@@ -156,7 +170,7 @@ def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
 def classes(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """(rid, n_shingles, component) for docs (rid, text)."""
     bound = int(MEASURED * (1 << 63)) if percent >= 81 else int((1.25 * (1 - percent / 100)) * (1 << 63))
-    sets = written(docs.mapInArrow(_sets(k, percent, bound), "rid long, n long, low long, one long, two long, lists array<long>"), "sets")
+    sets = written(docs.mapInArrow(_sets(k, percent, bound), f"rid long, n long, low long, one long, two long, {', '.join(f'{c} long' for c in _BITS)}, lists array<long>"), "sets")
     first = sets.filter("n > 0").groupBy("one", "two", "n").agg(F.min("rid").alias("rep"), F.count("*").alias("copies"))
     copies = written(sets.filter("n > 0").select("rid", "one", "two", "n").join(first.filter("copies > 1"), ["one", "two", "n"]).filter("rid <> rep").select("rid", "rep"), "copies")
     gone = F.broadcast(copies.select("rid")) if small(copies) else copies.select("rid")
@@ -165,16 +179,22 @@ def classes(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     rows = reps.select("rid", F.explode("lists").alias("s"))
     shared = rows.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    size = reps.select("rid", "n", "low")
+    size = reps.select("rid", "n", "low", *_BITS)
     listed = rows.join(shared, "s").join(size, "rid").withColumn("late", (F.col("s") >= F.lit(bound)).cast("int"))
     own = Window.partitionBy("rid")
     ranked = listed.withColumn("alone", F.col("low") - F.sum(1 - F.col("late")).over(own)).withColumn("rank", F.row_number().over(own.orderBy("late", "df", "s")))
-    kept = ranked.filter((F.col("alone") < prefix) & ((F.col("late") == 1) | (F.col("rank") <= prefix - F.col("alone")))).select("s", "rid", "n", "alone")
+    kept = ranked.filter((F.col("alone") < prefix) & ((F.col("late") == 1) | (F.col("rank") <= prefix - F.col("alone")))).select("s", "rid", "n", "alone", *_BITS)
     lists = written(kept, "lists")
     members = lists.select("rid").distinct()
     texts = written(semi(docs, members, ["rid"]), "texts")
 
-    alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+    def alike(other: str) -> Column:
+        """The length and parity filters on a row and another's columns, which end in `other`."""
+        x, y = F.col("n"), F.col(f"n{other}")
+        differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}{other}"))) for c in _BITS), F.lit(0))
+        return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & ((100 + percent) * differ <= (100 - percent) * (x + y))
+
     seen: DataFrame | None = None
     forest: DataFrame | None = None
     open_lists = lists.withColumn("c", F.col("rid"))
@@ -190,20 +210,20 @@ def classes(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
         if not left.rows:
             break
         if turn == ROUNDS or left.pairs <= 2 * DENSE * left.rows:
-            other = open_lists.select("s", F.col("rid").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-            pairs = open_lists.withColumnRenamed("rid", "a").join(other, "s").filter((F.col("c") < F.col("c_b")) & alike(F.col("n"), F.col("n_b"))).select("a", "b").distinct()
+            other = open_lists.select("s", F.col("rid").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"), *(F.col(c).alias(f"{c}_b") for c in _BITS))
+            pairs = open_lists.withColumnRenamed("rid", "a").join(other, "s").filter((F.col("c") < F.col("c_b")) & alike("_b")).select("a", "b").distinct()
             last = True
         else:
             # the next centre is the most typical member of the component that has not been compared with all of the list
-            typical = F.min(F.struct(F.col("alone") / F.col("n"), F.col("rid"), F.col("n"), F.col("c")))
+            typical = F.min(F.struct(F.col("alone") / F.col("n"), F.col("rid"), F.col("n"), F.col("c"), *_BITS))
             if turn:
                 # of the smallest components first, so that a list's large component is met by what is outside it
                 parts = open_lists.groupBy("s", "c").agg(F.count("*").alias("k"), typical.alias("x"))
                 centre = parts.groupBy("s").agg(F.min_by("x", F.struct(F.pmod(F.xxhash64("c", F.lit(turn)), F.lit(1 << 20)), F.col("c"))).alias("x"))
             else:
                 centre = open_lists.groupBy("s").agg(typical.alias("x"))
-            centre = centre.select("s", F.col("x.rid").alias("a"), F.col("x.n").alias("n_a"), F.col("x.c").alias("c_a"))
-            pairs = open_lists.join(centre, "s").filter((F.col("c") != F.col("c_a")) & alike(F.col("n"), F.col("n_a"))).select("a", F.col("rid").alias("b")).distinct()
+            centre = centre.select("s", F.col("x.rid").alias("a"), F.col("x.n").alias("n_a"), F.col("x.c").alias("c_a"), *(F.col(f"x.{c}").alias(f"{c}_a") for c in _BITS))
+            pairs = open_lists.join(centre, "s").filter((F.col("c") != F.col("c_a")) & alike("_a")).select("a", F.col("rid").alias("b")).distinct()
             last = False
         if seen is not None:
             pairs = pairs.join(seen, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
