@@ -1,0 +1,34 @@
+"""The pipeline's stages on a small folder of tables."""
+
+import random
+
+import corpus_pipeline
+import __spark_entry__
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_stages(spark, tmp_path):
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choice("the and of with that from there which would about quite other some".split()) + rng.choice(["", "s", "ed", "ing"]) for _ in range(n))
+    base, bench = text(60), text(15)
+    rows = [(i, text(50) + "\n" + text(20), "en", "ab"[i % 2], 0) for i in range(30)]
+    shifted = base.split()
+    shifted[5:5] = ["new"]
+    rows += [(100, base, "en", "a", 0), (101, base, "en", "a", 0), (102, "\n".join(" ".join(shifted[k : k + 15]) for k in range(0, 61, 15)), None, "b", 0)]
+    rows += [(200, "123 ...", "en", "a", 0), (201, None, "en", "a", 0), (202, text(30) + " " + bench + " end", "en", None, 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, ids = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"s{i}"))
+        docs = spark.read.parquet(str(tmp_path / f"s{i}"))
+        ids.append({r.doc_id: r.text for r in docs.collect()})
+        if i < 4:
+            assert docs.columns == COLUMNS
+    assert set(ids[0]) == {r[0] for r in rows} - {200, 201}
+    assert set(ids[1]) == set(ids[0]) and ids[1][100] == base and ids[1][101] == ""
+    assert set(ids[2]) == set(ids[1]) - {102} and ids[2][101] == ""
+    assert bench not in ids[3][202] and ids[3][202].endswith("end") and set(ids[3]) == set(ids[2])
+    assert {"mix_pass", "mix_shard", "mix_words"} <= set(docs.columns) and set(ids[4]) <= set(ids[3])
+    assert "pipeline" in __spark_entry__.queries() and len(__spark_entry__.queries()) == 41
