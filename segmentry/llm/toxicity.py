@@ -8,8 +8,9 @@ documents as negatives. The prior is the share of toxic rows among the training
 
 Feature statistics cover every training document: tasks count presence by bucket, the counts merge, and
 buckets whose count among positives is off what the whole suggests by a Poisson likelihood ratio of at least
-MIN_RATIO (the best MAX_FEATURES of them) form the model. The fit itself takes at most MAX_POSITIVE confirmed and about MAX_UNLABELLED unlabelled
-documents, chosen by a hash of the id; both bounds are parameters.
+MIN_RATIO (the best MAX_FEATURES of them) form the model. All confirmed documents count as positives there.
+Only the fit takes about MAX_POSITIVE confirmed and about MAX_UNLABELLED unlabelled documents, chosen by a
+hash of the id; both bounds are parameters.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. Defined cases: null and empty
 texts have no feature and get the model's bias; a null doc_id is in no fold, so it is not held out; several
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import fold
+from .common import BROADCAST_ROWS, fold
 
 BITS = 18
 PREFIXES = (6, 8)
@@ -118,6 +119,11 @@ def nnpu(row: np.ndarray, feat: np.ndarray, confirmed: np.ndarray, marginal: np.
     return theta[:-1], float(theta[-1])
 
 
+def _marked(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """docs with whether their id is among the n ids confirmed_id: by broadcast if these are few, else by a shuffled join."""
+    return docs.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, F.col("doc_id") == F.col("confirmed_id"), "left").withColumn("confirmed", F.col("confirmed_id").isNotNull())
+
+
 def train(docs: DataFrame, labels: DataFrame, held_out: str = "held_out", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> tuple[np.ndarray, np.ndarray, float]:
     """(buckets of the features, their weights, bias) from rows of docs that are not held out."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(fold(F.col("doc_id"), 5) != 0)
@@ -126,10 +132,9 @@ def train(docs: DataFrame, labels: DataFrame, held_out: str = "held_out", max_po
     prior = seen.p / seen.n if seen.n else 0.0
     if not seen.p:
         return np.zeros(0, dtype=np.int64), np.zeros(0), -35.0
-    hashed = F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1 << 30))
-    ids = own.filter(F.col("toxic") == 1).filter(hashed < int((1 << 30) * min(1.0, max_positive / seen.p))).select(F.col("doc_id").alias("confirmed_id"))
-    taught = docs.filter(~F.col(held_out)).select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("confirmed_id"), "left").withColumn("confirmed", F.col("confirmed_id").isNotNull())
-    stats = taught.select("text", "confirmed").mapInArrow(_count, "bucket long, p long, u long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).filter("bucket < 0 OR p > 0 OR u >= 100").toPandas()
+    ids = own.filter(F.col("toxic") == 1).select(F.col("doc_id").alias("confirmed_id"))
+    taught = docs.filter(~F.col(held_out)).select("doc_id", "text")
+    stats = _marked(taught, ids, seen.p).select("text", "confirmed").mapInArrow(_count, "bucket long, p long, u long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).filter("bucket < 0 OR p > 0 OR u >= 100").toPandas()
     whole = stats[stats["bucket"] < 0]
     n_p, n_u = int(whole["p"].sum()), int(whole["u"].sum())
     stats = stats[stats["bucket"] >= 0].sort_values("bucket")
@@ -141,7 +146,9 @@ def train(docs: DataFrame, labels: DataFrame, held_out: str = "held_out", max_po
     chosen = np.sort(stats["bucket"].to_numpy()[best[ratio[best] >= MIN_RATIO]])
     shared = docs.sparkSession.sparkContext.broadcast(chosen)
     share = int((1 << 30) * min(1.0, max_unlabelled / max(1, n_u)))
-    sample = taught.withColumn("marginal", F.pmod(F.xxhash64(F.lit("unlabelled"), "doc_id"), F.lit(1 << 30)) < share).filter(F.col("confirmed") | F.col("marginal"))
+    hashed = F.pmod(F.xxhash64(F.lit("toxic"), "confirmed_id"), F.lit(1 << 30))
+    fitted = ids.filter(hashed < int((1 << 30) * min(1.0, max_positive / seen.p)))
+    sample = _marked(taught, fitted, min(seen.p, max_positive)).withColumn("marginal", F.pmod(F.xxhash64(F.lit("unlabelled"), "doc_id"), F.lit(1 << 30)) < share).filter(F.col("confirmed") | F.col("marginal"))
     got = sample.select("text", "confirmed", F.coalesce("marginal", F.lit(False)).alias("marginal")).mapInArrow(_present(shared, ["confirmed", "marginal"]), "confirmed boolean, marginal boolean, feats array<int>").toPandas()
     lists = got["feats"].to_list()
     row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])

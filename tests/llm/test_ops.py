@@ -140,6 +140,22 @@ def test_op3_without_positives(spark):
     assert len(got) == 10 and all(r.predicted == 0 for r in got)
 
 
+def test_op3_statistics_count_every_positive_whatever_the_fit_takes(spark, monkeypatch):
+    rng = random.Random(8)
+    rare = [f"slur{k}" for k in range(6)]
+    # each rare word stands in 20 of 120 toxic documents: enough by all of them, too few by a tenth
+    rows = [(i, " ".join([f"w{rng.randrange(50)}" for _ in range(15)] + ([rare[i // 25 % 6]] if i % 25 == 0 else [])), False) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    labels = spark.createDataFrame([(i, 1, int(i % 25 == 0)) for i in range(0, 3000, 5)], "doc_id long, quality int, toxic int")
+    chosen = toxicity.train(docs, labels)[0]
+    assert len(chosen) >= len(rare)
+    few, _, bias = toxicity.train(docs, labels, max_positive=10)
+    assert few.tolist() == chosen.tolist()
+    monkeypatch.setattr(toxicity, "BROADCAST_ROWS", 0)  # by shuffled joins
+    again, _, again_bias = toxicity.train(docs, labels, max_positive=10)
+    assert again.tolist() == chosen.tolist() and abs(bias - again_bias) < 1e-6
+
+
 def brute_lines(rows, percent=80):
     seen, out = [], {}
     for i, t in sorted(rows):
