@@ -11,7 +11,8 @@ boilerplate element encloses is kept, short ones too.
 Boilerplate elements: nav, header, footer, aside, form and the like by name, and any whose class, id or role
 says so (menu, sidebar, ad, cookie, comments, share, ...). Text of script, style, noscript, template and head is
 never text. Character references are decoded, white space inside a block becomes one blank, blocks are
-joined by an empty line. Unclosed and misnested tags are repaired as browsers do for p, li, td and the like.
+joined by an empty line. Unclosed and misnested tags are repaired as browsers do for p, li, td and the like; an
+open head ends at the first tag or text that can't stand in one.
 
 Defined cases: null or empty html, or a page without a kept block, gives the empty text; plain text without
 tags is one block; a null page_id or url stays null; repeated rows each get a row; other columns are ignored.
@@ -31,6 +32,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
 SILENT = RAW | frozenset("head svg math object audio video canvas select option datalist map".split())
+#: What may stand in a head; anything else ends it.
+HEAD = RAW | frozenset("html head base basefont bgsound link meta".split())
 BOILERPLATE = frozenset("nav header footer aside form button menu dialog fieldset input label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr img br label".split())
@@ -97,6 +100,8 @@ def blocks(page: str) -> list[Block]:
             continue
         at = m.end()
         if m[4] is not None:
+            if stack and stack[-1][0] == "head" and m[4].strip():
+                close(len(stack) - 1)
             if not hidden:
                 text.append(m[4])
                 if links:
@@ -116,6 +121,8 @@ def blocks(page: str) -> list[Block]:
                 if name in ("p", "br"):
                     flush()
             continue
+        if name not in HEAD and stack and stack[-1][0] == "head":
+            close(len(stack) - 1)
         if name in CLOSES:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in CLOSES[name]:

@@ -113,6 +113,13 @@ def test_op2_article_without_the_rest(spark):
     assert got == [(1, body, len(body)), (2, "", 0), (3, "", 0), (4, "plain text <3", 13), (4, "plain text <3", 13)]
 
 
+@pytest.mark.parametrize("opens", ["<body>", "", "<div>", "<body class=x><div>"])
+def test_op2_ends_a_head_that_no_tag_closes(opens):
+    page = f"<!doctype html><html><head><meta charset=utf-8><title>No</title><style>p{{}}</style>\n<script>1</script>{opens}<article><p>First line, with text.<p>Second line, more of it.</article>"
+    assert html_text.main_text(page) == "First line, with text.\n\nSecond line, more of it."
+    assert html_text.main_text("<head><title>No</title>\n plain text") == "plain text"
+
+
 def test_op2_survives_broken_markup():
     rng = random.Random(2)
     for _ in range(300):
