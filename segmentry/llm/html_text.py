@@ -9,7 +9,10 @@ that holds most of the content paths' text (an <article> or <main> around it win
 boilerplate element encloses is kept, short ones too.
 
 Boilerplate elements: nav, header, footer, aside, form and the like by name, and any whose class, id or role
-says so (menu, sidebar, ad, cookie, comments, share, ...). Text of script, style, noscript, template and head is
+says so (menu, sidebar, ad, cookie, comments, share, ...). Inside <article> or <main> (only <article>, where the
+page has one), such a class or id may as well name what the text is about: a heading there ignores it, and for
+paragraphs, sections and, of the words in VAGUE, any element it only damps the path's ratio, which neighbours
+then don't lift; its text stays if the path is still a content path, with the headings right before it. Text of script, style, noscript, template and head is
 never text. Character references are decoded, white space inside a block becomes one blank, blocks are
 joined by an empty line. Unclosed and misnested tags are repaired as browsers do for p, li, td and the like; an
 open head ends at the first tag or text that can't stand in one.
@@ -45,6 +48,12 @@ HINT = re.compile(
     r"|comments?|commentlist|reply|replies|respond|disqus|discussion|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|pagination|pager|tags|toolbar|skip|copyright|disclaimer|legal)(?:$|[\s_-])",
     re.I,
 )
+#: Of these words, those that also name parts of an article.
+VAGUE = re.compile(r"^(?:discussion|related|search|navigation|comments?|notice|legal|alert|tags|side|share|sharing|social|skip|disclaimer|copyright)$", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = frozenset("p section".split())
+#: What is left of the ratio of a path with such a class or id.
+HINTED = 0.5
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|entry|story|content|main|body|text)(?:$|[\s_-])", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
@@ -52,17 +61,18 @@ SHARE = 0.5
 
 
 class Block:
-    __slots__ = ("links", "marks", "path", "text")
+    __slots__ = ("hinted", "links", "marks", "path", "text")
 
-    def __init__(self, path: tuple, text: str, links: int):
-        self.path, self.text, self.links = path, text, links
+    def __init__(self, path: tuple, text: str, links: int, hinted: bool):
+        self.path, self.text, self.links, self.hinted = path, text, links, hinted
         self.marks = len(PUNCTUATION.findall(text))
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, without those in silent or boilerplate elements."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # name, name with class, whether it hides
+    stack: list[tuple[str, str, bool, bool]] = []  # name, name with class, whether it hides, whether its class only damps
+    articles = False
     hidden = links = 0
     text: list[str] = []
     linked = 0
@@ -73,14 +83,14 @@ def blocks(page: str) -> list[Block]:
         if text:
             body = " ".join(html.unescape("".join(text)).split())
             if body:
-                out.append(Block(tuple(full for name, full, _ in stack if name not in INLINE), body, min(linked, len(body))))
+                out.append(Block(tuple(full for name, full, _, _ in stack if name not in INLINE), body, min(linked, len(body)), any(x[3] for x in stack)))
         text, linked = [], 0
 
     def close(at: int) -> None:
         nonlocal hidden, links
-        if any(name not in INLINE for name, _, _ in stack[at:]):
+        if any(name not in INLINE for name, _, _, _ in stack[at:]):
             flush()
-        for name, _, hides in stack[at:]:
+        for name, _, hides, _ in stack[at:]:
             hidden -= hides
             links -= name == "a"
         del stack[at:]
@@ -158,17 +168,27 @@ def blocks(page: str) -> list[Block]:
                     marks += " articlebody"
                 elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                     unseen = unseen or key == "hidden" or name not in INLINE
-        hides = name in SILENT or name in BOILERPLATE or role in ROLES or unseen or bool(marks and name not in ("html", "body", "main", "article") and HINT.search(marks))
+        hides, damps = name in SILENT or name in BOILERPLATE or role in ROLES or unseen, False
+        if not hides and marks and name not in ("html", "body", "main", "article") and HINT.search(marks):
+            inside = any(x[0] in ("article", "main") for x in stack)
+            # of several words, one that isn't vague is enough to hide
+            damps = inside and name not in HEADINGS and (name in PROSE or not any(HINT.search(x) and not VAGUE.search(x) for x in re.split(r"[\s_-]+", marks)))
+            hides = not inside or not damps and name not in HEADINGS
+        articles = articles or name == "article" and not hidden
         if m[3].rstrip().endswith("/") and name in ("svg", "path", "use"):
             continue
-        stack.append((name, f"{name}.{'.'.join(marks.split())}" if marks else name, hides))
+        stack.append((name, f"{name}.{'.'.join(marks.split())}" if marks else name, hides, damps))
         hidden += hides
         links += name == "a"
         if name in RAW:
             raw = name
             close(len(stack) - 1)
     flush()
-    return out
+    return [b for b in out if not b.hinted or not articles or _in_article(b.path)]
+
+
+def _in_article(path: tuple) -> bool:
+    return any(x.split(".")[0] == "article" for x in path)
 
 
 def _ratios(found: list[Block]) -> dict[tuple, float]:
@@ -186,6 +206,9 @@ def _ratios(found: list[Block]) -> dict[tuple, float]:
     weight = np.convolve(np.ones(len(found)), kernel, "full")[2 : len(found) + 2]
     length, marks = (np.convolve(x, kernel, "full")[2 : len(found) + 2] / weight for x in (length, marks))
     fused = length * (1.0 + marks)
+    # a hint damps a path's own ratio
+    alone = np.array([total[b.path][0] / total[b.path][3] * (1.0 + total[b.path][1] / total[b.path][3]) for b in found])
+    fused = np.where([b.hinted for b in found], HINTED * np.minimum(fused, alone), fused)
     best: dict[tuple, float] = {}
     for b, f in zip(found, fused, strict=True):
         best[b.path] = max(best.get(b.path, 0.0), f * (1.0 - total[b.path][2] / max(1.0, total[b.path][0])))
@@ -216,7 +239,14 @@ def main_text(page: str | None) -> str:
         if container and container[-1].split(".")[0] in ("p", "h1", "h2", "h3", "h4", "li", "blockquote", "pre", "td"):
             container = container[:-1]
     size = len(container)
-    return "\n\n".join(b.text for b in found if b.path[:size] == container)
+    inside = [b for b in found if b.path[:size] == container]
+    kept, follows = [], False  # follows: a content block stands right behind, but for headings
+    for b in reversed(inside):
+        heading = b.path and b.path[-1].split(".")[0] in HEADINGS
+        if not b.hinted or b.path in content or heading and follows:
+            kept.append(b.text)
+        follows = b.path in content and not heading or follows and bool(heading)
+    return "\n\n".join(reversed(kept))
 
 
 def _extract(columns: list[str]):

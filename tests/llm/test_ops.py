@@ -120,6 +120,26 @@ def test_op2_ends_a_head_that_no_tag_closes(opens):
     assert html_text.main_text("<head><title>No</title>\n plain text") == "plain text"
 
 
+LONG = "It is a long line of text, dense and with marks; it says much, and then some more of it, until it ends."
+
+
+def test_op2_keeps_what_a_class_or_id_only_names():
+    head = f"<html><body><div class=ad>Buy</div><article><h1>Title</h1><p>{LONG}<p>{LONG}"
+    tail = f"<div class=share><a href=x>Share</a></div><div class=advert>{LONG}</div></article><section id=comments><p>{LONG}</section></body></html>"
+    base = ["Title", LONG, LONG]
+    for part, more in [
+        (f"<section id=discussion><h2>Discussion</h2><p>{LONG}</section>", ["Discussion", LONG]),
+        (f"<section class=related-work><h2 id=related-work>Related work</h2><p>{LONG}<p>{LONG}</section>", ["Related work", LONG, LONG]),
+        (f"<h2 id=search-algorithms>Search algorithms</h2><p>{LONG}", ["Search algorithms", LONG]),
+        (f"<h2 id=legal-notice>Legal notice</h2><p class=side-effects>{LONG}", ["Legal notice", LONG]),
+        (f"<div id=skip-navigation><p>{LONG}</div>", [LONG]),
+        ("", []),
+    ]:
+        assert html_text.main_text(head + part + tail).split("\n\n") == base + more
+        if part:  # <main> alone does as well
+            assert html_text.main_text((head + part).replace("article", "main")).split("\n\n") == base + more
+
+
 def test_op2_survives_broken_markup():
     rng = random.Random(2)
     for _ in range(300):
