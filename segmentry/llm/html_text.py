@@ -4,9 +4,13 @@ A page is read into blocks of text, each with its path of open tags (with their
 For every distinct path the blocks' text length, punctuation and link text are added up. A path's ratio is
 its text per block, a second one its punctuation per block; both are smoothed over the sequence of blocks
 (a Gaussian over neighbours), fused by multiplication and damped by the share of link text. Paths whose
-fused ratio reaches a share of the page's spread are content paths. The article is the deepest container
-that holds most of the content paths' text (an <article> or <main> around it wins); every block in it that no
-boilerplate element encloses is kept, short ones too.
+fused ratio reaches a share of the page's spread are content paths; outside <article> (else <main>), where one
+holds such a path, a path must reach it without its neighbours' lift. Every block of a content path is kept,
+wherever it stands. So are blocks below the threshold that no boilerplate element encloses: those in the
+deepest container that holds most of the content paths' text (an <article> or <main> around it wins; in one
+that no name or class says to be content, not those that are mostly links), those that aren't mostly links
+between two content blocks, headings right before one, and what stands in the same
+section as the content block next to it.
 
 Boilerplate elements: nav, header, footer, aside, form and the like by name, and any whose class, id or role
 says so (menu, sidebar, ad, cookie, comments, share, ...). Inside <article> or <main> (only <article>, where the
@@ -52,6 +56,7 @@ HINT = re.compile(
 VAGUE = re.compile(r"^(?:discussion|related|search|navigation|comments?|notice|legal|alert|tags|side|share|sharing|social|skip|disclaimer|copyright)$", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = frozenset("p section".split())
+PARTS = HEADINGS | frozenset("p ul ol li dl dt dd blockquote pre table caption thead tbody tfoot tr td th figure figcaption hgroup address".split())
 #: What is left of the ratio of a path with such a class or id.
 HINTED = 0.5
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -184,15 +189,27 @@ def blocks(page: str) -> list[Block]:
             raw = name
             close(len(stack) - 1)
     flush()
-    return [b for b in out if not b.hinted or not articles or _in_article(b.path)]
+    return [b for b in out if not b.hinted or not articles or _within(b.path, "article")]
 
 
-def _in_article(path: tuple) -> bool:
-    return any(x.split(".")[0] == "article" for x in path)
+def _within(path: tuple, name: str) -> bool:
+    return any(x.split(".")[0] == name for x in path)
 
 
-def _ratios(found: list[Block]) -> dict[tuple, float]:
-    """Each path's fused, smoothed ratio."""
+def _name(path: tuple) -> str:
+    return path[-1].split(".")[0] if path else ""
+
+
+def _home(path: tuple) -> tuple:
+    """The path to the innermost element that is more than a paragraph, heading, list or table."""
+    n = len(path)
+    while n and path[n - 1].split(".")[0] in PARTS:
+        n -= 1
+    return path[:n]
+
+
+def _ratios(found: list[Block]) -> tuple[dict[tuple, float], dict[tuple, float]]:
+    """Each path's fused, smoothed ratio, and what of it is the path's own."""
     total: dict[tuple, list[float]] = {}
     for b in found:
         t = total.setdefault(b.path, [0.0, 0.0, 0.0, 0.0])
@@ -210,9 +227,12 @@ def _ratios(found: list[Block]) -> dict[tuple, float]:
     alone = np.array([total[b.path][0] / total[b.path][3] * (1.0 + total[b.path][1] / total[b.path][3]) for b in found])
     fused = np.where([b.hinted for b in found], HINTED * np.minimum(fused, alone), fused)
     best: dict[tuple, float] = {}
-    for b, f in zip(found, fused, strict=True):
-        best[b.path] = max(best.get(b.path, 0.0), f * (1.0 - total[b.path][2] / max(1.0, total[b.path][0])))
-    return best
+    own: dict[tuple, float] = {}
+    for b, f, a in zip(found, fused, alone, strict=True):
+        text = 1.0 - total[b.path][2] / max(1.0, total[b.path][0])
+        best[b.path] = max(best.get(b.path, 0.0), f * text)
+        own[b.path] = min(best[b.path], a * text)
+    return best, own
 
 
 def main_text(page: str | None) -> str:
@@ -220,9 +240,12 @@ def main_text(page: str | None) -> str:
     found = blocks(page or "")
     if not found:
         return ""
-    ratio = _ratios(found)
+    ratio, own = _ratios(found)
     spread = float(np.std(list(ratio.values()))) if len(ratio) > 1 else 0.0
     content = {p for p, r in ratio.items() if r >= SHARE * spread}
+    tops = [n for n in ("article", "main") if any(_within(p, n) for p in content)]
+    if tops:  # outside, neighbours lift no path
+        content = {p for p in content if _within(p, tops[0]) or own[p] >= SHARE * spread}
     mass: dict[tuple, int] = {}
     for b in found:
         if b.path in content:
@@ -239,14 +262,25 @@ def main_text(page: str | None) -> str:
         if container and container[-1].split(".")[0] in ("p", "h1", "h2", "h3", "h4", "li", "blockquote", "pre", "td"):
             container = container[:-1]
     size = len(container)
-    inside = [b for b in found if b.path[:size] == container]
-    kept, follows = [], False  # follows: a content block stands right behind, but for headings
-    for b in reversed(inside):
-        heading = b.path and b.path[-1].split(".")[0] in HEADINGS
-        if not b.hinted or b.path in content or heading and follows:
+    at = [i for i, b in enumerate(found) if b.path in content]
+    leads = [False] * (len(found) + 1)  # headings with only headings between them and the next content block
+    for i in range(len(found) - 1, -1, -1):
+        leads[i] = found[i].path not in content and _name(found[i].path) in HEADINGS and i + 1 < len(found) and (found[i + 1].path in content or leads[i + 1])
+    kept, n = [], 0  # n: content blocks so far
+    for i, b in enumerate(found):
+        if b.path in content:
+            kept.append(b.text)
+            n += 1
+            continue
+        beside = [found[j] for j in at[max(0, n - 1) : n + 1]]  # the content block before and the one after
+        if b.hinted:
+            stays = leads[i]
+        else:
+            plain = 2 * b.links <= len(b.text)
+            stays = b.path[:size] == container and (bool(named) or plain) or plain and 0 < n < len(at) or leads[i] or any(_home(b.path) == _home(x.path) for x in beside)
+        if stays:
             kept.append(b.text)
-        follows = b.path in content and not heading or follows and bool(heading)
-    return "\n\n".join(reversed(kept))
+    return "\n\n".join(kept)
 
 
 def _extract(columns: list[str]):

@@ -140,6 +140,18 @@ def test_op2_keeps_what_a_class_or_id_only_names():
             assert html_text.main_text((head + part).replace("article", "main")).split("\n\n") == base + more
 
 
+def test_op2_keeps_content_paths_outside_the_container():
+    ad, foot = "<div class=ad>Buy</div>", "<div class=low><a href=x>Home</a> <a href=y>About us</a></div>"
+    lead = f"{ad}<div class=intro><h1>Title</h1><p>{LONG}<p>{LONG}</div>"
+    story = f"<div class=story><p>{LONG}<h2>Part</h2><p>{LONG}<p>{LONG}<ul><li>One<li>Two</ul></div>"
+    text = ["Title", LONG, LONG, LONG, "Part", LONG, LONG, "One", "Two"]
+    assert html_text.main_text(f"<body>{lead}{story}{foot}").split("\n\n") == text
+    assert html_text.main_text(f"<body>{lead}<h3>By A</h3>{story.replace('story', 'x')}{foot}").split("\n\n") == text[:3] + ["By A"] + text[3:]
+    two = [f"<article class={c}><h1>{c}</h1>{f'<p>{LONG}' * n}</article>" for c, n in (("a", 2), ("b", 3))]
+    assert html_text.main_text(f"<body>{ad}{''.join(two)}{foot}").split("\n\n") == ["a", LONG, LONG, "b", LONG, LONG, LONG]
+    assert html_text.main_text(f"<body>{lead}{two[1]}<div class=low>Made by us</div>").split("\n\n") == ["Title", LONG, LONG, "b", LONG, LONG, LONG]
+
+
 def test_op2_survives_broken_markup():
     rng = random.Random(2)
     for _ in range(300):
