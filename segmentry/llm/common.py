@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where nothing sets it, a new one in local mode, else ValueError."""
     sc = spark.sparkContext
     set_by = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not set_by:
-        set_by = tempfile.mkdtemp(prefix="segmentry-")
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        set_by = tempfile.mkdtemp(prefix="segmentry-")  # one machine, one process
         sc.setCheckpointDir(set_by)
     return set_by.rstrip("/")
 
@@ -36,18 +41,43 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here and a lost executor costs nothing.
+Held = list[tuple[SparkSession, str]]
+#: Tables of the scratch under way; None outside any.
+_HELD: ContextVar[Held | None] = ContextVar("held", default=None)
 
-    The table goes when the session's process ends.
-    """
+
+def _write(df: DataFrame, name: str, held: Held | None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/segmentry-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    if held is None:
+        atexit.register(_remove, spark, path)
+    else:
+        held.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends here and a lost executor costs nothing.
+
+    The table goes with the scratch it is written in, else when the session's process ends.
+    """
+    return _write(df, name, _HELD.get())
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables written inside go when it ends. It gives a `written` for results: those belong to the scratch around this one."""
+    outer, mine = _HELD.get(), []
+    token = _HELD.set(mine)
+    try:
+        yield lambda df, name: _write(df, name, outer)
+    finally:
+        _HELD.reset(token)
+        for spark, path in mine:
+            _remove(spark, path)
+
+
 def packed(docs: DataFrame, *own: str) -> DataFrame:
     """docs' columns `own` and all columns as the struct `row`, so that no name of theirs meets one of an operator's."""
     return docs.select(*own, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
@@ -66,13 +96,22 @@ def text_changed(text: Column, columns: list[str]) -> dict[str, Column]:
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most `limit` rows. At most limit + 1 rows are looked at."""
-    return df.limit(limit + 1).count() <= limit
+    """Whether df has at most `limit` rows, each element of an array and each eight bytes of a string counting as one more."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    wide = [F.coalesce(F.size(c), F.lit(0)) if t == "array" else F.coalesce(F.octet_length(c), F.lit(0)) / 8 for c, t in kinds.items() if t in ("array", "string")]
+    if df.limit(limit + 1).count() > limit:
+        return False
+    return not wide or (df.agg(F.sum(sum(wide, F.lit(1)))).first()[0] or 0) <= limit
+
+
+def near(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A written side of a join: to be broadcast where it is small, else shuffled."""
+    return F.broadcast(df) if small(df, limit) else df
 
 
 def semi(df: DataFrame, keys: DataFrame, on: list[str], limit: int = BROADCAST_ROWS) -> DataFrame:
     """Rows of df whose key is in `keys`: by broadcast if `keys` is small, else by a shuffled join."""
-    return df.join(F.broadcast(keys) if small(keys, limit) else keys, on, "left_semi")
+    return df.join(near(keys, limit), on, "left_semi")
 
 
 def fold(key: Column, of: int) -> Column:

@@ -1,35 +1,37 @@
 """N-gram Jaccard join: exact components of documents whose shingle sets overlap enough, by T-occurrence search.
 
-A pair with 100 * |x & y| >= 85 * |x | y| shares at least T = ceil(0.85 |x|) of x's shingles, so of x's
-inverted lists the T - 1 longest may be left out of the merge (DivideSkip): a partner stands in one of the
-others, the short lists. Which lists are short is settled on all documents:
+A pair with 100 * |x & y| >= 85 * |x | y| shares at least T = ceil(0.85 |x|) of x's shingles. DivideSkip merges x's
+short inverted lists and probes its L long ones; with L = T - 1 a partner must stand in at least T - L = 1 of the
+|x| - T + 1 short lists. Which lists are short is settled on all documents:
 
 1.  Documents with equal sets are one class, by two 64-bit sums over the set; only its smallest id goes on.
-2.  Every document emits its shingles below a fixed share of the hash space (`MEASURED`, a little more than the
-    share of short lists), and more in hash order where these are fewer than |x| - T + 1. Lists are counted.
-    A document with |x| - T + 1 lists of its own has no partner and drops out; others keep their shortest
-    lists up to that number. All documents order shingles alike (measured ones by list length), so no link is lost.
-    Pairs must also pass a parity filter: of 256 bits, each flipped by the shingles that hash to it, two sets differ in at
-    most as many as in shingles. It loses no link and drops nearly all pairs that merely share a passage.
-3.  Each list meets in its most typical member (fewest unshared shingles) instead of all pairs: (centre, member)
-    pairs are verified and components taken. Lists that still hold several components go round again with
-    another centre; when little is left, the remaining pairs *between* components are verified. Pairs within a
-    component are never formed.
-4.  Verifying is a T-occurrence search in blocks: for a centre and its candidates in a task, the short of the
-    centre's lists over these candidates are merged by counting, long ones are probed by binary search in the
-    candidates that can still reach T, and the exact overlap decides.
-
-Nothing grows with the square of a group, and no list is cut. Hot shingles are counted with partial sums and
-joined back where adaptive execution splits them. Words are runs of anything but ASCII white space, A-Z
-lower-cased; shingles are 4 words by 64-bit hash, and a shorter text's whole sequence is its only one.
+2.  A document with |x| - T + 1 shingles that no other document has can have no partner. Shingles in a fixed share of the
+    hash space (`MEASURED`) are counted first, which drops most documents; then all shingles of those that stay, twice,
+    as those that dropped no longer count. What stays shares nearly all its shingles with others that stay.
+3.  Each of these merges its shortest lists, |x| - T + 1 of them less its own shingles. All documents order shingles
+    alike (by length of list, then hash), so no link is lost. A pair that meets there must also pass the length filter
+    and a distance bound: shingles of its own each count against a document, and so does each of 256 parity bits (flipped by
+    the shared shingles that hash to it) in which the two differ. Both lose no link.
+4.  A list first meets in its most typical member (fewest shingles of its own), then in 16, 256, ... of its members at
+    random, each time only with members of other components; it closes when it lies in one component or all its
+    members have been centres. So a group of near copies costs a few comparisons a member, and pairs inside a component are
+    never formed. What is left to compare is what no filter can tell apart from links.
+5.  Candidates of one centre go in blocks of at most `BLOCK` with one copy of the centre's set each. A block is a
+    T-occurrence search: inverted lists over its sets, the centre's short ones merged by a heap, the documents that reach T - L
+    probed in the long ones by binary search, the exact overlap deciding.
+
+No list is cut. Words are runs of anything but ASCII white space, A-Z lower-cased; shingles are 4 words by 64-bit hash,
+and a shorter text's whole sequence is its only one.
 
 Defined cases: null and empty texts have no shingles, link with nothing and are components of their own; rows
-that repeat an id (or have none) are documents of their own, in order of text; equal rows link (if they have words); an empty
-table gives an empty result; other columns are ignored (and kept by `deduplicate`).
+that repeat an id (or have none) are documents of their own, in order of text; equal rows link (if they have words); very long
+texts are hashed whole, and memory follows the longest; an empty table gives an empty result; other columns are ignored
+(and kept by `deduplicate`).
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,15 +41,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import words as W
-from .common import keyed, packed, semi, small, unkeyed, written
+from .common import keyed, near, packed, scratch, unkeyed, written
 from .components import components
 
 K = 4
 PERCENT = 85
 MEASURED = 0.20
-ROUNDS = 6
-#: Pairs left between components, for each list row, at which the rounds end.
-DENSE = 4
+#: Candidates of a centre that are searched at a time.
+BLOCK = 1000
+#: Centres of a list grow by this factor a round.
+GROW = 16
 #: 64-bit words of a set's parity.
 PARITY = 4
 _BITS = [f"p{i}" for i in range(PARITY)]
@@ -73,18 +76,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = K) -> list[np.n
     return out
 
 
-def parity(shingles: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-    """n x PARITY words: each bit says whether an odd number of the row's shingles hash to it."""
-    size = 64 * PARITY
-    odd = np.bincount(row * size + (shingles & np.uint64(size - 1)).astype(np.int64), minlength=n * size) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(n, size), axis=1).view(np.int64)
-
-
 def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _sets(k: int, percent: int, bound: int):
+def _sets(k: int, bound: int | None):
+    """Of each row: size of its set, two sums over it, and its shingles (those below `bound`)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in W.pieces(batch):
@@ -92,27 +90,23 @@ def _sets(k: int, percent: int, bound: int):
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 whole = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
                 ends = np.cumsum(n)
-                one, two = np.zeros(len(whole) + 1, np.uint64), np.zeros(len(whole) + 1, np.uint64)
-                np.cumsum(W.mix(whole), out=one[1:])
-                np.cumsum(W.mix(whole ^ np.uint64(0x5555AAAA5555AAAA)), out=two[1:])
-                low = np.array([np.searchsorted(s, np.uint64(bound)) for s in sets], dtype=np.int64)
-                prefix = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
-                take = np.maximum(low, prefix)
-                begin = pa.array(np.append(0, np.cumsum(take)).astype(np.int32))
-                bits = parity(whole, np.repeat(np.arange(len(n)), n), len(n))
-                lists = np.concatenate([s[:t] for s, t in zip(sets, take, strict=True)]) if len(sets) else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_pydict({
-                    "rid": rows.column("rid"), "n": pa.array(n), "low": pa.array(low),
-                    "one": pa.array((one[ends] - one[ends - n]).view(np.int64)), "two": pa.array((two[ends] - two[ends - n]).view(np.int64)),
-                    **{c: pa.array(np.ascontiguousarray(bits[:, i])) for i, c in enumerate(_BITS)},
-                    "lists": pa.ListArray.from_arrays(begin, pa.array(lists.view(np.int64))),
-                })
+                out = {"rid": rows.column("rid"), "n": pa.array(n)}
+                if bound is not None:
+                    one, two = np.zeros(len(whole) + 1, np.uint64), np.zeros(len(whole) + 1, np.uint64)
+                    np.cumsum(W.mix(whole), out=one[1:])
+                    np.cumsum(W.mix(whole ^ np.uint64(0x5555AAAA5555AAAA)), out=two[1:])
+                    out |= {"one": pa.array((one[ends] - one[ends - n]).view(np.int64)), "two": pa.array((two[ends] - two[ends - n]).view(np.int64))}
+                    low = whole < np.uint64(bound)
+                    below = np.append(0, np.cumsum(low))
+                    whole, n = whole[low], below[ends] - below[ends - n]
+                begin = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
+                yield pa.RecordBatch.from_pydict(out | {"shingles": pa.ListArray.from_arrays(begin, pa.array(whole.view(np.int64)))})
 
     return run
 
 
 def t_occurrence(query: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Exact overlaps of the query with those sets that reach the threshold, 0 for others (DivideSkip over these sets' inverted lists)."""
+    """Exact overlaps of the query with those sets that reach the threshold, 0 for others: DivideSkip over these sets' inverted lists."""
     least = max(1, least_overlap(len(query), percent))
     tokens = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -121,125 +115,167 @@ def t_occurrence(query: np.ndarray, sets: list[np.ndarray], percent: int) -> np.
     begin, end = np.searchsorted(tokens, query), np.searchsorted(tokens, query, side="right")
     length = end - begin
     by_length = np.argsort(length, kind="stable")
-    longest = int(length.max(initial=0))
-    n_long = min(least - 1, int(least / (0.01 * np.log2(longest + 1) + 1))) if len(sets) > 1 else 0
+    # long lists: as many as balance probing against merging, T - 1 at most
+    n_long = min(least - 1, int(least / (0.01 * np.log2(int(length.max(initial=0)) + 1) + 1)))
     short, long = by_length[: len(query) - n_long], by_length[len(query) - n_long :]
-    size = length[short]
-    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[short], size)
-    count = np.bincount(owner[at], minlength=len(sets))
     probe = query[long]
     out = np.zeros(len(sets), dtype=np.int64)
-    for i in np.flatnonzero(count >= least - n_long):
-        s = sets[i]
-        n = int(count[i])
-        if len(probe):
+
+    def settle(i: int, n: int) -> None:
+        if n >= least - n_long:
+            s = sets[i]
             n += int((s[np.minimum(np.searchsorted(s, probe), len(s) - 1)] == probe).sum())
-        if 100 * n >= percent * (len(query) + len(s) - n):
-            out[i] = n
+            if 100 * n >= percent * (len(query) + len(s) - n):
+                out[i] = n
+
+    at, n = -1, 0
+    for i in heapq.merge(*(owner[begin[j] : end[j]].tolist() for j in short if length[j])):
+        if i != at:
+            if n:
+                settle(at, n)
+            at, n = i, 0
+        n += 1
+    if n:
+        settle(at, n)
     return out
 
 
-def _verify(k: int, percent: int):
+def _search(percent: int):
+    """Links of each centre with the members of its block; a block's first row is the centre."""
+
+    def links(centre: int, query: np.ndarray, ids: list[int], sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+        got = np.flatnonzero(t_occurrence(query, sets, percent)) if sets else []
+        return [centre] * len(got), [ids[i] for i in got]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                a = batch.column("a").to_numpy()
-                b = batch.column("b").to_numpy()
-                members: list[np.ndarray] = []
-                for _, data, offsets in W.pieces(batch, "text_b"):
-                    members += shingle_sets(data, offsets, k)
-                us, vs = [], []
-                for key in np.unique(a):
-                    rows = np.flatnonzero(a == key)
-                    data, offsets = W.raw(batch.column("text_a").slice(int(rows[0]), 1))
-                    got = t_occurrence(shingle_sets(data, offsets, k)[0], [members[i] for i in rows], percent)
-                    us += [key] * int((got > 0).sum())
-                    vs += b[rows[got > 0]].tolist()
-                yield pa.RecordBatch.from_pydict({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+        centre, query, ids, sets = None, None, [], []
+        for batch in batches:
+            us, vs = [], []
+            flat = batch.column("shingles")
+            at = flat.offsets.to_numpy()
+            values = flat.values.to_numpy().view(np.uint64)
+            for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
+                mine = values[at[i] : at[i + 1]]
+                if b is None:
+                    if sets:
+                        u, v = links(centre, query, ids, sets)
+                        us, vs = us + u, vs + v
+                    centre, query, ids, sets = a, mine.copy(), [], []
+                else:
+                    ids.append(b)
+                    sets.append(mine.copy())
+            yield pa.RecordBatch.from_pydict({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+        u, v = links(centre, query, ids, sets) if sets else ([], [])
+        yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    with_b = pairs.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_verify(k, percent), "u long, v long")
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of those pairs (a, b) that link, given the sets (rid, shingles) of both."""
+    blocks = near(written(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("of")), "blocks"))
+    member = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("of")).cast("int")).drop("of")
+    member = member.join(sets.withColumnRenamed("rid", "b"), "b").select("a", "block", "b", "shingles")
+    centre = sets.withColumnRenamed("rid", "a").join(blocks, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("block"), F.lit(None).cast("long").alias("b"), "shingles")
+    dealt = centre.unionByName(member).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    return dealt.mapInArrow(_search(percent), "u long, v long")
 
 
-def classes(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """(rid, n_shingles, component) for docs (rid, text)."""
-    bound = int(MEASURED * (1 << 63)) if percent >= 81 else int((1.25 * (1 - percent / 100)) * (1 << 63))
-    sets = written(docs.mapInArrow(_sets(k, percent, bound), f"rid long, n long, low long, one long, two long, {', '.join(f'{c} long' for c in _BITS)}, lists array<long>"), "sets")
-    first = sets.filter("n > 0").groupBy("one", "two", "n").agg(F.min("rid").alias("rep"), F.count("*").alias("copies"))
-    copies = written(sets.filter("n > 0").select("rid", "one", "two", "n").join(first.filter("copies > 1"), ["one", "two", "n"]).filter("rid <> rep").select("rid", "rep"), "copies")
-    gone = F.broadcast(copies.select("rid")) if small(copies) else copies.select("rid")
-    reps = sets.filter("n > 0").join(gone, "rid", "left_anti")
-
-    rows = reps.select("rid", F.explode("lists").alias("s"))
+def _alone(rows: DataFrame) -> DataFrame:
+    """(rid, alone): how many of the rows (rid, s) no other document has, where there are any."""
+    own = rows.groupBy("s").agg(F.count("*").alias("c"), F.min("rid").alias("rid")).filter("c = 1")
+    return own.groupBy("rid").agg(F.count("*").alias("alone"))
+
+
+def _reach(percent: int) -> Column:
+    """How many shingles of its own rule out any partner: n - T + 1."""
+    return F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+
+
+def _crowded(rows: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """(rid, n) of the rows with fewer shingles of their own (in lists: rid, s) than rule out any partner."""
+    return rows.select("rid", "n").join(_alone(lists), "rid", "left").filter(F.coalesce("alone", F.lit(0)) < _reach(percent)).select("rid", "n")
+
+
+def _short_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """(s, rid, n, alone, parity) of each document's short lists, from (rid, n, shingles)."""
+    rows = sets.select("rid", "n", F.explode("shingles").alias("s"))
     shared = rows.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    size = reps.select("rid", "n", "low", *_BITS)
-    listed = rows.join(shared, "s").join(size, "rid").withColumn("late", (F.col("s") >= F.lit(bound)).cast("int"))
-    own = Window.partitionBy("rid")
-    ranked = listed.withColumn("alone", F.col("low") - F.sum(1 - F.col("late")).over(own)).withColumn("rank", F.row_number().over(own.orderBy("late", "df", "s")))
-    kept = ranked.filter((F.col("alone") < prefix) & ((F.col("late") == 1) | (F.col("rank") <= prefix - F.col("alone")))).select("s", "rid", "n", "alone", *_BITS)
-    lists = written(kept, "lists")
-    members = lists.select("rid").distinct()
-    texts = written(semi(docs, members, ["rid"]), "texts")
-
-
-    def alike(other: str) -> Column:
-        """The length and parity filters on a row and another's columns, which end in `other`."""
-        x, y = F.col("n"), F.col(f"n{other}")
-        differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}{other}"))) for c in _BITS), F.lit(0))
-        return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & ((100 + percent) * differ <= (100 - percent) * (x + y))
-
-    seen: DataFrame | None = None
-    forest: DataFrame | None = None
-    open_lists = lists.withColumn("c", F.col("rid"))
-    for turn in range(ROUNDS + 1):
-        if forest is not None:
-            label = open_lists.drop("c").join(forest.withColumnRenamed("node", "rid"), "rid", "left")
-            label = label.withColumn("c", F.coalesce("component", "rid")).drop("component")
-        else:
-            label = open_lists
-        mixed = label.groupBy("s").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("s")
-        open_lists = written(label.join(mixed, "s"), "lists")
-        left = open_lists.groupBy("s", "c").agg(F.count("*").alias("k")).groupBy("s").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("pairs"), F.sum("k").alias("k")).agg(F.sum("pairs").alias("pairs"), F.sum("k").alias("rows")).first()
-        if not left.rows:
-            break
-        if turn == ROUNDS or left.pairs <= 2 * DENSE * left.rows:
-            other = open_lists.select("s", F.col("rid").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"), *(F.col(c).alias(f"{c}_b") for c in _BITS))
-            pairs = open_lists.withColumnRenamed("rid", "a").join(other, "s").filter((F.col("c") < F.col("c_b")) & alike("_b")).select("a", "b").distinct()
-            last = True
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(F.lit(63)).cast("int"))
+    word = F.shiftright("s", 6).bitwiseAND(F.lit(PARITY - 1))
+    bits = [F.coalesce(F.expr("bit_xor(_bit) FILTER (WHERE _word = %d)" % i), F.lit(0).cast("long")).alias(c) for i, c in enumerate(_BITS)]
+    mine = rows.join(shared, "s").withColumn("_bit", bit).withColumn("_word", word).groupBy("rid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("lists"), *bits)
+    ranked = mine.withColumn("alone", F.col("n") - F.size("lists")).filter(F.col("alone") < _reach(percent))
+    return ranked.select("rid", "n", "alone", *_BITS, F.explode(F.slice("lists.s", 1, (_reach(percent) - F.col("alone")).cast("int"))).alias("s"))
+
+
+_ROW = ["n", "alone", *_BITS]
+
+
+def _may_link(percent: int) -> Column:
+    """The length filter and the distance bound on a row and another's columns, which end in _a."""
+    x, y = F.col("n"), F.col("n_a")
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_a"))) for c in _BITS), F.col("alone") + F.col("alone_a"))
+    return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & ((100 + percent) * apart <= (100 - percent) * (x + y))
+
+
+def _forest(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """(node, component) of documents that link, from their short lists; None where there is none."""
+    labelled, seen, forest, turn = lists.withColumn("c", F.col("rid")), None, None, 0
+    while True:
+        # lists that still lie in several components, and whose members have not all been centres
+        size = labelled.groupBy("s").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("k")).filter("c0 <> c1").select("s", "k")
+        if turn > 1:
+            size = size.filter(F.col("k") > GROW ** (turn - 1))
+        opened = written(labelled.join(size, "s"), "lists")
+        if not opened.limit(1).count():
+            return forest
+        if turn == 0:
+            typical = F.min(F.struct(F.col("alone") / F.col("n"), "rid", "c", *_ROW))
+            centres = opened.groupBy("s").agg(typical.alias("x")).select("s", "x.rid", "x.c", *(F.col(f"x.{c}").alias(c) for c in _ROW))
         else:
-            # the next centre is the most typical member of the component that has not been compared with all of the list
-            typical = F.min(F.struct(F.col("alone") / F.col("n"), F.col("rid"), F.col("n"), F.col("c"), *_BITS))
-            if turn:
-                # of the smallest components first, so that a list's large component is met by what is outside it
-                parts = open_lists.groupBy("s", "c").agg(F.count("*").alias("k"), typical.alias("x"))
-                centre = parts.groupBy("s").agg(F.min_by("x", F.struct(F.pmod(F.xxhash64("c", F.lit(turn)), F.lit(1 << 20)), F.col("c"))).alias("x"))
-            else:
-                centre = open_lists.groupBy("s").agg(typical.alias("x"))
-            centre = centre.select("s", F.col("x.rid").alias("a"), F.col("x.n").alias("n_a"), F.col("x.c").alias("c_a"), *(F.col(f"x.{c}").alias(f"{c}_a") for c in _BITS))
-            pairs = open_lists.join(centre, "s").filter((F.col("c") != F.col("c_a")) & alike("_a")).select("a", F.col("rid").alias("b")).distinct()
-            last = False
+            spot = F.pmod(F.xxhash64("rid", "s"), F.lit(1 << 40))
+            centres = opened.filter((F.col("k") <= GROW**turn) | (spot < F.floor(F.lit(float(GROW**turn << 40)) / F.col("k")))).drop("k")
+        centres = centres.select("s", F.col("rid").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ["c", *_ROW]))
+        met = opened.join(centres, "s").filter((F.col("c") != F.col("c_a")) & _may_link(percent))
+        # a pair goes by its centre at first; then the smaller id stands for it, as both may be centres
+        pairs = met.select("a", F.col("rid").alias("b")) if turn == 0 else met.select(F.least("a", "rid").alias("a"), F.greatest("a", "rid").alias("b"))
+        pairs = written(pairs.distinct(), "pairs")
         if seen is not None:
-            pairs = pairs.join(seen, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
-        pairs = written(pairs, "pairs")
+            pairs = pairs.join(seen, (F.least(pairs.a, pairs.b) == F.col("x")) & (F.greatest(pairs.a, pairs.b) == F.col("y")), "left_anti")
         done = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
         seen = done if seen is None else seen.unionByName(done)
-        links = _links(pairs, texts, k, percent)
-        if forest is not None:
-            links = links.unionByName(forest.select(F.col("node").alias("u"), F.col("component").alias("v")).filter("u <> v"))
-        forest = components(links)
-        if last:
-            break
-    out = sets.select("rid", "n").join(copies, "rid", "left").withColumn("node", F.coalesce("rep", "rid"))
-    if forest is None:
-        return out.select("rid", F.col("n").alias("n_shingles"), F.col("node").alias("component"))
-    return out.join(forest, "node", "left").select("rid", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component"))
+        links = written(_links(pairs, sets, percent), "links")
+        if links.limit(1).count():
+            if forest is not None:
+                links = links.unionByName(forest.select(F.col("node").alias("u"), F.col("component").alias("v")).filter("u <> v"))
+            forest = components(links)
+            label = opened.drop("c", "k").join(near(forest.withColumnRenamed("node", "rid")), "rid", "left")
+            labelled = label.withColumn("c", F.coalesce("component", "rid")).drop("component")
+        else:
+            labelled = opened.drop("k")
+        turn += 1
+
+
+def classes(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """(rid, n_shingles, component) for docs (rid, text), as a written table."""
+    with scratch() as result:
+        sets = written(docs.mapInArrow(_sets(k, int(MEASURED * (1 << 63))), "rid long, n long, one long, two long, shingles array<long>"), "sets")
+        some = sets.filter("n > 0")
+        first = some.groupBy("one", "two", "n").agg(F.min("rid").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+        copies = some.select("rid", "one", "two", "n").join(near(written(first, "first")), ["one", "two", "n"]).filter("rid <> rep").select("rid", "rep")
+        copies = written(copies, "copies")
+        reps = some.join(near(copies.select("rid")), "rid", "left_anti").select("rid", "n", "shingles")
+        rows = written(_crowded(reps, reps.select("rid", F.explode("shingles").alias("s")), percent), "crowded")
+        full = written(docs.join(near(rows.select("rid")), "rid", "left_semi").mapInArrow(_sets(k, None), "rid long, n long, shingles array<long>"), "full")
+        rows = written(_crowded(rows, full.select("rid", F.explode("shingles").alias("s")), percent), "crowded")
+        full = written(full.join(near(rows.select("rid")), "rid", "left_semi"), "full")
+        lists = written(_short_lists(full, percent), "lists")
+        forest = _forest(lists, full.select("rid", "shingles"), percent)
+        out = sets.select("rid", F.col("n").alias("n_shingles")).join(near(copies), "rid", "left").withColumn("node", F.coalesce("rep", "rid"))
+        if forest is None:
+            return result(out.select("rid", "n_shingles", F.col("node").alias("component")), "classes")
+        return result(out.join(near(forest), "node", "left").select("rid", "n_shingles", F.coalesce("component", "node").alias("component")), "classes")
 
 
 def digest(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -254,8 +290,7 @@ def deduplicate(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFram
     rows, back = keyed(docs)
     gone = classes(rows, k, percent).filter("rid <> component").select("rid")
     if back is None:
-        gone = written(gone.withColumnRenamed("rid", "_gone"), "gone")
-        return docs.alias("d").join((F.broadcast(gone) if small(gone) else gone).alias("g"), F.col("d.doc_id") == F.col("g._gone"), "left_anti")
+        return docs.alias("d").join(near(gone.withColumnRenamed("rid", "_gone")).alias("g"), F.col("d.doc_id") == F.col("g._gone"), "left_anti")
     # repeated ids: rows keep their own text, and of equal rows one stays
     stay = rows.join(back, "rid").join(gone, "rid", "left_anti").select(F.col("id").alias("_id"), F.col("text").alias("_text"))
     mine = packed(docs, "doc_id", "text").join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text").eqNullSafe(F.col("_text")), "left_semi")

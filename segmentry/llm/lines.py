@@ -8,16 +8,18 @@ with it; lines are judged on the input, so what matches a removed line goes too.
     opens with its bucket's rank and ends in its hash, so all lines order their words alike, rare ones first.
 2.  Lines with equal sets collapse into the first of them by two 64-bit hashes of the codes; the others are removed.
 3.  The prefix filter: lines can only match if they share one of their n - ceil(percent * n / 100) + 1 rarest
-    words. A semi-join on these, with the length filter, the positional filter and a parity filter (128 bits, each
-    flipped by the words that hash to it: two lines differ in at least as many words as in bits), keeps the lines that
-    may match any other; as a semi-join it makes no pairs.
-4.  These lines are verified word by word. The centre of a rare word's list is its earliest line, then the earliest that
-    nothing has matched yet; each line is verified against the earliest centre of its lists. What is left after CENTRES
-    rounds meets everything earlier that passes the filters. So groups of near copies are settled by a few lines each and never make all their pairs, and nothing is cut.
+    words. Where the first word they share is a frequent one (HOT), all they share are, and they share a second within one
+    word more; so a frequent word's list is split by the second word. A semi-join on these keys, with the length filter, the
+    positional filter and a parity filter (64 bits, 128 for long lines, each flipped by the words that hash to it: two lines differ in at least
+    as many words as in bits), keeps the lines that may match any other; as a semi-join it makes no pairs.
+4.  These lines are verified word by word. A key's list first meets its earliest line, then what nothing has matched
+    yet meets 16, 256, ... of the list's lines at random, as far as they are earlier, until it has met all. So groups of near
+    copies are settled by a few lines each and never make all their pairs, and nothing is cut.
 
 Defined cases: null text stays null (0 lines); lines without a word are kept and match nothing; rows that share a
 doc_id (or have none) are documents of their own in order of text, equal ones counting as one (each result row is
-the same); an emptied document stays, with empty text; an empty table gives an empty result; other columns pass through.
+the same); an emptied document stays, with empty text; very long texts are split whole, a line at a time; an empty
+table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -25,11 +27,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, packed, small, text_changed, unpacked, written
+from .common import keyed, near, packed, scratch, text_changed, unpacked, written
 
 PERCENT = 80
 BITS = 17
-CENTRES = 2
+#: Occurrences of a bucket's words, as a power of two, from which a word is frequent.
+HOT = 16
+#: Words of a line from which its parity has 128 bits.
+LONG = 32
+#: Lines of a list that are met grow by this factor a round.
+GROW = 16
 _AT = ["rid", "pos"]
 
 
@@ -61,26 +68,39 @@ def _sets(docs: DataFrame, percent: int, bits: int) -> DataFrame:
     codes = lines.select(*_AT, F.sort_array(F.array_distinct(F.transform(F.transform(F.array_remove(F.split("line", " "), ""), lambda w: F.xxhash64(w)), code))).alias("codes"))
     n = F.size("codes")
 
-    def parity(half: int) -> Column:
-        """64 bits, each flipped by the words of that half (by a bit of their hash) that six other bits assign to it."""
-        mine = F.filter("codes", lambda c: c.bitwiseAND(F.lit(1)) == half)
-        return F.aggregate(mine, F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, 1).bitwiseAND(F.lit(63)).cast("int"))))
 
-    return codes.select(*_AT, n.alias("n"), F.xxhash64("codes").alias("one"), F.xxhash64(F.lit(percent), "codes").alias("two"), parity(0).alias("parity"), parity(1).alias("more"), F.slice("codes", 1, n - F.ceil(n * percent / 100).cast("int") + 1).alias("prefix"))
+    def parity(of: Column) -> Column:
+        return F.aggregate(of, F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
+
+    # long lines: also the parity of those words whose next bit is set
+    more = F.when(n > LONG, parity(F.filter("codes", lambda c: c.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long"))
+    return codes.select(*_AT, n.alias("n"), F.xxhash64("codes").alias("one"), F.xxhash64(F.lit(percent), "codes").alias("two"), parity(F.col("codes")).alias("parity"), more.alias("more"), F.slice("codes", 1, n - F.ceil(n * percent / 100).cast("int") + 2).alias("prefix"))
 
 
 _ROW = [*_AT, "n", "parity", "more"]
 
 
-def _lists(lines: DataFrame) -> DataFrame:
-    """A row for each prefix word (code, place i) of each line."""
-    return lines.select(*_ROW, F.posexplode("prefix").alias("i", "code"))
+def _lists(lines: DataFrame, percent: int) -> DataFrame:
+    """A row for each key (code) of each line: a prefix word at place i, or a frequent one there with one after it."""
+    # all of a prefix but its last word may be the first that is shared; a line of few words may have no more
+    firsts = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    frequent = F.lit(16 * HOT)
+
+    def rank(code: Column) -> Column:
+        return F.shiftrightunsigned(code, 52)
+
+    one = lines.select(*_ROW, F.posexplode(F.slice("prefix", 1, firsts)).alias("i", "code")).filter(rank(F.col("code")) < frequent)
+    some = lines.filter(rank(F.get("prefix", firsts - 1)) >= frequent)
+    each = some.select(*_ROW, "prefix", F.posexplode(F.slice("prefix", 1, firsts)).alias("i", "code")).filter(rank(F.col("code")) >= frequent)
+    two = each.select(*_ROW, "i", "code", F.explode(F.slice("prefix", F.col("i") + 2, F.size("prefix"))).alias("other"))
+    return one.select(*_ROW, "i", "code").unionByName(two.select(*_ROW, "i", F.xxhash64("code", "other").alias("code")))
 
 
 def _may_match(percent: int) -> Column:
     """Length, parity and positional filters on a pair of prefix rows (aliases x and y)."""
     p, both = percent, F.col("x.n") + F.col("y.n")
-    differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in ("parity", "more")), F.lit(0))
+    whole, half = (F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")) for c in ("parity", "more"))
+    differ = F.when(F.least("x.n", "y.n") > LONG, F.bit_count(whole.bitwiseXOR(half)) + F.bit_count(half)).otherwise(F.bit_count(whole))
     # words before the shared one may be shared too: a pair meets at each word that its prefixes share
     before, after = F.least("x.i", "y.i"), F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
     return (100 * F.least("x.n", "y.n") >= p * F.greatest("x.n", "y.n")) & ((100 + p) * differ <= (100 - p) * both) & ((100 + p) * (before + after) >= p * both)
@@ -101,20 +121,15 @@ def _pairs(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
 
 def _candidates(able: DataFrame, percent: int) -> DataFrame:
     """(rid, pos) of the lines that share a prefix word with another line and pass the filters with it."""
-    lists = _lists(able)
+    lists = _lists(able, percent)
     other = (F.col("y.rid") != F.col("x.rid")) | (F.col("y.pos") != F.col("x.pos"))
     return lists.alias("x").join(lists.alias("y"), (F.col("x.code") == F.col("y.code")) & other & _may_match(percent), "left_semi").select(*_AT).distinct()
 
 
-def _near(few: DataFrame) -> DataFrame:
-    """The written side of a join: broadcast where it is small, else shuffled."""
-    return F.broadcast(few) if small(few) else few
-
-
 def _words_of(docs: DataFrame, at: DataFrame) -> DataFrame:
     """(rid, pos, words) of the lines at (rid, pos)."""
     by_doc = written(at.groupBy("rid").agg(F.collect_list("pos").alias("at")), "at")
-    cut = docs.join(_near(by_doc), "rid").select("rid", F.split(_plain("text"), "\n").alias("lines"), "at")
+    cut = docs.join(near(by_doc), "rid").select("rid", F.split(_plain("text"), "\n").alias("lines"), "at")
     each = cut.select("rid", F.explode(F.arrays_zip("at", F.transform("at", lambda p: F.get("lines", p)).alias("line"))).alias("x"))
     return each.select("rid", F.col("x.at").alias("pos"), F.array_distinct(F.array_remove(F.split("x.line", " "), "")).alias("words"))
 
@@ -128,37 +143,37 @@ def _verified(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
     return both.filter((100 + percent) * shared >= percent * (F.size("x_words") + F.size("y_words"))).select(F.col("x_rid").alias("rid"), F.col("x_pos").alias("pos")).distinct()
 
 
-def later_matches(docs: DataFrame, percent: int = PERCENT, bits: int = BITS, centres: int = CENTRES) -> DataFrame:
+def later_matches(docs: DataFrame, percent: int = PERCENT, bits: int = BITS) -> DataFrame:
     """(rid, pos) of the lines of docs (rid, text) that match an earlier line."""
     sets = written(_sets(docs, percent, bits), "lines")
     first = written(sets.groupBy("one", "two").agg(F.min(F.struct(*_AT)).alias("first"), F.count("*").alias("n")).filter("n > 1").select("one", "two", "first"), "first")
-    copies = written(sets.select(*_AT, "one", "two").join(_near(first), ["one", "two"]).filter((F.col("rid") != F.col("first.rid")) | (F.col("pos") != F.col("first.pos"))).select(*_AT), "copies")
+    copies = written(sets.select(*_AT, "one", "two").join(near(first), ["one", "two"]).filter((F.col("rid") != F.col("first.rid")) | (F.col("pos") != F.col("first.pos"))).select(*_AT), "copies")
     # a set so small that one word more is too many matches only its equals
-    able = sets.filter(100 * F.col("n") >= percent * (F.col("n") + 1)).join(_near(copies), _AT, "left_anti")
-    near = written(_candidates(able, percent), "near")
-    members = written(able.join(_near(near), _AT, "left_semi").select(*_ROW, "prefix"), "members")
-    words = written(_words_of(docs, near), "words")
-    lists, found, seen, used = _lists(members), copies, None, None
-    open_lines = members
-    for turn in range(centres + 1):
-        x = _lists(open_lines)
-        if turn == centres:
-            pairs = _pairs(x, lists, percent).distinct()
-        else:
-            # a list's centre: its earliest line, then the earliest that nothing has matched and that wasn't its centre
-            rows = x if used is None else x.join(used, ["code", *_AT], "left_anti")
-            y = written(rows.groupBy("code").agg(F.min(F.struct(*_ROW, "i")).alias("y")).select("code", "y.*"), "centres")
-            used = y.select("code", *_AT) if used is None else used.unionByName(y.select("code", *_AT))
-            # of its lists' centres, a line meets the earliest
+    able = sets.filter(100 * F.col("n") >= percent * (F.col("n") + 1)).join(near(copies), _AT, "left_anti")
+    at = written(_candidates(able, percent), "near")
+    members = written(able.join(near(at), _AT, "left_semi").select(*_ROW, "prefix"), "members")
+    words = written(_words_of(docs, at), "words")
+    spot = F.pmod(F.xxhash64(*_AT), F.lit(1 << 40))
+    lists = written(_lists(members, percent).withColumn("spot", spot), "lists")
+    found, open_lines, turn = copies, members, 0
+    while True:
+        x = _lists(open_lines, percent)
+        if turn == 0:
+            # of its lists' earliest lines, a line meets the earliest
+            y = lists.groupBy("code").agg(F.min(F.struct(*_ROW, "i")).alias("y")).select("code", "y.*")
             pairs = _pairs(x, y, percent).groupBy("x_rid", "x_pos").agg(F.min(F.struct("y_rid", "y_pos")).alias("y")).select("x_rid", "x_pos", "y.*")
-        if seen is not None:
-            pairs = pairs.join(seen, _PAIR, "left_anti")
-        pairs = written(pairs, "pairs")
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        got = written(_verified(pairs, words, percent), "matched")
+        else:
+            size = x.groupBy("code").agg(F.count("*").alias("open")).join(lists.groupBy("code").agg(F.count("*").alias("k")), "code")
+            size = written(size.filter(F.col("k") > (GROW ** (turn - 1) if turn > 1 else 1)).select("code", "k"), "sizes")
+            if not size.limit(1).count():
+                return found
+            upto = [F.least(F.lit(1.0), F.lit(float(GROW**t)) / F.col("k")) * F.lit(float(1 << 40)) for t in (turn - 1, turn)]
+            y = lists.join(near(size), "code").filter((F.col("spot") < upto[1]) & (F.col("spot") >= upto[0] if turn > 1 else F.lit(True)))
+            pairs = _pairs(x, y, percent).distinct()
+        got = written(_verified(written(pairs, "pairs"), words, percent), "matched")
         found = found.unionByName(got)
-        open_lines = written(open_lines.join(got, _AT, "left_anti"), "open")
-    return found
+        open_lines = written(open_lines.join(near(got), _AT, "left_anti"), "open")
+        turn += 1
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -167,12 +182,12 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Other columns stay as they are; n_chars, where there is one, follows the text.
     """
     rows, back = keyed(docs)
-    gone = later_matches(rows, percent).groupBy("rid").agg(F.sort_array(F.collect_list("pos")).alias("_gone"))
+    with scratch() as result:
+        gone = result(later_matches(rows, percent).groupBy("rid").agg(F.sort_array(F.collect_set("pos")).alias("_gone")), "gone")
     if back is None:
-        gone = written(gone.withColumnRenamed("rid", "_rid"), "gone")
-        joined = packed(docs, "doc_id", "text").join(_near(gone), F.col("doc_id") == F.col("_rid"), "left")
+        joined = packed(docs, "doc_id", "text").join(near(gone.withColumnRenamed("rid", "_rid")), F.col("doc_id") == F.col("_rid"), "left")
     else:
-        of = written(rows.join(back, "rid").join(gone, "rid").select(F.col("id").alias("_id"), F.col("text").alias("_text"), "_gone"), "gone")
+        of = rows.join(back, "rid").join(gone, "rid").select(F.col("id").alias("_id"), F.col("text").alias("_text"), "_gone")
         joined = packed(docs, "doc_id", "text").join(of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text") == F.col("_text")), "left")
     joined = joined.withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split("text", "\n")))
     ends = F.concat("_gone", F.array(F.size("_lines")))

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,8 +213,11 @@ def brute_lines(rows, percent=80):
     return out
 
 
-@pytest.mark.parametrize("centres", [0, 1, 2])
-def test_op4_matches_brute_force(spark, centres):
+@pytest.mark.parametrize("hot, grow, long", [(16, 16, 32), (0, 2, 2), (3, 3, 1000)])
+def test_op4_matches_brute_force(spark, monkeypatch, hot, grow, long):
+    monkeypatch.setattr(lines, "HOT", hot)
+    monkeypatch.setattr(lines, "GROW", grow)
+    monkeypatch.setattr(lines, "LONG", long)
     rng = random.Random(8)
     base = [f"v{rng.randrange(40)}" for _ in range(14)]
     rows = corpus(5, 30)
@@ -223,9 +227,9 @@ def test_op4_matches_brute_force(spark, centres):
         rows.append((1000 + i, " ".join(words) + "\n\n" + "  ".join(reversed(words)) + "\n"))
     docs = table(spark, rows)
     want = brute_lines(rows)
-    found = lines.later_matches(docs.select(F.col("doc_id").alias("rid"), "text"), centres=centres)
+    found = lines.later_matches(docs.select(F.col("doc_id").alias("rid"), "text"))
     assert found.count() == found.distinct().count() == sum(w[1] for w in want.values())
-    if centres == 2:
+    if hot == 16:
         got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in lines.digest(docs).collect()}
         assert got == want
 
@@ -318,8 +322,10 @@ def brute_components(rows, k=4, percent=85):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize("seed, k, percent", [(1, 4, 85), (2, 4, 85), (3, 5, 80)])
-def test_op8_matches_brute_force(spark, seed, k, percent):
+@pytest.mark.parametrize("seed, k, percent, grow, block", [(1, 4, 85, 16, 1000), (2, 4, 85, 2, 3), (3, 5, 80, 16, 1000)])
+def test_op8_matches_brute_force(spark, monkeypatch, seed, k, percent, grow, block):
+    monkeypatch.setattr(jaccard, "GROW", grow)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rng = random.Random(seed)
     rows = corpus(seed, 40)
     base = [f"u{rng.randrange(500)}" for _ in range(90)]
@@ -333,6 +339,34 @@ def test_op8_matches_brute_force(spark, seed, k, percent):
     assert kept == {i for i, (_, c) in got.items() if i == c}
 
 
+def test_op8_t_occurrence_search_gives_exact_overlaps():
+    rng = np.random.default_rng(3)
+    for percent in (85, 50, 20):
+        for _ in range(200):
+            query = np.sort(rng.choice(60, rng.integers(1, 30), replace=False)).astype(np.uint64)
+            sets = [np.sort(rng.choice(60, rng.integers(1, 30), replace=False)).astype(np.uint64) for _ in range(8)]
+            sets += [np.sort(np.append(query[rng.random(len(query)) < 0.9], np.uint64(100))) for _ in range(8)]
+            shared = [len(np.intersect1d(query, x)) for x in sets]
+            want = [n if 100 * n >= percent * (len(query) + len(x) - n) else 0 for n, x in zip(shared, sets, strict=True)]
+            assert jaccard.t_occurrence(query, sets, percent).tolist() == want
+
+
+def test_op8_closes_a_list_of_many_components(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROW", 2)
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(40):  # each near the base, few near one another; two of them by the same edits
+        words = base[:]
+        for j in random.Random(i // 2).sample(range(120), 6):
+            words[j] = f"e{j}.{i // 2}"
+        if i % 2:
+            words[rng.randrange(120)] = f"x{i}"
+        rows.append((i + 1, " ".join(words)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows) and len({c for _, c in got.values()}) > 10
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)]
