@@ -82,18 +82,21 @@ _ROW = [*_AT, "n", "parity", "more"]
 
 def _lists(lines: DataFrame, percent: int) -> DataFrame:
     """A row for each key (code) of each line: a prefix word at place i, or a frequent one there with one after it."""
-    # all of a prefix but its last word may be the first that is shared; a line of few words may have no more
+    # the first shared word stands among all of a prefix but its last word
     firsts = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    frequent = F.lit(16 * HOT)
 
-    def rank(code: Column) -> Column:
-        return F.shiftrightunsigned(code, 52)
+    def frequent(code: Column) -> Column:
+        return F.shiftrightunsigned(code, 52) >= 16 * HOT
 
-    one = lines.select(*_ROW, F.posexplode(F.slice("prefix", 1, firsts)).alias("i", "code")).filter(rank(F.col("code")) < frequent)
-    some = lines.filter(rank(F.get("prefix", firsts - 1)) >= frequent)
-    each = some.select(*_ROW, "prefix", F.posexplode(F.slice("prefix", 1, firsts)).alias("i", "code")).filter(rank(F.col("code")) >= frequent)
-    two = each.select(*_ROW, "i", "code", F.explode(F.slice("prefix", F.col("i") + 2, F.size("prefix"))).alias("other"))
-    return one.select(*_ROW, "i", "code").unionByName(two.select(*_ROW, "i", F.xxhash64("code", "other").alias("code")))
+    def keys(i: Column) -> Column:
+        word = F.get("prefix", i)
+        return F.when(frequent(word), F.transform(F.slice("prefix", i + 2, F.size("prefix")), lambda other: F.xxhash64(word, other))).otherwise(F.array(word))
+
+    # words are in order of rarity, so the last one says whether any is frequent
+    any_frequent, places = frequent(F.get("prefix", firsts - 1)), F.sequence(F.lit(0), firsts - 1)
+    at = F.when(any_frequent, F.flatten(F.transform(places, lambda i: F.array_repeat(i, F.size(keys(i))))))
+    every = F.when(any_frequent, F.flatten(F.transform(places, keys))).otherwise(F.slice("prefix", 1, firsts))
+    return lines.select(*_ROW, at.alias("at"), F.posexplode(every).alias("i", "code")).select(*_ROW, F.coalesce(F.get("at", "i"), "i").alias("i"), "code")
 
 
 def _may_match(percent: int) -> Column:
