@@ -5,12 +5,13 @@ words. An item's windows are its runs of `n` consecutive words; an item with few
 none) is one window. The windows' hashes are broadcast; training texts are scanned with the same
 rolling hash, and each hit is verified word by word before it counts.
 
-The broadcast is bounded: benchmark items are dealt into blocks of at most `block_bytes` of text,
-and each block is one more narrow pass over the documents, so any benchmark size works without a shuffle.
+The broadcast is bounded: benchmark items are dealt into blocks of about `block_bytes` of text, and each block is one more
+narrow pass over the documents, so any benchmark size works without a shuffle. A block is arrays: the items' bytes,
+where their words begin and end, and windows in order of hash; about five times its text, on the driver and in a worker.
 
-Defined cases: a null or empty text has no words and no hits; a null item text has no windows; a null
+Defined cases: a null or empty text has no words and no hits; very long texts are scanned whole; a null item text has no windows; a null
 item_id counts as the empty id; repeated document rows each get their own result row; repeated items
-(same id) count once; an empty benchmark leaves every document clean; other columns are ignored.
+(same id) count once; an empty table of documents gives an empty result, and an empty benchmark leaves every document clean; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,23 +28,36 @@ from . import words as W
 from .common import packed, text_changed, unpacked
 
 N = 10
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 _HITS = "n_words long, spans array<int>, items array<string>"
 
 
-def _index(items: list[tuple[str, str]], n: int) -> dict[int, tuple[np.ndarray, dict[int, list[tuple[bytes, list[str]]]]]]:
-    """By window length: sorted hashes, and for each hash the windows' words and the items that have them."""
-    found: dict[int, dict[int, dict[bytes, set[str]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
-    for item, text in items:
-        data, offsets = W.raw(pa.array([text], pa.string()))
+class Index:
+    """Windows of `n` words of the items, a shorter item whole: by length of window, hashes in order and where each begins."""
+
+    def __init__(self, items: list[tuple[str, str]], n: int):
+        data, offsets = W.raw(pa.array([text for _, text in items], pa.string()))
         w = W.scan(data, offsets, W.ALNUM, lower=True)
-        if not len(w):
-            continue
-        size = min(n, len(w))
-        each = [w.word(i) for i in range(len(w))]
-        for i, h in enumerate(W.kgrams(w.hashes(), size)):
-            found[size][int(h)][b" ".join(each[i : i + size])].add(item)
-    return {size: (np.array(sorted(at), dtype=np.uint64), {h: [(k, sorted(v)) for k, v in of.items()] for h, of in at.items()}) for size, at in found.items()}
+        self.items = [item for item, _ in items]
+        self.data, self.starts, self.ends, self.row = w.data, w.starts, w.ends, w.row.astype(np.int32)
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        h = w.hashes()
+        sums = W.span_sums(h)
+        for size in np.unique(np.minimum(w.counts[w.counts > 0], n)).tolist():
+            g = W.kgrams(h, size, sums)
+            # of a full window's length all windows count, of a shorter one those that are whole items
+            at = np.flatnonzero(w.same_row(size) & (w.counts[w.row[: len(g)]] >= n if size == n else w.counts[w.row[: len(g)]] == size))
+            order = np.argsort(g[at], kind="stable")
+            self.windows[size] = (g[at][order], at[order].astype(np.int32))
+
+    def words(self, at: int, size: int) -> list[bytes]:
+        return [self.data[self.starts[i] : self.ends[i]].tobytes() for i in range(at, at + size)]
+
+    def of(self, size: int, h: np.uint64, words: list[bytes]) -> set[str]:
+        """The items that have this window, verified word by word."""
+        hashes, places = self.windows[size]
+        a, b = np.searchsorted(hashes, h), np.searchsorted(hashes, h, side="right")
+        return {self.items[self.row[at]] for at in places[a:b].tolist() if self.words(at, size) == words}
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[int]:
@@ -58,7 +72,7 @@ def _merge(spans: list[tuple[int, int]]) -> list[int]:
 
 def _scanner(index, columns: list[str], keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = index.value
+        block = index.value
         for batch in batches:
             for rows, data, offsets in W.pieces(batch):
                 w = W.scan(data, offsets, W.ALNUM, lower=True)
@@ -66,19 +80,22 @@ def _scanner(index, columns: list[str], keep_text: bool):
                 sums = W.span_sums(h)
                 spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
                 items: dict[int, set[str]] = defaultdict(set)
-                for size, (hashes, windows) in lengths.items():
+                known: dict[tuple[int, bytes], set[str]] = {}
+                for size, (hashes, _) in block.windows.items():
                     g = W.kgrams(h, size, sums)
                     if not len(g):
                         continue
                     at = np.minimum(np.searchsorted(hashes, g), len(hashes) - 1)
-                    for i in np.flatnonzero((hashes[at] == g) & w.same_row(size)):
-                        text = b" ".join(w.word(j) for j in range(i, i + size))
-                        for window, of in windows[int(g[i])]:
-                            if window == text:
-                                r = int(w.row[i])
-                                first = int(i - w.first[r])
-                                spans[r].append((first, first + size))
-                                items[r].update(of)
+                    for i in np.flatnonzero((hashes[at] == g) & w.same_row(size)).tolist():
+                        words = [w.word(j) for j in range(i, i + size)]
+                        key = (size, b" ".join(words))
+                        if key not in known:
+                            known[key] = block.of(size, g[i], words)
+                        if known[key]:
+                            r = int(w.row[i])
+                            first = int(i - w.first[r])
+                            spans[r].append((first, first + size))
+                            items[r] |= known[key]
                 had = rows.column("spans").to_pylist() if "spans" in rows.schema.names else [None] * rows.num_rows
                 listed = rows.column("items").to_pylist() if "items" in rows.schema.names else [None] * rows.num_rows
                 out = {c: rows.column(c) for c in columns}
@@ -102,7 +119,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str], n: in
     carried = [c for c in keep if c != "text"]
     for b in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == b)
-        index = spark.sparkContext.broadcast(_index([(r.item, r.body) for r in part.toLocalIterator()], n))
+        index = spark.sparkContext.broadcast(Index([(r.item, r.body) for r in part.toLocalIterator()], n))
         text = "text" in keep or b < blocks - 1
         kinds = {f.name: f.dataType.simpleString() for f in out.schema.fields}
         schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carried), *(["text string"] if text else []), _HITS])

@@ -7,12 +7,12 @@ its number of trigrams; prototypes are centred on their mean, which all language
 goes to the prototype with the largest cosine.
 
 Training is one pass: a task adds its documents into one vector a language, and those sums merge. What
-reaches the driver is languages x DIM numbers.
+reaches the driver is languages x DIM numbers, of at most MAX_LANGUAGES languages (ValueError beyond).
 
 Letters are lower-cased Unicode letters; any run of others is one blank, and each text has a blank at
 either end. Defined cases: a text that is null or has no letter is `und` with score 0; rows with a null
 lang teach nothing; a null doc_id is in no fold and so is not held out; with nothing to learn from, every
-document is `und`; ties go to the first language in code-point order; repeated rows each get a row.
+document is `und`; very long texts are read whole, in blocks of bounded size; an empty table gives an empty result; ties go to the first language in code-point order; repeated rows each get a row.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from . import words as W
 DIM = 1024
 SEED = 20240607
 CACHE = 40_000  # trigram vectors kept by a worker (1 kB each)
+CELLS = 1 << 23  # numbers in a matrix at most (32 MB)
+MAX_LANGUAGES = 2000  # prototypes on the driver (8 kB each)
 _ALPHA = np.array([chr(i).isalpha() for i in range(0x10000)])
 _VECTORS: dict[int, np.ndarray] = {}
 _GRAMS: dict[int, np.ndarray] = {}
@@ -83,14 +85,30 @@ def _bundle(texts: list[str | None], key: np.ndarray | None = None, n_keys: int
     size = n_keys if key is not None else len(texts)
     if not len(grams):
         return np.zeros((size, DIM), dtype=np.float32), lettered
-    distinct, which = np.unique(grams, return_inverse=True)
-    weight = None
+    weight = np.ones(len(grams), dtype=np.float32)
     if key is not None:
-        weight, row = (1.0 / np.bincount(row, minlength=len(texts)).clip(1))[row], key[row]
+        weight, row = (1.0 / np.bincount(row, minlength=len(texts)).clip(1))[row].astype(np.float32), key[row]
+    # distinct (row, trigram) pairs in order of row, with their weights
+    distinct, which = np.unique(grams, return_inverse=True)
+    pair, of = np.unique(row * len(distinct) + which, return_inverse=True)
+    much = np.bincount(of, weights=weight).astype(np.float32)
+    row, which = pair // len(distinct), pair % len(distinct)
     out = np.zeros((size, DIM), dtype=np.float32)
-    counts = np.bincount(row * len(distinct) + which, weights=weight, minlength=size * len(distinct)).reshape(size, -1).astype(np.float32)
-    for at in range(0, len(distinct), 4096):
-        out += counts[:, at : at + 4096] @ np.array([_gram(int(g)) for g in distinct[at : at + 4096]], dtype=np.float32)
+    at = 0
+    while at < len(pair):
+        # blocks of pairs whose vectors make CELLS numbers at most, and so does the matrix of rows by trigrams
+        to = min(len(pair), at + CELLS // DIM)
+        rows, r = np.unique(row[at:to], return_inverse=True)
+        kinds, g = np.unique(which[at:to], return_inverse=True)
+        vectors = np.array([_gram(int(x)) for x in distinct[kinds]], dtype=np.float32)
+        if len(rows) * len(kinds) <= CELLS:
+            counts = np.zeros((len(rows), len(kinds)), dtype=np.float32)
+            counts[r, g] = much[at:to]
+            out[rows] += counts @ vectors
+        else:  # many rows of few trigrams each: one sum a row over its own vectors
+            own = vectors[g] * much[at:to, None]
+            out[rows] += np.add.reduceat(own, np.flatnonzero(np.append(True, r[1:] != r[:-1])), axis=0)
+        at = to
     return out, lettered
 
 
@@ -109,6 +127,8 @@ def prototypes(docs: DataFrame, held_out: str = "held_out") -> tuple[list[str],
     """Languages in code-point order and their centred unit vectors, learned from rows that are not held out."""
     taught = docs.filter(~F.col(held_out) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     parts = taught.mapInArrow(_train, "lang string, sums array<double>")
+    if taught.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     rows = parts.select("lang", F.posexplode("sums")).groupBy("lang", "pos").agg(F.sum("col").alias("v")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("v")).collect()
     rows = sorted(rows, key=lambda r: r.lang.encode())
     if not rows:

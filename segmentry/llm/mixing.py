@@ -1,22 +1,23 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-A document's place is a hash of its id and text: ten bits name its block within its source, the next ten a
-part of the block. A source's share is a number of whole passes over its documents and a rest in words.
-The rest is cut off exactly: sums by block find the block in which it ends, sums by part the part, and a
-running sum over that part's few documents the document, which gives only the words still missing.
-No step sees more of a source than about a millionth of it at once.
+A document's place is a hash of its id and text: its first bits name its block within its source (1,024 blocks, more
+where one would hold over BLOCK_WORDS words), the next ten a part of the block. A source's share is a number of whole
+passes over its documents and a rest in words. The rest is cut off exactly: sums by block find the block in which it
+ends, sums by part the part, and a running sum over that part's few documents the document, which gives only the words
+still missing. No step sees more of a source than about a millionth of it at once.
 
-Output shards: every pass contributes 1,024 blocks of a source (the rest as many as it reaches). These
-block quotas are split over the shards by a binary tree: at each node the left half's quotas are one draw
-from the multivariate hypergeometric distribution, so they add up exactly at each level and each shard
-expects the same mixture. A source's blocks, permuted anew in each pass, are then dealt to the shards in
-disjoint runs as long as their quotas, and each shard sorts its documents by a hash.
+Output shards (SHARDS, more where one would hold over SHARD_WORDS words): every pass contributes a source's blocks (the
+rest as many as it reaches). These block quotas are split over the shards by a binary tree: at each node the left half's
+quotas are one draw from the multivariate hypergeometric distribution, by a generator of the node's own, so they add up
+exactly at each level and each shard expects the same mixture. A source's blocks, permuted anew in each pass, are then
+dealt to the shards in disjoint runs as long as their quotas; each shard is one partition and sorts its documents by a hash.
 
-Sources are metadata: one row each on the driver, at most MAX_SOURCES (checked).
+Sources are metadata: one row each on the driver, at most MAX_SOURCES (checked), and four bytes a block.
 
 Defined cases: a null text has size 0, and rows of size 0 are never taken; a null source is a source of its
 own, last in order; sources whose texts are all empty have target 0; repeated rows are rows of their own
-(equal ones share a place); an empty table gives an empty result; other columns pass through `mix`.
+(equal ones share a place); very long texts are counted and passed on whole; an empty table gives an empty result; other
+columns pass through `mix`.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ from .common import packed, unpacked, written
 WEIGHTS = (5, 2, 1)
 TIMES = 3
 BLOCKS = 1024
+BLOCK_WORDS = 2_000_000
 SHARDS = 64
+SHARD_WORDS = 50_000_000
 SEED = 17
 MAX_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,24 +52,35 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, times: int = T
         capped |= above
 
 
-def split(quotas: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
+def generator(seed: int, node: int) -> np.random.Generator:
+    """The generator of a node of the tree: 1 is the root, 2 n and 2 n + 1 are the halves of n."""
+    return np.random.default_rng([seed, node])
+
+
+def split(quotas: np.ndarray, shards: int, seed: int = SEED, node: int = 1) -> np.ndarray:
     """shards x sources: how many blocks of each source each shard gets. Sums over shards are the quotas."""
     if shards == 1:
         return quotas[None, :]
     left = shards // 2
-    rng = np.random.default_rng([seed, shards, int(quotas.sum())])
+    rng, whole = generator(seed, node), int(quotas.sum())
     # the left half takes its part of all blocks, rounded at random
-    n = int(quotas.sum()) * left // shards
+    n = whole * left // shards + int(rng.random() * shards < whole * left % shards)
     got = rng.multivariate_hypergeometric(quotas, n, method="marginals") if n else np.zeros_like(quotas)
-    return np.vstack([split(got, left, seed + 1), split(quotas - got, shards - left, seed + 2)])
+    return np.vstack([split(got, left, seed, 2 * node), split(quotas - got, shards - left, seed, 2 * node + 1)])
+
 
+def block_bits(size: int) -> int:
+    """Bits of a place that name the block, in a source of that many words."""
+    return (max(BLOCKS, -(-size // BLOCK_WORDS)) - 1).bit_length()
 
-def _bits(at: int) -> Column:
-    return F.shiftrightunsigned("place", at).bitwiseAND(F.lit(BLOCKS - 1)).cast("int")
 
+def _bits(begin: Column, size: Column) -> Column:
+    """`size` bits of the place from bit `begin` on, counted from the highest."""
+    return F.call_function("shiftrightunsigned", F.call_function("shiftleft", F.col("place"), begin), F.lit(64) - size).cast("int")
 
-def plan(docs: DataFrame, shards: int = SHARDS, keep: tuple[str, ...] = (), seed: int = SEED) -> DataFrame:
-    """Each row of docs (its columns `keep`) with size, source, source_size, target, taken and copies.
+
+def plan(docs: DataFrame, shards: int | None = None, keep: tuple[str, ...] = (), seed: int = SEED) -> tuple[DataFrame, int]:
+    """Each row of docs (its columns `keep`) with size, source, source_size, target, taken and copies; the number of shards.
 
     copies: for each pass that takes the row, its number, the shard and the words taken, at most size.
     """
@@ -74,7 +88,7 @@ def plan(docs: DataFrame, shards: int = SHARDS, keep: tuple[str, ...] = (), seed
     sized = docs.select(
         *keep, F.col("source").alias("_source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), F.col("doc_id"), "text").alias("place"),
-    ).withColumns({"block": _bits(54), "part": _bits(44)})
+    )
     # only texts that pass through are worth reading twice
     sized = sized if "row" in keep else written(sized, "sizes")
     known = sized.groupBy("_source").agg(F.sum("size").alias("s")).limit(MAX_SOURCES + 1).collect()
@@ -85,9 +99,11 @@ def plan(docs: DataFrame, shards: int = SHARDS, keep: tuple[str, ...] = (), seed
     shares = []
     for r, t in zip(known, want, strict=True):
         passes = min(TIMES, int(t // r.s)) if r.s else 0
-        shares.append((r._source, r.s, t, passes, round(t) - passes * r.s if r.s and passes < TIMES else 0))
-    share = F.broadcast(spark.createDataFrame(shares, "g string, source_size long, target double, passes int, rest long"))
+        shares.append((r._source, r.s, t, passes, round(t) - passes * r.s if r.s and passes < TIMES else 0, block_bits(r.s)))
+    shards = shards or max(SHARDS, -(-sum(r.s for r in known) // SHARD_WORDS))
+    share = F.broadcast(spark.createDataFrame(shares, "g string, source_size long, target double, passes int, rest long, bits int"))
     of = sized.join(share, F.col("_source").eqNullSafe(F.col("g")), "left").drop("g")
+    of = of.withColumns({"block": _bits(F.lit(0), F.col("bits")), "part": _bits(F.col("bits"), F.lit(10))})
 
     def ends(sums: DataFrame, level: str, rest: str) -> list:
         """Per source, the block (or part) in which the rest ends and what is left of the rest before it."""
@@ -102,10 +118,11 @@ def plan(docs: DataFrame, shards: int = SHARDS, keep: tuple[str, ...] = (), seed
     inner = F.broadcast(spark.createDataFrame([tuple(r) for r in second], "g string, edge_part int, part_rest long"))
     of = of.join(inner, F.col("_source").eqNullSafe(F.col("g")), "left").drop("g")
 
-    reached = {r._source: r.edge + 1 for r in (spark.createDataFrame([tuple(r) for r in first], "_source string, edge int, left long").collect() if first else [])}
-    quotas = np.array([s[3] * BLOCKS + reached.get(s[0], 0) for s in shares], dtype=np.int64)
-    dealt = np.cumsum(split(quotas, shards, seed), axis=0).T if len(shares) and quotas.sum() else np.zeros((len(shares), shards), dtype=np.int64)
-    ranks = F.broadcast(spark.createDataFrame([(s[0], d.tolist()) for s, d in zip(shares, dealt, strict=True)], "g string, dealt array<long>"))
+    reached = {r[0]: r[1] + 1 for r in first}
+    quotas = np.array([(s[3] << s[5]) + reached.get(s[0], 0) for s in shares], dtype=np.int64)
+    dealt = split(quotas, shards, seed).T if len(shares) and quotas.sum() else np.zeros((len(shares), shards), dtype=np.int64)
+    # the shard of each of a source's blocks, in the order in which they are dealt
+    ranks = F.broadcast(spark.createDataFrame([(s[0], np.repeat(np.arange(shards), d).tolist()) for s, d in zip(shares, dealt, strict=True)], "g string, dealt array<int>"))
     of = of.join(ranks, F.col("_source").eqNullSafe(F.col("g")), "left").drop("g")
 
     inside = (F.col("block") == F.col("edge")) & (F.col("part") == F.col("edge_part"))
@@ -115,30 +132,33 @@ def plan(docs: DataFrame, shards: int = SHARDS, keep: tuple[str, ...] = (), seed
     cut = of.filter(inside).withColumn("rest_taken", F.greatest(F.lit(0), F.least("size", F.col("part_rest") - F.coalesce(F.sum("size").over(w), F.lit(0)))))
     of = of.filter(~F.coalesce(inside, F.lit(False))).withColumn("rest_taken", F.when(whole, F.col("size")).otherwise(F.lit(0))).unionByName(cut)
 
-    # block position of pass k: an odd multiple of the block number, so a permutation of 0..1023
+    blocks = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits"))
+
+    # block position of pass k: an odd multiple of the block number, so a permutation of all blocks
     def copy(k: Column) -> Column:
         full = k < F.col("passes")
-        at = F.when(full, k * BLOCKS + F.pmod(F.col("block") * (2 * (k * 37 + seed) + 1) + k * 101, F.lit(BLOCKS))).otherwise(F.col("passes") * BLOCKS + F.col("block"))
-        shard = F.size(F.filter("dealt", lambda d: d <= at))
+        turned = F.pmod(F.col("block") * (2 * (k * 37 + seed) + 1).cast("long") + k * 101, blocks)
+        shard = F.get("dealt", F.when(full, k * blocks + turned).otherwise(F.col("passes") * blocks + F.col("block")).cast("int"))
         return F.struct(k.alias("pass"), shard.alias("shard"), F.when(full, F.col("size")).otherwise(F.col("rest_taken")).alias("words"))
 
     copies = F.filter(F.transform(F.sequence(F.lit(0), F.col("passes")), copy), lambda c: c["words"] > 0)
-    return of.select(*keep, F.col("_source").alias("mix_source"), "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("rest_taken")).cast("long").alias("taken"), copies.alias("copies"), "place")
+    return of.select(*keep, F.col("_source").alias("mix_source"), "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("rest_taken")).cast("long").alias("taken"), copies.alias("copies"), "place"), shards
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, shards: int | None = None, seed: int = SEED) -> DataFrame:
     """The mixture: docs' columns with mix_pass, mix_shard and mix_words, a row for each time a document is taken.
 
     Rows come partitioned by shard and in random (reproducible) order within it. A row of which fewer words
     than it has are taken keeps its text; mix_words says how many of its first words belong to the mixture.
     """
-    rows = plan(packed(docs, "doc_id", "text", "source"), shards, ("doc_id", "row"), seed).withColumn("c", F.explode("copies"))
+    planned, shards = plan(packed(docs, "doc_id", "text", "source"), shards, ("doc_id", "row"), seed)
+    rows = planned.withColumn("c", F.explode("copies"))
     order = F.xxhash64("place", "c.pass")
     out = rows.select("row", F.col("c.pass").alias("_pass"), F.col("c.shard").alias("_shard"), F.col("c.words").alias("_words"), order.alias("_order"))
-    dealt = out.repartition(shards, "_shard").sortWithinPartitions("_shard", "_order")
+    dealt = out.repartitionById(shards, F.col("_shard")).sortWithinPartitions("_order")
     return unpacked(dealt, docs.columns, {}, {"mix_pass": F.col("_pass"), "mix_shard": F.col("_shard"), "mix_words": F.col("_words")})
 
 
-def digest(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def digest(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken, and the shards that get it."""
-    return plan(docs, shards, ("doc_id",)).select("doc_id", "size", "source_size", "target", "taken", F.transform("copies", lambda c: c["shard"]).alias("shards"))
+    return plan(docs, shards, ("doc_id",))[0].select("doc_id", "size", "source_size", "target", "taken", F.transform("copies", lambda c: c["shard"]).alias("shards"))
