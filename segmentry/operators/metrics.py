@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from segmentry.functions.rules import rounded
+
 
 def weighted_mean(value: str, weight: str) -> Column:
     """Mean of value by weight over rows that have a value; null if their weight is 0."""
     return F.sum(F.col(value) * F.col(weight)) / F.nullif(F.sum(F.when(F.col(value).isNotNull(), F.col(weight))), F.lit(0))
 
 
-def with_total(rows: DataFrame, by: list[str], sums: list[str], means: list[str], weight: str, label: str = "total") -> DataFrame:
-    """Sums and weighted means by group and, with `label` in every column of `by`, over all rows."""
-    aggregates = [*(F.sum(c).alias(c) for c in sums), *(weighted_mean(c, weight).alias(c) for c in means)]
+def with_total(rows: DataFrame, by: list[str], sums: list[str], means: list[str], weight: str, label: str = "total", digits: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """Sums and weighted means by group and, with `label` in every column of `by`, over all rows.
+
+    digits: for a column, the decimals to which its rows are rounded before they are summed, and to which the sum is.
+    """
+    digits = digits or {}
+    rows = rows.withColumns({c: rounded(F.col(c), d[0]) for c, d in digits.items()})
+    total = {c: rounded(F.sum(c), digits[c][1]) if c in digits else F.sum(c) for c in sums}
+    aggregates = [*(v.alias(c) for c, v in total.items()), *(weighted_mean(c, weight).alias(c) for c in means)]
     parts = rows.groupBy(*by).agg(*aggregates)
     return parts.unionByName(rows.agg(*aggregates).select(*(F.lit(label).alias(c) for c in by), *sums, *means))
 

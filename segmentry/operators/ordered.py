@@ -43,16 +43,18 @@ def position(df: DataFrame, by: list[str], order: list[str], bucket: str, out: s
 def neighbours(df: DataFrame, by: list[str], place: str, size: int, width: int) -> DataFrame:
     """df's rows for windows of `width` rows to either side: `_part` to partition by, `_own` whether the row belongs there.
 
-    Rows near the edge of a part (of `size` places) also go, as context, to the part next to it.
+    Rows near the edge of a part (of `size` places) also go, as context, to all parts that their windows reach.
     """
     part = F.floor(F.col(place) / size)
-    near = F.array_distinct(F.array(part, F.floor((F.col(place) - width) / size), F.floor((F.col(place) + width) / size)))
+    near = F.sequence(F.floor((F.col(place) - width) / size), F.floor((F.col(place) + width) / size))
     return df.withColumn("_home", part).withColumn("_part", F.explode(near)).withColumn("_own", F.col("_part") == F.col("_home")).drop("_home")
 
 
-def as_of(left: DataFrame, right: DataFrame, by: list[str], on: str, carry: list[str], size: int, prefix: str = "", forward: bool = False) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: list[str], on: str, carry: list[str], size: int, prefix: str = "", forward: bool = False, else_first: bool = False) -> DataFrame:
     """left with the columns `carry` of the last row of right at or before it (forward: the first at or after it), else null.
 
+    With else_first, a row before all of right's gets the first of these (by `on`, then `carry`) instead of null.
+
     `on` is the order column of both sides; among rows of equal `on` the one with the largest `carry` counts (forward:
     the smallest). Buckets are ranges of `size` along `on`.
     """
@@ -70,6 +72,12 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], on: str, carry: list
     w = Window.partitionBy(*by, "_bucket").orderBy(F.col("_at") * sign, F.col("_right").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     met = both.withColumn("_in", F.last("_held", ignorenulls=True).over(w)).filter("_right IS NULL").drop("_held", "_right", "_at")
     got = _with(met, before, by, "_bucket").withColumn("_got", F.coalesce("_in", "_before"))
+    if else_first:
+        first = r.groupBy(*by).agg(F.min("_held").alias("_first"))
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+        got = got.alias("l").join(first.alias("r"), same, "left").select("l.*", "r._first").withColumn("_got", F.coalesce("_got", "_first"))
     return got.select(*left.columns, *(F.col(f"_got.{c}").alias(f"{prefix}{c}") for c in carry))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from segmentry.functions import rules
 from segmentry.operators import metrics, ordered, scenes
 from segmentry.sources import texts
+from segmentry.sources.tables import settled
 
 FPS = 24.0
 GAP = 8
@@ -59,6 +60,11 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.position(e, BY, ["ts", "event_id"], "_day", "frame").drop("_day", "ts")
 
 
+def _settled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames, made once, for plans whose branches read them several times."""
+    return settled(frames(spark, sf_dir), "frames")
+
+
 def _totals(f: DataFrame) -> DataFrame:
     return f.groupBy("source_id").agg(F.count("*").alias("total"))
 
@@ -89,7 +95,7 @@ def candidate_cuts(spark, sf_dir):
 
 @query(_sql("frames totals cuts scenes", "SELECT * FROM scenes"))
 def scene_index(spark, sf_dir):
-    return _scenes(frames(spark, sf_dir))
+    return _scenes(_settled_frames(spark, sf_dir))
 
 
 @query("WITH RECURSIVE " + ",\n".join(_PARTS[p] for p in ("frames", "totals", "cuts")) + f""",
@@ -98,38 +104,38 @@ kept AS (SELECT source_id, CAST(0 AS BIGINT) AS frame FROM totals UNION ALL
 SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY frame) - 1 AS scene, frame AS start_frame, coalesce(lead(frame) OVER (PARTITION BY source_id ORDER BY frame), total) AS end_frame
 FROM kept JOIN totals USING (source_id) WHERE frame IS NOT NULL""")
 def scenes_min_len(spark, sf_dir):
-    f = frames(spark, sf_dir)
+    f = _settled_frames(spark, sf_dir)
     return scenes.scenes(scenes.min_gap(scenes.candidate_cuts(f), GAP), _totals(f))
 
 
 @query(_sql("frames totals cuts scenes", "SELECT source_id, count(*) AS n_scenes, CAST(sum(end_frame - start_frame) AS BIGINT) AS n_frames, max(end_frame - start_frame) AS longest FROM scenes GROUP BY source_id"))
 def scene_summary(spark, sf_dir):
     size = F.col("end_frame") - F.col("start_frame")
-    return _scenes(frames(spark, sf_dir)).groupBy("source_id").agg(F.count("*").alias("n_scenes"), F.sum(size).alias("n_frames"), F.max(size).alias("longest"))
+    return _scenes(_settled_frames(spark, sf_dir)).groupBy("source_id").agg(F.count("*").alias("n_scenes"), F.sum(size).alias("n_frames"), F.max(size).alias("longest"))
 
 
 @query(_sql("frames totals cuts scenes keys based", "SELECT source_id, scene, start_frame, key_frame FROM based"))
 def scene_keyframe_asof(spark, sf_dir):
-    return _based(frames(spark, sf_dir)).select("source_id", "scene", "start_frame", "key_frame")
+    return _based(_settled_frames(spark, sf_dir)).select("source_id", "scene", "start_frame", "key_frame")
 
 
 @query(_sql("frames totals cuts scenes keys based", """, ms AS (SELECT *, CAST(floor(key_frame / 24.0 * 1000) AS BIGINT) AS ms FROM based)
 SELECT source_id, scene, printf('%02d:%02d:%02d.%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS seek, (start_frame - key_frame) || ':' || (end_frame - 1 - key_frame) AS trim FROM ms"""))
 def seek_trim(spark, sf_dir):
-    b = _based(frames(spark, sf_dir))
+    b = _based(_settled_frames(spark, sf_dir))
     return b.select("source_id", "scene", rules.seek(F.col("key_frame") / F.lit(FPS)).alias("seek"), rules.trim(F.col("start_frame"), F.col("end_frame"), F.col("key_frame")).alias("trim"))
 
 
 @query(_sql("frames cuts keys", "SELECT c.source_id, c.frame, arg_min(k.frame, (abs(k.frame - c.frame), k.frame)) AS key_frame FROM cuts c JOIN keys k USING (source_id) GROUP BY c.source_id, c.frame"))
 def nearest_keyframe(spark, sf_dir):
-    f = frames(spark, sf_dir)
+    f = _settled_frames(spark, sf_dir)
     return ordered.nearest(scenes.candidate_cuts(f), _keys(f), BY, "frame", scenes.PART, "key_frame")
 
 
 @query(_sql("frames totals cuts keys marks", """SELECT m.source_id, m.mark, (SELECT min(c.frame) FROM cuts c WHERE c.source_id = m.source_id AND c.frame >= m.mark) AS cut,
 coalesce((SELECT max(k.frame) FROM keys k WHERE k.source_id = m.source_id AND k.frame <= m.mark - 10), 0) AS window_start FROM marks m"""))
 def first_cut_after_mark(spark, sf_dir):
-    f = frames(spark, sf_dir)
+    f = _settled_frames(spark, sf_dir)
     m = scenes.marks(_totals(f), JOBS).withColumn("frame", F.col("mark"))
     cuts = scenes.candidate_cuts(f).withColumn("cut", F.col("frame"))
     keys = _keys(f).withColumn("window_start", F.col("frame"))
@@ -163,7 +169,7 @@ FROM scenes s JOIN frames f ON f.source_id = s.source_id AND f.frame = s.start_f
 islands AS (SELECT *, sum(opens) OVER (PARTITION BY source_id ORDER BY start_frame) AS island FROM marked)
 SELECT source_id, min(start_frame) AS start_frame, max(end_frame) AS end_frame FROM islands GROUP BY source_id, island"""))
 def merged_scenes(spark, sf_dir):
-    f = frames(spark, sf_dir)
+    f = _settled_frames(spark, sf_dir)
     return scenes.merged(_scenes(f), f.filter("event_type <> 'click'").select("source_id", "frame"))
 
 
@@ -217,7 +223,7 @@ def batch_outcome(spark, sf_dir):
 
 @query(_sql("frames totals cuts scenes", "SELECT source_id, scene, printf('scene %4d  frames [%8d, %8d)  %10.3fs .. %10.3fs', scene, start_frame, end_frame, start_frame / 24.0, end_frame / 24.0) AS value FROM scenes"))
 def scene_text(spark, sf_dir):
-    return _scenes(frames(spark, sf_dir)).select("source_id", "scene", rules.scene_line(F.col("scene"), F.col("start_frame"), F.col("end_frame"), FPS).alias("value"))
+    return _scenes(_settled_frames(spark, sf_dir)).select("source_id", "scene", rules.scene_line(F.col("scene"), F.col("start_frame"), F.col("end_frame"), FPS).alias("value"))
 
 
 @query(_sql("frames totals cuts scenes", "SELECT source_id, start_frame, end_frame FROM scenes"))
@@ -306,3 +312,69 @@ def chunk_verdicts(spark, sf_dir):
     k = F.col("o_orderkey")
     got = texts.packet_count(F.when(k % 5 == 0, F.lit("47,")).when(k % 11 == 0, F.lit("N/A")).otherwise(F.lit("48\n")))
     return _table(spark, sf_dir, "orders").select("o_orderkey", rules.verdict(F.when(k % 7 == 0, F.lit(1)).otherwise(F.lit(0)), got, F.lit(48)).alias("err"))
+
+
+#: Segmented detection on the events: a frame a second, windows of 14 frames before to 30 after a mark.
+SEGMENTS = 3
+_SEGMENTS = f"""marks3 AS (SELECT source_id, total, i, CAST(round_even(total * i / 3.0, 0) AS BIGINT) AS mark FROM totals, (SELECT unnest([1, 2]) AS i)),
+inwin AS (SELECT m.source_id, m.mark, k.frame AS key FROM marks3 m JOIN keys k ON k.source_id = m.source_id AND k.frame BETWEEN m.mark - 14 AND m.mark + 30),
+wins AS (SELECT source_id, mark, coalesce(max(key) FILTER (WHERE key <= mark - 10), min(key)) AS b, mark + 30 AS e FROM inwin GROUP BY ALL),
+firsts AS (SELECT w.source_id, w.mark, min(c.frame) AS cut FROM wins w JOIN totals t USING (source_id) JOIN cuts c ON c.source_id = w.source_id AND c.frame >= w.mark AND c.frame >= w.b + 2 AND c.frame < least(w.e, t.total) - 2 GROUP BY ALL),
+found AS (SELECT f.source_id, f.mark, arg_min(i.key, (abs(i.key - f.cut), i.key)) AS frame, min(abs(i.key - f.cut)) <= 1 AS is_cut FROM firsts f JOIN inwin i ON i.source_id = f.source_id AND i.mark = f.mark GROUP BY ALL)"""
+_SEGMENTED = """, bounds AS (SELECT source_id, frame, arg_max(is_cut, o) AS is_cut FROM (SELECT source_id, 0 AS frame, true AS is_cut, -1 AS o FROM totals UNION ALL SELECT source_id, total, true, 1000000000 FROM totals UNION ALL SELECT source_id, frame, is_cut, mark FROM found) GROUP BY ALL),
+segs AS (SELECT source_id, frame AS b, lead(frame) OVER (PARTITION BY source_id ORDER BY frame) AS e, is_cut FROM bounds),
+pieces AS (SELECT DISTINCT source_id, b AS frame FROM segs WHERE e IS NOT NULL UNION SELECT c.source_id, c.frame FROM cuts c JOIN segs s ON c.source_id = s.source_id AND c.frame >= s.b + 2 AND c.frame < s.e - 2),
+kept AS (SELECT p.* FROM pieces p LEFT JOIN segs s ON s.source_id = p.source_id AND s.b = p.frame AND s.e IS NOT NULL AND NOT s.is_cut WHERE s.b IS NULL)
+SELECT k.source_id, k.frame AS start_frame, coalesce(lead(k.frame) OVER (PARTITION BY k.source_id ORDER BY k.frame), total) AS end_frame FROM kept k JOIN totals USING (source_id)"""
+
+
+@query(_sql("frames totals cuts keys", f", {_SEGMENTS} SELECT source_id, mark, frame, is_cut FROM found"))
+def segment_boundaries(spark, sf_dir):
+    f = _settled_frames(spark, sf_dir)
+    t = _totals(f)
+    found = scenes.boundaries(f, _keys(f), t, SEGMENTS, 1, 1.0)
+    return found.select("source_id", "mark", "frame", "is_cut")
+
+
+@query(_sql("frames totals cuts keys", f", {_SEGMENTS}{_SEGMENTED}"))
+def segmented_scenes(spark, sf_dir):
+    f = _settled_frames(spark, sf_dir)
+    return scenes.segmented(f, _keys(f), _totals(f), SEGMENTS, 1, 1.0)
+
+
+@query(_sql("frames totals cuts scenes", """, n AS (SELECT source_id, count(*) AS n FROM scenes GROUP BY source_id)
+SELECT source_id, scene, start_frame, end_frame, NOT (n - 2 = n) AS partial FROM scenes JOIN n USING (source_id) WHERE scene >= 1 AND scene < n - 2"""))
+def scene_slice(spark, sf_dir):
+    return scenes.sliced(_scenes(_settled_frames(spark, sf_dir)), 1, -2)
+
+
+@query("""WITH r AS (SELECT *, CAST(l_quantity AS BIGINT) AS n, CAST(round_even(l_extendedprice, 0) AS BIGINT) AS bytes FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linenumber + 4 AS scene, n AS frames, round_even(n / 4.0 * 100, 0) / 100 AS encode_sec, 4.0::DOUBLE AS fps,
+round_even(bytes / 1e6 * 100, 0) / 100 AS size_mb, CAST(round_even(n / 50.0 * 100, 0) AS BIGINT) AS ratio, greatest(n - 1, 0) / 24.0 * 1000.0 AS ms,
+CASE WHEN l_linenumber > 1 THEN n / 24.0 END AS begin_sec, CASE WHEN l_linenumber > 1 THEN l_linenumber / 24.0 END AS duration FROM r""")
+def chunk_rows(spark, sf_dir):
+    r = _table(spark, sf_dir, "lineitem")
+    n, line = F.col("l_quantity").cast("long"), F.col("l_linenumber")
+    derived = rules.chunk_columns(line, 4, n, 2 * n, n / 4.0, F.rint("l_extendedprice").cast("long"))
+    window = rules.audio_window(n, line, F.lit(FPS), line > 1)
+    return r.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *(v.alias(k) for k, v in derived.items()), rules.size_ratio(n, F.lit(50)).alias("ratio"),
+        rules.stream_position(n, F.lit(FPS)).getField("ms").alias("ms"), window.getField("begin").alias("begin_sec"), window.getField("duration").alias("duration"),
+    )
+
+
+@query("""WITH r AS (SELECT l_returnflag AS scene, CAST(l_quantity AS BIGINT) AS frames, round_even(l_quantity / 8 * 10, 0) / 10 AS encode_sec FROM lineitem)
+SELECT coalesce(scene, 'total') AS scene, CAST(sum(frames) AS BIGINT) AS frames, CAST(round_even(sum(CAST(round_even(encode_sec * 10, 0) AS BIGINT)), 0) AS BIGINT) AS tenths FROM r GROUP BY ROLLUP (scene)""")
+def rounded_totals(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("scene"), F.col("l_quantity").cast("long").alias("frames"), (F.col("l_quantity") / 8).alias("encode_sec"))
+    done = metrics.with_total(rows, ["scene"], ["frames", "encode_sec"], [], "frames", digits={"encode_sec": (1, 1)})
+    return done.select("scene", "frames", F.rint(F.col("encode_sec") * 10).cast("long").alias("tenths"))
+
+
+@query("""SELECT conv_id, coalesce(run, 0) AS run, turns AS expected FROM (SELECT conv_id, count(DISTINCT turn) AS turns FROM conversations WHERE turn <> 1 OR conv_id % 2 = 0 GROUP BY conv_id)
+LEFT JOIN (SELECT conv_id, count(*) FILTER (WHERE turn = i) AS run FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE turn <> 1 OR conv_id % 2 = 0)) GROUP BY conv_id) USING (conv_id)
+WHERE coalesce(run, 0) <> turns""")
+def incomplete_parts(spark, sf_dir):
+    c = _table(spark, sf_dir, "conversations").filter("turn <> 1 OR conv_id % 2 = 0")
+    expected = c.groupBy("conv_id").agg(F.count_distinct("turn").alias("expected"))
+    return scenes.incomplete(scenes.contiguous(c, "conv_id", "turn"), expected, "conv_id")

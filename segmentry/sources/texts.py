@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from segmentry.functions.rules import rate
 
-SCENE = r"frames\s*\[\s*(\d+),\s*(\d+)\)"
+# Patterns of scene lines and of the encoder's metric output.
+SCENE = r"frames \[\s*(\d+),\s*(\d+)\)"
 SSIM = r"(?i)SSIM\s+YUV:\s*([\d.]+)\s*\([\d.]+\),.*?All:\s*([\d.]+)\s*\(([\d.]+)\)"
 PSNR = r"(?i)PSNR\s+YUV:\s*([\d.]+),.*?Avg:\s*([\d.]+)"
 PROBE = "streams array<struct<width:int,height:int,avg_frame_rate:string,r_frame_rate:string>>, format struct<duration:string>"
@@ -25,12 +26,23 @@ def scene_lines(df: DataFrame, column: str = "value") -> DataFrame:
     return df.filter(F.col(column).rlike(SCENE)).withColumns({"start_frame": part[0], "end_frame": part[1]})
 
 
+def read_scenes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, start_frame, end_frame) of the scene lists at path; ValueError where no line names a scene."""
+    found = scene_lines(lines(spark, path)).drop("value")
+    if not found.limit(1).count():
+        raise ValueError(f"no scene in {path}")
+    return found
+
+
 def metric_values(df: DataFrame, column: str = "value") -> DataFrame:
     """df with ssim_y, ssim_all, ssim_db, psnr_y, psnr_avg; null where the text has none."""
-    def get(pattern: str, i: int) -> Column:
-        return F.nullif(F.regexp_extract(column, pattern, i), F.lit("")).try_cast("double")
+    def groups(pattern: str, n: int) -> Column:
+        # the first match, cut out once and turned into its groups
+        return F.split(F.regexp_replace(F.regexp_extract(column, pattern, 0), pattern, "|".join(f"${i + 1}" for i in range(n))), "\\|")
 
-    return df.withColumns({"ssim_y": get(SSIM, 1), "ssim_all": get(SSIM, 2), "ssim_db": get(SSIM, 3), "psnr_y": get(PSNR, 1), "psnr_avg": get(PSNR, 2)})
+    found = df.withColumns({"_ssim": groups(SSIM, 3), "_psnr": groups(PSNR, 2)})
+    at = {"ssim_y": ("_ssim", 0), "ssim_all": ("_ssim", 1), "ssim_db": ("_ssim", 2), "psnr_y": ("_psnr", 0), "psnr_avg": ("_psnr", 1)}
+    return found.withColumns({c: F.get(of, F.lit(i)).try_cast("double") for c, (of, i) in at.items()}).drop("_ssim", "_psnr")
 
 
 def keyframes(packets: DataFrame, fps: float, low: float | None = None, high: float | None = None) -> DataFrame:
@@ -44,6 +56,19 @@ def keyframes(packets: DataFrame, fps: float, low: float | None = None, high: fl
     return rows.select(*(c for c in packets.columns if c not in ("pts_time", "flags")), F.rint(t * fps).cast("long").alias("frame"), t.alias("pts_time"))
 
 
+def without_first(table: DataFrame, by: str) -> DataFrame:
+    """(by) of the sources in a keyframe table whose frame 0 is none of them."""
+    return table.groupBy(by).agg(F.min("frame").alias("_first")).filter("_first <> 0").select(by)
+
+
+def require_first(table: DataFrame, by: str) -> DataFrame:
+    """The table; ValueError where a source in it has no keyframe at frame 0."""
+    bad = without_first(table, by).limit(1).collect()
+    if bad:
+        raise ValueError(f"no keyframe at frame 0: {bad[0][0]}")
+    return table
+
+
 def probe(df: DataFrame, column: str = "value") -> DataFrame:
     """df with width, height, frame_rate and duration_sec of its first stream; a frame_rate of null is for the caller to reject."""
     rows = df.withColumn("_p", F.from_json(column, PROBE)).withColumn("_s", F.get("_p.streams", F.lit(0)))
@@ -57,4 +82,6 @@ def audio_streams(df: DataFrame, column: str = "value") -> DataFrame:
 
 
 def packet_count(column: Column) -> Column:
-    return F.coalesce(F.regexp_replace(F.trim(column), ",+$", "").try_cast("long"), F.lit(-1))
+    """The number that a packet count prints; -1 for anything but digits."""
+    text = F.regexp_replace(F.regexp_replace(column, r"^\s+|\s+$", ""), ",+$", "")
+    return F.coalesce(F.when(text.rlike(r"^[0-9]+$"), text.try_cast("long")), F.lit(-1))

@@ -133,3 +133,68 @@ def test_rules(spark):
     assert pick(rules.verdict(F.lit(0), F.lit(48), F.lit(48))) is None and "47" in pick(rules.verdict(F.lit(0), F.lit(47), F.lit(48)))
     assert tuple(pick(rules.geometry(F.lit(1920), F.lit(1080), 320))) == (320, 180, 320 * 180 * 3)
     assert rules.min_scene_len(72, 3.0, 24) == 72 and rules.min_scene_len(None, 2.5, 24) == 60 and rules.min_scene_len(0, 1, 24) == 1
+
+
+def test_a_missing_exit_code_or_count_is_an_error(spark):
+    rows = spark.createDataFrame([(0, 48), (0, None), (None, 48), (1, 48), (0, 47)], "code int, got int")
+    got = [r.v for r in rows.select(rules.verdict(F.col("code"), F.col("got"), F.lit(48)).alias("v")).collect()]
+    assert got == [None, "-1 frames instead of 48", "exit code unknown", "exit code 1", "47 frames instead of 48"]
+
+
+def test_as_of_may_fall_back_to_the_first_row(spark):
+    left = spark.createDataFrame([(1, 3), (1, 50), (2, 1)], "source_id long, frame long")
+    right = spark.createDataFrame([(1, 10), (1, 40)], "source_id long, frame long").withColumn("key", F.col("frame"))
+    got = {(r.source_id, r.frame): r.key for r in ordered.as_of(left, right, ["source_id"], "frame", ["key"], 16, else_first=True).collect()}
+    assert got == {(1, 3): 10, (1, 50): 40, (2, 1): None}
+
+
+def test_windows_wider_than_a_part(spark):
+    frames = spark.createDataFrame([(1, i, 9000 if i == 20 else 10) for i in range(41)], "source_id long, frame long, score long")
+    for part in (1, 2, 3, 100):
+        assert [r.frame for r in scenes.candidate_cuts(frames, width=5, part=part).collect()] == [20]
+
+
+def test_contiguous_counts_a_null_group(spark):
+    ready = spark.createDataFrame([(None, 0), (None, 1), (None, 3), (4, 1)], "g long, i long")
+    runs = scenes.contiguous(ready, "g", "i")
+    assert {(r.g, r.run) for r in runs.collect()} == {(None, 2), (4, 0)}
+    expected = spark.createDataFrame([(None, 4), (4, 0), (7, 1)], "g long, expected long")
+    assert {(r.g, r.run, r.expected) for r in scenes.incomplete(runs, expected, "g").collect()} == {(None, 2, 4), (7, 0, 1)}
+    with pytest.raises(ValueError):
+        scenes.require_complete(runs, expected, "g")
+
+
+def test_scene_slices_as_python_slices(spark):
+    rows = spark.createDataFrame([(s, i, 10 * i, 10 * i + 10) for s, n in ((1, 5), (2, 2)) for i in range(n)], "source_id long, scene long, start_frame long, end_frame long")
+    for low, high in ((0, None), (-3, 2), (1, -1), (1, 9), (3, -9), (0, 5)):
+        want = {(s, i) for s, n in ((1, 5), (2, 2)) for i in list(range(n))[max(0, low) : high]}
+        assert {(r.source_id, r.scene) for r in scenes.sliced(rows, low, high).collect()} == want
+    with pytest.raises(ValueError):
+        scenes.require_scenes(scenes.sliced(rows, 7))
+
+
+def test_chunk_columns_windows_and_lengths(spark):
+    one = spark.range(1).select(
+        *(v.alias(k) for k, v in rules.chunk_columns(F.lit(2), 3, F.lit(48), F.lit(96), F.lit(1.238), F.lit(1_234_567)).items()),
+        rules.size_ratio(F.lit(50), F.lit(200)).alias("ratio"), rules.stream_position(F.lit(0), F.lit(24.0)).alias("a"), rules.stream_position(F.lit(25), F.lit(24.0)).alias("b"),
+        rules.audio_window(F.lit(48), F.lit(24), F.lit(24.0), F.lit(True)).alias("w"), rules.audio_window(F.lit(48), F.lit(24), F.lit(24.0), F.lit(False)).alias("n"),
+    ).first()
+    assert (one.scene, one.frames, one.encode_sec, one.fps, one.size_mb, one.ratio) == (5, 48, 1.24, 38.8, 1.23, 25)
+    assert (tuple(one.a), tuple(one.b), tuple(one.w), tuple(one.n)) == ((0, 0.0), (24, 1000.0), (2.0, 1.0), (None, None))
+    parts = spark.createDataFrame([(1, 0, 0, 5), (1, 0, 5, 9), (1, 1, 0, 4)], "source_id long, part long, start_frame long, end_frame long")
+    assert {(r.part, r.length) for r in scenes.segment_lengths(parts).collect()} == {(0, 9), (1, 4)}
+    assert rules.min_scene_len() == 72 and rules.mux_rate(24000 / 1001) == "24000/1001" and rules.mux_rate(25.0) == "25/1"
+
+
+def test_segmented_detection_equals_sequential_detection(spark):
+    rng = random.Random(3)
+    rows = [(s, f, 5000 if f in cuts else rng.randrange(20)) for s, cuts in ((1, {100, 310, 480, 700}), (2, {333, 660})) for f in range(1000)]
+    frames = spark.createDataFrame(rows, "source_id long, frame long, score long")
+    totals = frames.groupBy("source_id").agg(F.count("*").alias("total"))
+    keys = spark.createDataFrame([(s, f) for s in (1, 2) for f in [*range(0, 1000, 12), 310, 700]], "source_id long, frame long").distinct()
+    whole = scenes.scenes(scenes.min_gap(scenes.candidate_cuts(frames), 8), totals)
+    found = scenes.boundaries(frames, keys, totals, 3, 8, 1.0, before=60, lead=40, after=150)
+    assert {(r.source_id, r.mark, r.frame, r.is_cut) for r in found.collect()} == {(1, 333, 480, True), (1, 667, 700, True), (2, 333, 336, False)}
+    got = scenes.segmented(frames, keys, totals, 3, 8, 1.0, before=60, lead=40, after=150)
+    want = {(r.source_id, r.start_frame, r.end_frame) for r in whole.collect()}
+    assert {(r.source_id, r.start_frame, r.end_frame) for r in got.collect()} == want and len(want) == 8

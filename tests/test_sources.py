@@ -1,10 +1,11 @@
 """Sources on the smallest inputs: text, probes, binary index, files, streams."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from segmentry.functions import rules
 from segmentry.operators import scenes
-from segmentry.sources import binary, files, texts
+from segmentry.sources import binary, files, raw, texts
 from segmentry.streaming import stateful
 
 HEAD = bytes.fromhex(
@@ -94,3 +95,45 @@ def test_streams_equal_batches(spark, tmp_path):
     stream = spark.readStream.schema("source_id long, frame long, score long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "f"))
     batch = scenes.min_gap(scenes.candidate_cuts(spark.createDataFrame(rows, "source_id long, frame long, score long")), 6)
     assert sorted(run(spark, stateful.cuts(stream, gap=6), tmp_path, "cuts")) == sorted((r.source_id, r.frame) for r in batch.collect())
+
+
+def test_raw_frames_by_ranges(spark, tmp_path):
+    path = str(tmp_path / "f.bgr")
+    records = [bytes([k] * 6) for k in (0, 9, 5, 5, 1, 200)]
+    with open(path, "wb") as f:
+        f.write(b"".join(records) + b"tail")
+    read = lambda **o: [(r.frame, r.data) for r in raw.raw_frames(spark, path, 6, part_frames=2, **o).orderBy("frame").collect()]
+    assert read() == [(i, x) for i, x in enumerate(records)]
+    assert read(fps=2.0, seek=0.503, to=2.0) == [(i, x) for i, x in enumerate(records[1:4])]
+    assert read(fps=2.0, seek=1.0, max_frames=2) == [(i, x) for i, x in enumerate(records[2:4])] and read(decode="false", max_frames=1) == [(0, None)]
+    paths = spark.createDataFrame([(path,), (str(tmp_path / "none"),)], "path string")
+    assert {r.path: r.frames for r in raw.frame_counts(paths, 6).collect()} == {path: 6, str(tmp_path / "none"): 0}
+    got = {r.frame: r.score for r in raw.frame_scores(paths, 6, part_frames=2).collect()}
+    assert got == {0: 0.0, 1: 9.0, 2: 4.0, 3: 0.0, 4: 4.0, 5: 199.0}
+
+
+def test_keyframes_by_seeking_else_by_packets(spark, tmp_path):
+    names = {"a.mkv": HEAD, "cut.mkv": HEAD[:60], "b.mp4": HEAD}
+    for n, data in names.items():
+        (tmp_path / n).write_bytes(data)
+    paths = spark.createDataFrame([(str(tmp_path / n),) for n in [*names, "gone.mkv"]], "path string")
+    assert sorted((r.path.split("/")[-1], r.frame) for r in raw.seek_keyframes(paths, 24.0).collect()) == [(n, f) for n in ("a.mkv", "b.mp4") for f in (0, 12, 24)]
+    packets = paths.select("path", F.lit(0).cast("long").alias("frame"), F.lit(0.0).alias("pts_time"))
+    got = sorted((r.path.split("/")[-1], r.frame) for r in raw.keyframe_table(paths, packets, 24.0).collect())
+    assert got == [("a.mkv", 0), ("a.mkv", 12), ("a.mkv", 24), ("b.mp4", 0), ("cut.mkv", 0), ("gone.mkv", 0)]
+
+
+def test_strict_text_rules(spark, tmp_path):
+    rows = spark.createDataFrame([("frames[0,48)",), ("frames [ 0,48)",)], "value string")
+    assert [r.value for r in texts.scene_lines(rows).collect()] == ["frames [ 0,48)"]
+    counts = spark.createDataFrame([("-5",), (" 48,",), ("+4",), ("4 8",), (None,)], "v string").select(texts.packet_count(F.col("v")).alias("n"))
+    assert [r.n for r in counts.collect()] == [-1, 48, -1, -1, -1]
+    table = spark.createDataFrame([(1, 0), (1, 9), (2, 9)], "source_id long, frame long")
+    assert [r.source_id for r in texts.without_first(table, "source_id").collect()] == [2]
+    (tmp_path / "x").write_text("nothing here")
+    with pytest.raises(ValueError):
+        texts.require_first(table, "source_id")
+    with pytest.raises(ValueError):
+        texts.read_scenes(spark, str(tmp_path / "x"))
+    fps = spark.createDataFrame([("0/0", "24000/1001"), ("25", "30/1"), ("25", "x")], "a string, r string").select(rules.strict_frame_rate(F.col("a"), F.col("r")).alias("f"))
+    assert [r.f for r in fps.collect()] == [24000 / 1001, 30.0, None]
