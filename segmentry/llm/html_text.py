@@ -1,28 +1,29 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read into blocks of text, each with its path of open tags (with their class or id) from the root.
-For every distinct path the blocks' text length, punctuation and link text are added up. A path's ratio is
-its text per block, a second one its punctuation per block; both are smoothed over the sequence of blocks
-(a Gaussian over neighbours), fused by multiplication and damped by the share of link text. Paths whose
-fused ratio reaches a share of the page's spread are content paths; outside <article> (else <main>), where one
-holds such a path, a path must reach it without its neighbours' lift. Every block of a content path is kept,
-wherever it stands. So are blocks below the threshold that no boilerplate element encloses: those in the
-deepest container that holds most of the content paths' text (an <article> or <main> around it wins; in one
-that no name or class says to be content, not those that are mostly links), those that aren't mostly links
-between two content blocks, headings right before one, and what stands in the same
-section as the content block next to it.
-
-Boilerplate elements: nav, header, footer, aside, form and the like by name, and any whose class, id or role
-says so (menu, sidebar, ad, cookie, comments, share, ...). Inside <article> or <main> (only <article>, where the
-page has one), such a class or id may as well name what the text is about: a heading there ignores it, and for
-paragraphs, sections and, of the words in VAGUE, any element it only damps the path's ratio, which neighbours
-then don't lift; its text stays if the path is still a content path, with the headings right before it. Text of script, style, noscript, template and head is
-never text. Character references are decoded, white space inside a block becomes one blank, blocks are
-joined by an empty line. Unclosed and misnested tags are repaired as browsers do for p, li, td and the like; an
-open head ends at the first tag or text that can't stand in one.
-
-Defined cases: null or empty html, or a page without a kept block, gives the empty text; plain text without
-tags is one block; a null page_id or url stays null; repeated rows each get a row; other columns are ignored.
+A page is read into blocks of text, each with its path of open tags (with their class or id) from the root. For every
+distinct path the blocks' text length, punctuation and link text are added up. A path's ratios are its text and its
+punctuation per block; they are smoothed over the sequence of blocks (a Gaussian over neighbours in the same section), fused
+(text x (1 + punctuation)) and damped by the share of link text. Paths whose fused ratio reaches SHARE of its spread over the
+page's paths are content paths, and every block of a content path is kept, wherever it stands.
+
+What elements are called only damps the ratios below them, by a factor for each: much for nav, header, footer, aside and the
+like and for roles and classes that name such things, by half for words that in an article (or a main) may as well name what
+the text is about. All paths inside a damped wrapper are damped alike, so a page in a <form> or a "has-sidebar" keeps its
+article. Damped paths are not lifted by their neighbours.
+
+Blocks below the threshold, if undamped, stay with the content around them: those between two content blocks that aren't
+mostly links, and what stands in the same section as the content block next to it. Headings right before a content block stay
+whatever their class; so does the last h1 before the first one, unless it is in a page's header. A page whose best path is
+inside nav, footer, aside or the like has no article.
+
+Text of script, style, noscript, template and head is never text, nor is what is hidden. Character references are decoded,
+white space inside a block becomes one blank, blocks are joined by an empty line. Unclosed and misnested tags are repaired as
+browsers do for p, li, td and the like; an open head ends at the first tag or text that can't stand in one; tags nested deeper
+than DEPTH only end blocks. Reading takes time in proportion to the page, however broken.
+
+Defined cases: null or empty html, or a page without a kept block, gives the empty text; plain text without tags is one
+block; a tag that never closes is text; very long pages are read whole; a null page_id or url stays null; repeated rows each
+get a row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|([^<]+|<)", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?>=\s*+(?:"[^"]*+"|'[^']*+')|[^>=]|=)*+)>|([^<]++|<)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
 SILENT = RAW | frozenset("head svg math object audio video canvas select option datalist map".split())
@@ -57,27 +58,41 @@ VAGUE = re.compile(r"^(?:discussion|related|search|navigation|comments?|notice|l
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = frozenset("p section".split())
 PARTS = HEADINGS | frozenset("p ul ol li dl dt dd blockquote pre table caption thead tbody tfoot tr td th figure figcaption hgroup address".split())
-#: What is left of the ratio of a path with such a class or id.
-HINTED = 0.5
+#: Elements that hold no article; a form may hold the whole page.
+ASIDE = BOILERPLATE - {"form"}
+#: What is left of a ratio below such an element: one that names what isn't text, or one that may name a part of an article.
+NAMED, HINTED = 0.002, 0.5
+DEPTH = 128
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-CONTENT = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|entry|story|content|main|body|text)(?:$|[\s_-])", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 SHARE = 0.5
+KERNEL = np.exp(-0.5 * np.arange(-2, 3) ** 2)
 
 
 class Block:
-    __slots__ = ("hinted", "links", "marks", "path", "text")
+    __slots__ = ("aside", "factor", "links", "marks", "path", "text")
 
-    def __init__(self, path: tuple, text: str, links: int, hinted: bool):
-        self.path, self.text, self.links, self.hinted = path, text, links, hinted
+    def __init__(self, path: tuple, text: str, links: int, factor: float, aside: bool):
+        self.path, self.text, self.links, self.factor, self.aside = path, text, links, factor, aside
         self.marks = len(PUNCTUATION.findall(text))
 
 
+class Open:
+    """An open element: its name with and without class, whether it hides, what it leaves of ratios, and whether it or one around it is no place for an article."""
+
+    __slots__ = ("aside", "factor", "full", "hides", "name")
+
+    def __init__(self, name: str, full: str, hides: bool, factor: float, aside: bool):
+        self.name, self.full, self.hides, self.factor, self.aside = name, full, hides, factor, aside
+
+
+_RAW_END: dict[str, re.Pattern] = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
+
+
 def blocks(page: str) -> list[Block]:
-    """The page's text blocks in order, without those in silent or boilerplate elements."""
+    """The page's text blocks in order, without those in silent or hidden elements."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # name, name with class, whether it hides, whether its class only damps
-    articles = False
+    stack: list[Open] = []
     hidden = links = 0
     text: list[str] = []
     linked = 0
@@ -88,34 +103,37 @@ def blocks(page: str) -> list[Block]:
         if text:
             body = " ".join(html.unescape("".join(text)).split())
             if body:
-                out.append(Block(tuple(full for name, full, _, _ in stack if name not in INLINE), body, min(linked, len(body)), any(x[3] for x in stack)))
+                top = stack[-1] if stack else None
+                out.append(Block(tuple(x.full for x in stack if x.name not in INLINE), body, min(linked, len(body)), top.factor if top else 1.0, bool(top and top.aside)))
         text, linked = [], 0
 
     def close(at: int) -> None:
         nonlocal hidden, links
-        if any(name not in INLINE for name, _, _, _ in stack[at:]):
+        if any(x.name not in INLINE for x in stack[at:]):
             flush()
-        for name, _, hides, _ in stack[at:]:
-            hidden -= hides
-            links -= name == "a"
+        for x in stack[at:]:
+            hidden -= x.hides
+            links -= x.name == "a"
         del stack[at:]
 
     at, n = 0, len(page)
+    last = page.rfind(">")
     while at < n:
         if raw:
-            m = re.compile(rf"</{raw}\b[^>]*>", re.I).search(page, at)
+            m = _RAW_END[raw].search(page, at)
             at = m.end() if m else n
             raw = ""
             continue
-        m = TOKEN.match(page, at)
-        if m is None:  # a tag that never closes
+        m = TOKEN.match(page, at) if at <= last else None
+        if m is None:  # no tag ends any more
+            if stack and stack[-1].name == "head" and page[at:].strip():
+                close(len(stack) - 1)
             if not hidden:
-                text.append(page[at])
-            at += 1
-            continue
+                text.append(page[at:])
+            break
         at = m.end()
         if m[4] is not None:
-            if stack and stack[-1][0] == "head" and m[4].strip():
+            if stack and stack[-1].name == "head" and m[4].strip():
                 close(len(stack) - 1)
             if not hidden:
                 text.append(m[4])
@@ -127,29 +145,29 @@ def blocks(page: str) -> list[Block]:
         name = m[2].lower()
         if m[1]:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
+                if stack[i].name == name:
                     close(i)
                     break
-                if name in INLINE and stack[i][0] not in INLINE:
+                if name in INLINE and stack[i].name not in INLINE:
                     break
             else:
-                if name in ("p", "br"):
+                if name not in INLINE or name == "br":
                     flush()
             continue
-        if name not in HEAD and stack and stack[-1][0] == "head":
+        if name not in HEAD and stack and stack[-1].name == "head":
             close(len(stack) - 1)
         if name in CLOSES:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CLOSES[name]:
+                if stack[i].name in CLOSES[name]:
                     close(i)
                     break
-                if stack[i][0] not in INLINE:
+                if stack[i].name not in INLINE:
                     break
             if name in ("tr", "td", "th", "li", "dt", "dd"):
                 for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ("table", "ul", "ol", "dl"):
+                    if stack[i].name in ("table", "ul", "ol", "dl"):
                         break
-                    if stack[i][0] in CLOSES[name]:
+                    if stack[i].name in CLOSES[name]:
                         close(i)
                         break
         if name == "br":
@@ -169,31 +187,28 @@ def blocks(page: str) -> list[Block]:
                     marks += f" {value}"
                 elif key == "role":
                     role = value.lower()
-                elif key == "itemprop" and value.lower() == "articlebody":
-                    marks += " articlebody"
                 elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                     unseen = unseen or key == "hidden" or name not in INLINE
-        hides, damps = name in SILENT or name in BOILERPLATE or role in ROLES or unseen, False
-        if not hides and marks and name not in ("html", "body", "main", "article") and HINT.search(marks):
-            inside = any(x[0] in ("article", "main") for x in stack)
-            # of several words, one that isn't vague is enough to hide
-            damps = inside and name not in HEADINGS and (name in PROSE or not any(HINT.search(x) and not VAGUE.search(x) for x in re.split(r"[\s_-]+", marks)))
-            hides = not inside or not damps and name not in HEADINGS
-        articles = articles or name == "article" and not hidden
-        if m[3].rstrip().endswith("/") and name in ("svg", "path", "use"):
-            continue
-        stack.append((name, f"{name}.{'.'.join(marks.split())}" if marks else name, hides, damps))
-        hidden += hides
-        links += name == "a"
+        hides, factor = name in SILENT or unseen, 1.0
+        if name in BOILERPLATE or role in ROLES:
+            factor = NAMED
+        elif marks and name not in ("html", "body", "main", "article") and HINT.search(marks):
+            inside = any(x.name in ("article", "main") for x in stack)
+            # of several words, one that isn't vague is enough
+            vague = name in PROSE or name in HEADINGS or not any(HINT.search(x) and not VAGUE.search(x) for x in re.split(r"[\s_-]+", marks))
+            factor = HINTED if inside and vague else NAMED
         if name in RAW:
             raw = name
-            close(len(stack) - 1)
+            continue
+        if m[3].rstrip().endswith("/") and name in ("svg", "path", "use"):
+            continue
+        if len(stack) < DEPTH:
+            top = stack[-1] if stack else None
+            stack.append(Open(name, f"{name}.{'.'.join(marks.split())}" if marks else name, hides, factor * (top.factor if top else 1.0), name in ASIDE or bool(top and top.aside)))
+            hidden += hides
+            links += name == "a"
     flush()
-    return [b for b in out if not b.hinted or not articles or _within(b.path, "article")]
-
-
-def _within(path: tuple, name: str) -> bool:
-    return any(x.split(".")[0] == name for x in path)
+    return out
 
 
 def _name(path: tuple) -> str:
@@ -208,8 +223,8 @@ def _home(path: tuple) -> tuple:
     return path[:n]
 
 
-def _ratios(found: list[Block]) -> tuple[dict[tuple, float], dict[tuple, float]]:
-    """Each path's fused, smoothed ratio, and what of it is the path's own."""
+def _ratios(found: list[Block]) -> dict[tuple, float]:
+    """Each path's fused ratio: text and punctuation per block, smoothed, damped by links and by what elements are called."""
     total: dict[tuple, list[float]] = {}
     for b in found:
         t = total.setdefault(b.path, [0.0, 0.0, 0.0, 0.0])
@@ -219,20 +234,31 @@ def _ratios(found: list[Block]) -> tuple[dict[tuple, float], dict[tuple, float]]
         t[3] += 1
     length = np.array([total[b.path][0] / total[b.path][3] for b in found])
     marks = np.array([total[b.path][1] / total[b.path][3] for b in found])
-    kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
-    weight = np.convolve(np.ones(len(found)), kernel, "full")[2 : len(found) + 2]
-    length, marks = (np.convolve(x, kernel, "full")[2 : len(found) + 2] / weight for x in (length, marks))
-    fused = length * (1.0 + marks)
-    # a hint damps a path's own ratio
-    alone = np.array([total[b.path][0] / total[b.path][3] * (1.0 + total[b.path][1] / total[b.path][3]) for b in found])
-    fused = np.where([b.hinted for b in found], HINTED * np.minimum(fused, alone), fused)
+    home = np.array([hash(_home(b.path)) for b in found])
+    sums, weight = np.zeros((2, len(found))), np.zeros(len(found))
+    for step, k in zip(range(-2, 3), KERNEL, strict=True):
+        here = slice(max(0, -step), len(found) - max(0, step))
+        there = slice(max(0, step), len(found) - max(0, -step))
+        same = k * (home[here] == home[there])
+        weight[here] += same
+        sums[:, here] += same * np.array([length[there], marks[there]])
+    fused = sums[0] / weight * (1.0 + sums[1] / weight)
+    alone = length * (1.0 + marks)
+    factor = np.array([b.factor for b in found])
+    fused = factor * np.where(factor < 1.0, np.minimum(fused, alone), fused)
     best: dict[tuple, float] = {}
-    own: dict[tuple, float] = {}
-    for b, f, a in zip(found, fused, alone, strict=True):
-        text = 1.0 - total[b.path][2] / max(1.0, total[b.path][0])
-        best[b.path] = max(best.get(b.path, 0.0), f * text)
-        own[b.path] = min(best[b.path], a * text)
-    return best, own
+    for b, f in zip(found, fused.tolist(), strict=True):
+        best[b.path] = max(best.get(b.path, 0.0), f * (1.0 - total[b.path][2] / max(1.0, total[b.path][0])))
+    return best
+
+
+def content_paths(found: list[Block], ratio: dict[tuple, float]) -> set[tuple]:
+    """The paths whose ratio reaches the threshold; none where the best of them stands in nav, footer, aside or the like."""
+    level = SHARE * float(np.std(list(ratio.values()))) if len(ratio) > 1 else 0.0
+    best = max(ratio.values())
+    if any(b.aside and ratio[b.path] == best for b in found):
+        return set()
+    return {p for p, r in ratio.items() if r >= level and r > 0}
 
 
 def main_text(page: str | None) -> str:
@@ -240,44 +266,28 @@ def main_text(page: str | None) -> str:
     found = blocks(page or "")
     if not found:
         return ""
-    ratio, own = _ratios(found)
-    spread = float(np.std(list(ratio.values()))) if len(ratio) > 1 else 0.0
-    content = {p for p, r in ratio.items() if r >= SHARE * spread}
-    tops = [n for n in ("article", "main") if any(_within(p, n) for p in content)]
-    if tops:  # outside, neighbours lift no path
-        content = {p for p in content if _within(p, tops[0]) or own[p] >= SHARE * spread}
-    mass: dict[tuple, int] = {}
-    for b in found:
-        if b.path in content:
-            for i in range(len(b.path) + 1):
-                mass[b.path[:i]] = mass.get(b.path[:i], 0) + len(b.text) - b.links
-    whole = mass.get((), 0)
-    named = [p for p in mass if p and (p[-1].split(".")[0] in ("article", "main") or ("." in p[-1] and CONTENT.search(p[-1].split(".", 1)[1].replace(".", " "))))]
-    named = [p for p in named if p[-1].split(".")[0] == "article" or 2 * mass[p] >= whole]
-    if named:
-        kind = {p: p[-1].split(".")[0] == "article" for p in named}
-        container = max(named, key=lambda p: (kind[p], mass[p], len(p)))
-    else:
-        container = max((p for p in mass if 10 * mass[p] >= 8 * whole), key=len, default=())
-        if container and container[-1].split(".")[0] in ("p", "h1", "h2", "h3", "h4", "li", "blockquote", "pre", "td"):
-            container = container[:-1]
-    size = len(container)
+    ratio = _ratios(found)
+    content = content_paths(found, ratio)
     at = [i for i, b in enumerate(found) if b.path in content]
+    if not at:
+        return ""
+    least = max(found[i].factor for i in at)  # a wrapper's factor is everyone's
     leads = [False] * (len(found) + 1)  # headings with only headings between them and the next content block
     for i in range(len(found) - 1, -1, -1):
         leads[i] = found[i].path not in content and _name(found[i].path) in HEADINGS and i + 1 < len(found) and (found[i + 1].path in content or leads[i + 1])
+    title = max((i for i in range(at[0]) if _name(found[i].path) == "h1" and not found[i].aside), default=-1)
+    if any(_name(found[i].path) == "h1" for i in at):
+        title = -1
     kept, n = [], 0  # n: content blocks so far
     for i, b in enumerate(found):
         if b.path in content:
             kept.append(b.text)
             n += 1
             continue
-        beside = [found[j] for j in at[max(0, n - 1) : n + 1]]  # the content block before and the one after
-        if b.hinted:
-            stays = leads[i]
-        else:
-            plain = 2 * b.links <= len(b.text)
-            stays = b.path[:size] == container and (bool(named) or plain) or plain and 0 < n < len(at) or leads[i] or any(_home(b.path) == _home(x.path) for x in beside)
+        stays = leads[i] and not b.aside or i == title
+        if not stays and b.factor >= least and 2 * b.links <= len(b.text):
+            beside = [found[j] for j in at[max(0, n - 1) : n + 1]]  # the content block before and the one after
+            stays = 0 < n < len(at) or any(_home(b.path) == _home(x.path) for x in beside)
         if stays:
             kept.append(b.text)
     return "\n\n".join(kept)

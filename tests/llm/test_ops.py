@@ -4,6 +4,8 @@ import hashlib
 import math
 import random
 import re
+import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -159,6 +161,68 @@ def test_op2_survives_broken_markup():
         html_text.main_text("".join(rng.choice(["<p>", "</p>", "<div class='x'>", "</div>", "<", ">", "text ", "&amp", "<!--", "<script>", "<a href='", "</", "<td>"]) for _ in range(30)))
 
 
+def brute_content(found):
+    """Content paths by the docstring's words: means per path, Gaussian over neighbours of a section, fused, damped, thresholded."""
+    of = {}
+    for b in found:
+        of.setdefault(b.path, []).append(b)
+    mean = lambda p, f: sum(map(f, of[p])) / len(of[p])
+    score = {}
+    for i, b in enumerate(found):
+        near = [(math.exp(-0.5 * (i - j) ** 2), found[j]) for j in range(max(0, i - 2), min(len(found), i + 3)) if html_text._home(found[j].path) == html_text._home(b.path)]
+        text, marks = (sum(w * mean(x.path, f) for w, x in near) / sum(w for w, _ in near) for f in (lambda x: len(x.text), lambda x: x.marks))
+        value = text * (1 + marks)
+        if b.factor < 1:
+            value = b.factor * min(value, mean(b.path, lambda x: len(x.text)) * (1 + mean(b.path, lambda x: x.marks)))
+        value *= 1 - sum(x.links for x in of[b.path]) / sum(len(x.text) for x in of[b.path])
+        score[b.path] = max(score.get(b.path, 0), value)
+    level = html_text.SHARE * math.sqrt(sum((v - sum(score.values()) / len(score)) ** 2 for v in score.values()) / len(score)) if len(score) > 1 else 0
+    return score, {p for p, v in score.items() if v >= level and v > 0}
+
+
+def test_op2_ratios_match_brute_force_and_decide():
+    rng = random.Random(4)
+    changed = 0
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randrange(1, 12)):
+            body = " ".join(rng.choice(["word,", "text", "more.", "<a href=x>link</a>"]) for _ in range(rng.choice([1, 3, 40])))
+            parts.append(rng.choice(["<p>{}</p>", "<div class=a><p>{}</p></div>", "<div class=related>{}</div>", "<h2>{}</h2>", "<article><p>{}</p></article>", "<ul><li>{}</li></ul>", "<section id=b>{}</section>"]).format(body))
+        found = html_text.blocks("<body>" + "".join(parts))
+        ratio = html_text._ratios(found)
+        score, content = brute_content(found)
+        assert ratio == pytest.approx(score) and html_text.content_paths(found, ratio) == content
+        changed += html_text.content_paths(found, {p: rng.random() for p in ratio}) != content
+    assert changed > 75
+
+
+@pytest.mark.parametrize("page", [
+    "<body><form><div class=nav><a href=x>Home</a></div><div>{}</div></form>", "<body><div class='content has-sidebar'>{}</div><div class=sidebar>Side text.</div>",
+    "<body><div class='post no-comments'>{}</div><footer>Made by us.</footer>", "<body><div class='legal news'>{}</div>",
+])
+def test_op2_keeps_the_article_of_a_damped_wrapper(page):
+    assert html_text.main_text(page.format(f"<h1>Title</h1><p>{LONG}<p>{LONG}")) == f"Title\n\n{LONG}\n\n{LONG}"
+
+
+def test_op2_titles_and_pages_without_an_article():
+    assert html_text.main_text(f"<article><div class=article-header><h1>Title</h1></div><p>{LONG}<p>{LONG}</article>") == f"Title\n\n{LONG}\n\n{LONG}"
+    assert html_text.main_text("<body><nav><a href=x>Home</a></nav><footer>Some words of a footer.</footer>") == ""
+
+
+@pytest.mark.parametrize("part", ["<a ", "<! ", '<a b="', "</p>", "<p>a", "<a x='>", "<div>x", "<li>", "<!--", "<script>"])
+def test_op2_reads_broken_pages_in_proportion(part):
+    began = time.time()
+    html_text.main_text(part * 100_000)
+    assert time.time() - began < 20
+
+
+def test_op2_empty_table_and_long_page(spark):
+    schema = "page_id long, url string, html string"
+    assert html_text.digest(spark.createDataFrame([], schema)).count() == 0
+    (r,) = html_text.digest(spark.createDataFrame([(1, None, f"<article>{f'<p>{LONG}' * 20_000}</article>")], schema)).collect()
+    assert r.n_chars == len(r.text) == 20_000 * (len(LONG) + 2) - 2
+
+
 def test_op3_learns_from_positives_and_unlabelled(spark):
     rng = random.Random(6)
     rows, labels = [], []
@@ -435,6 +499,38 @@ def test_op10_targets_and_quotas(spark):
     assert sum(r.mix_words for r in mixed) == sum(taken.values()) and {r.mix_shard for r in mixed} <= set(range(8))
 
 
+def test_op10_every_node_of_the_tree_draws_for_itself():
+    draws = {tuple(mixing.generator(17, node).integers(0, 1 << 60, 4).tolist()) for node in range(1, 128)}
+    assert len(draws) == 127
+    quotas = np.array([1024, 300, 0, 2048])
+    got = [mixing.split(quotas, 8, seed) for seed in range(300)]
+    assert all((g.sum(axis=0) == quotas).all() and (g >= 0).all() for g in got)
+    mean, spread = np.mean(got, axis=0), np.std([g[:, 1] for g in got], axis=0)
+    assert np.abs(mean - quotas / 8).max() < 3  # the same mixture expected in each shard
+    n, k, m = quotas.sum(), quotas[1], quotas.sum() / 8
+    assert np.abs(spread / math.sqrt(m * k / n * (1 - k / n) * (n - m) / (n - 1)) - 1).max() < 0.2  # hypergeometric
+    assert mixing.block_bits(10) == 10 and mixing.block_bits(5_000_000_000) == 12
+
+
+def test_op5_op7_memory_is_bounded():
+    rng = random.Random(1)
+    items = [(str(i), " ".join(f"w{rng.randrange(50000)}" for _ in range(1000))) for i in range(400)]
+    tracemalloc.start()
+    index = decontaminate.Index(items, 10)
+    assert len(index.windows[10][0]) == 400 * 991 and tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.reset_peak()
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(12000)]
+    vectors, _ = language._bundle(texts)
+    assert tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
+    # brute force: a text's vector is the sum over its trigrams of bound, rotated letters
+    for i in (0, 7):
+        t = f" {texts[i]} "
+        letter = lambda c: language._letter(0 if c == " " else ord(c)).astype(int)
+        want = sum(np.roll(letter(t[j]), 2) * np.roll(letter(t[j + 1]), 1) * letter(t[j + 2]) for j in range(len(t) - 2))
+        assert (vectors[i] == want).all()
+
+
 def test_op10_shares_by_hand():
     assert mixing.targets([100, 100, 100, 100]) == pytest.approx([300 * 5 / 13 * 4 / 3, 300 * 2 / 13 * 4 / 3, 300 / 13 * 4 / 3, 300 * 5 / 13 * 4 / 3])
     assert mixing.targets([10, 1000]) == pytest.approx([30, 980]) and mixing.targets([0, 0]) == [0.0, 0.0]
