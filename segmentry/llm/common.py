@@ -74,8 +74,25 @@ def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
         yield lambda df, name: _write(df, name, outer)
     finally:
         _HELD.reset(token)
-        for spark, path in mine:
-            _remove(spark, path)
+        drop(mine)
+
+
+def drop(held: Held) -> None:
+    for spark, path in held:
+        _remove(spark, path)
+    held.clear()
+
+
+def stepped(first: DataFrame, steps: list[tuple[str, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
+    """The steps one after the other, each on the written result of the one before, which goes when its successor is written."""
+    now, outer, before = first, _HELD.get(), []
+    for i, (name, step) in enumerate(steps):
+        held: Held | None = outer if i == len(steps) - 1 else []
+        with scratch():
+            now = _write(step(now), name, held)
+        drop(before)
+        before = held if held is not outer else []
+    return now
 
 
 def packed(docs: DataFrame, *own: str) -> DataFrame:

@@ -30,6 +30,8 @@ from . import words as W
 DIM = 1024
 SEED = 20240607
 CACHE = 40_000  # trigram vectors kept by a worker (1 kB each)
+FLOOR = 0.1  # letters in no learned language, such as keys and encoded data, reach 0.09; clean texts of SHORT trigrams 0.14 and more
+SHORT = 30
 CELLS = 1 << 23  # numbers in a matrix at most (32 MB)
 MAX_LANGUAGES = 2000  # prototypes on the driver (8 kB each)
 _ALPHA = np.array([chr(i).isalpha() for i in range(0x10000)])
@@ -80,11 +82,12 @@ def _trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def _bundle(texts: list[str | None], key: np.ndarray | None = None, n_keys: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """The vector of each text, or the sums over the texts of each key of vectors scaled by length; whether each text has a letter."""
+    """The vector of each text, or the sums over the texts of each key of vectors scaled by length; how many trigrams each text has, -1 without a letter."""
     grams, row, lettered = _trigrams(texts)
     size = n_keys if key is not None else len(texts)
+    many = np.where(lettered, np.bincount(row, minlength=len(texts)), -1)
     if not len(grams):
-        return np.zeros((size, DIM), dtype=np.float32), lettered
+        return np.zeros((size, DIM), dtype=np.float32), many
     weight = np.ones(len(grams), dtype=np.float32)
     if key is not None:
         weight, row = (1.0 / np.bincount(row, minlength=len(texts)).clip(1))[row].astype(np.float32), key[row]
@@ -109,7 +112,7 @@ def _bundle(texts: list[str | None], key: np.ndarray | None = None, n_keys: int
             own = vectors[g] * much[at:to, None]
             out[rows] += np.add.reduceat(own, np.flatnonzero(np.append(True, r[1:] != r[:-1])), axis=0)
         at = to
-    return out, lettered
+    return out, many
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +127,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prototypes(docs: DataFrame, held_out: str = "held_out") -> tuple[list[str], np.ndarray]:
-    """Languages in code-point order and their centred unit vectors, learned from rows that are not held out."""
+    """Languages in code-point order and their unit vectors, learned from rows that are not held out."""
     taught = docs.filter(~F.col(held_out) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     parts = taught.mapInArrow(_train, "lang string, sums array<double>")
     if taught.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
@@ -135,33 +138,40 @@ def prototypes(docs: DataFrame, held_out: str = "held_out") -> tuple[list[str],
         return [], np.zeros((0, DIM))
     p = np.array([[x.v for x in r.v] for r in rows])
     p /= np.linalg.norm(p, axis=1, keepdims=True).clip(1e-12)
-    return [r.lang for r in rows], p - p.mean(axis=0) * (len(rows) > 1)
+    return [r.lang for r in rows], p
 
 
 def _predict(model, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, p = model.value
-        p = (p / np.linalg.norm(p, axis=1, keepdims=True).clip(1e-12)).astype(np.float32)
+        langs, whole = model.value
+        p = whole - whole.mean(axis=0) * (len(langs) > 1) if langs else whole
+        whole, p = whole.astype(np.float32), (p / np.linalg.norm(p, axis=1, keepdims=True).clip(1e-12)).astype(np.float32)
         for batch in batches:
             for rows, _, _ in W.pieces(batch, size=1 << 18):
-                v, lettered = _bundle(rows.column("text").to_pylist())
+                v, many = _bundle(rows.column("text").to_pylist())
+                lettered, fit = many >= 0, np.zeros(rows.num_rows)
                 if langs:
-                    cosine = v @ p.T / np.linalg.norm(v, axis=1, keepdims=True).clip(1e-9)
+                    v /= np.linalg.norm(v, axis=1, keepdims=True).clip(1e-9)
+                    cosine, fit = v @ p.T, (v @ whole.T).max(axis=1)
                     best = cosine.argmax(axis=1)
                     score = np.where(lettered, cosine[np.arange(len(best)), best].clip(0, 1), 0.0)
                     said = [langs[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)]
                 else:
                     score, said = np.zeros(rows.num_rows), ["und"] * rows.num_rows
-                yield pa.RecordBatch.from_pydict({c: rows.column(c) for c in columns} | {"lang_pred": pa.array(said, pa.string()), "score": pa.array(score.astype(np.float64))})
+                yield pa.RecordBatch.from_pydict({c: rows.column(c) for c in columns} | {"lang_pred": pa.array(said, pa.string()), "score": pa.array(score.astype(np.float64)), "known": pa.array((fit >= FLOOR) | (many < SHORT))})
 
     return run
 
 
 def identify(docs: DataFrame, keep: list[str], model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """The columns `keep` of every document with lang_pred and score (cosine with the prototype, at least 0)."""
+    """The columns `keep` of every document with lang_pred, score (cosine with the centred prototype, at least 0) and known.
+
+    known: whether the text is in one of the languages at all: its cosine with a whole prototype reaches FLOOR, or it has
+    fewer than SHORT trigrams, too few to tell.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string, score double"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string, score double, known boolean"])
     return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(_predict(shared, keep), schema)
 
 
@@ -170,6 +180,6 @@ def with_folds(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, held_out, lang_pred, score."""
+    """Per document: doc_id, held_out, lang_pred, score, known."""
     rows = with_folds(docs)
     return identify(rows, ["doc_id", "held_out"], prototypes(rows))

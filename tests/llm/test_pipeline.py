@@ -16,7 +16,8 @@ def test_stages(spark, tmp_path):
     shifted = base.split()
     shifted[5:5] = ["new"]
     rows += [(100, base, "en", "a", 0), (101, base, "en", "a", 0), (102, "\n".join(" ".join(shifted[k : k + 15]) for k in range(0, 61, 15)), None, "b", 0)]
-    rows += [(200, "123 ...", "en", "a", 0), (201, None, "en", "a", 0), (202, text(30) + " " + bench + " end", "en", None, 0)]
+    key = "".join(rng.choice("bcdfghjkqvwxz") for _ in range(300))
+    rows += [(200, "123 ...", "en", "a", 0), (201, None, "en", "a", 0), (203, key, "en", "a", 0), (202, text(30) + " " + bench + " end", "en", None, 0)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs, ids = spark.read.parquet(str(tmp_path / "documents.parquet")), []
@@ -26,9 +27,25 @@ def test_stages(spark, tmp_path):
         ids.append({r.doc_id: r.text for r in docs.collect()})
         if i < 4:
             assert docs.columns == COLUMNS
-    assert set(ids[0]) == {r[0] for r in rows} - {200, 201}
+    assert set(ids[0]) == {r[0] for r in rows} - {200, 201, 203}
     assert set(ids[1]) == set(ids[0]) and ids[1][100] == base and ids[1][101] == ""
     assert set(ids[2]) == set(ids[1]) - {102} and ids[2][101] == ""
     assert bench not in ids[3][202] and ids[3][202].endswith("end") and set(ids[3]) == set(ids[2])
     assert {"mix_pass", "mix_shard", "mix_words"} <= set(docs.columns) and set(ids[4]) <= set(ids[3])
-    assert "pipeline" in __spark_entry__.queries() and len(__spark_entry__.queries()) == 41
+    assert "pipeline" in __spark_entry__.queries()
+
+
+def test_stages_on_empty_tables_repeated_rows_and_odd_columns(spark, tmp_path):
+    spark.createDataFrame([(1, "nothing of this is anywhere")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, rid long, spans string, place int, lang_pred string, known int, size int"
+    words = "the and of with that from there which would about".split()
+    text = " ".join(words[i % 7] + words[i % 10] for i in range(60))
+    odd = (7, "x", 3, "y", 4, 5)
+    rows = [(1, text, "en", "a", 1, *odd), (1, text, "en", "a", 1, *odd), (None, text, None, None, None, *odd), (2, None, "en", "a", 0, *odd), (3, "", None, "b", 0, *odd), (4, (text.upper() + " ") * 900, "en", "b", 1, *odd)]
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, spark.createDataFrame([], schema), str(tmp_path))
+        assert empty.count() == 0 and set(empty.columns) >= {f.split()[0] for f in schema.split(", ")}
+        out = stage(spark, spark.createDataFrame(rows, schema), str(tmp_path))
+        got = out.collect()
+        assert got and all(r.known == 4 and r.lang_pred == "y" for r in got), name
+        assert any(r.doc_id == 4 and len(r.text) > 300_000 for r in got) or name == "mixing sources"
