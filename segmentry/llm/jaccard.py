@@ -6,7 +6,7 @@ short inverted lists and probes its L long ones; with L = T - 1 a partner must s
 
 1.  Documents with equal sets are one class, by two 64-bit sums over the set; only its smallest id goes on.
 2.  A document with |x| - T + 1 shingles that no other document has can have no partner. Shingles in a fixed share of the
-    hash space (`MEASURED`) are counted first, which drops most documents; then all shingles of those that stay, twice,
+    hash space (`MEASURED` times that of the short lists) are counted first, which drops most documents; then all shingles of those that stay, twice,
     as those that dropped no longer count. What stays shares nearly all its shingles with others that stay.
 3.  Each of these merges its shortest lists, |x| - T + 1 of them less its own shingles. All documents order shingles
     alike (by length of list, then hash), so no link is lost. A pair that meets there must also pass the length filter
@@ -46,7 +46,8 @@ from .components import components
 
 K = 4
 PERCENT = 85
-MEASURED = 0.20
+#: Share of the hash space that is counted first, as a multiple of the share of short lists.
+MEASURED = 1.5
 #: Candidates of a centre that are searched at a time.
 BLOCK = 1000
 #: Centres of a list grow by this factor a round.
@@ -260,7 +261,7 @@ def _forest(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None
 def classes(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """(rid, n_shingles, component) for docs (rid, text), as a written table."""
     with scratch() as result:
-        sets = written(docs.mapInArrow(_sets(k, int(MEASURED * (1 << 63))), "rid long, n long, one long, two long, shingles array<long>"), "sets")
+        sets = written(docs.mapInArrow(_sets(k, int(min(1.0, MEASURED * (1 - percent / 100)) * ((1 << 63) - 1))), "rid long, n long, one long, two long, shingles array<long>"), "sets")
         some = sets.filter("n > 0")
         first = some.groupBy("one", "two", "n").agg(F.min("rid").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
         copies = some.select("rid", "one", "two", "n").join(near(written(first, "first")), ["one", "two", "n"]).filter("rid <> rep").select("rid", "rep")

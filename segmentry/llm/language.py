@@ -32,7 +32,7 @@ SEED = 20240607
 CACHE = 40_000  # trigram vectors kept by a worker (1 kB each)
 FLOOR = 0.1  # letters in no learned language, such as keys and encoded data, reach 0.09; clean texts of SHORT trigrams 0.14 and more
 SHORT = 30
-CELLS = 1 << 23  # numbers in a matrix at most (32 MB)
+CELLS = 1 << 23  # numbers in a matrix of texts by trigrams (64 MB)
 MAX_LANGUAGES = 2000  # prototypes on the driver (8 kB each)
 _ALPHA = np.array([chr(i).isalpha() for i in range(0x10000)])
 _VECTORS: dict[int, np.ndarray] = {}
@@ -88,30 +88,19 @@ def _bundle(texts: list[str | None], key: np.ndarray | None = None, n_keys: int
     many = np.where(lettered, np.bincount(row, minlength=len(texts)), -1)
     if not len(grams):
         return np.zeros((size, DIM), dtype=np.float32), many
-    weight = np.ones(len(grams), dtype=np.float32)
-    if key is not None:
-        weight, row = (1.0 / np.bincount(row, minlength=len(texts)).clip(1))[row].astype(np.float32), key[row]
-    # distinct (row, trigram) pairs in order of row, with their weights
     distinct, which = np.unique(grams, return_inverse=True)
-    pair, of = np.unique(row * len(distinct) + which, return_inverse=True)
-    much = np.bincount(of, weights=weight).astype(np.float32)
-    row, which = pair // len(distinct), pair % len(distinct)
+    if size * len(distinct) > CELLS and len(texts) > 1:  # many texts of ever new trigrams: by halves
+        half = len(texts) // 2
+        if key is None:
+            return np.vstack([_bundle(texts[:half])[0], _bundle(texts[half:])[0]]), many
+        return _bundle(texts[:half], key[:half], n_keys)[0] + _bundle(texts[half:], key[half:], n_keys)[0], many
+    weight = None
+    if key is not None:
+        weight, row = (1.0 / np.bincount(row, minlength=len(texts)).clip(1))[row], key[row]
     out = np.zeros((size, DIM), dtype=np.float32)
-    at = 0
-    while at < len(pair):
-        # blocks of pairs whose vectors make CELLS numbers at most, and so does the matrix of rows by trigrams
-        to = min(len(pair), at + CELLS // DIM)
-        rows, r = np.unique(row[at:to], return_inverse=True)
-        kinds, g = np.unique(which[at:to], return_inverse=True)
-        vectors = np.array([_gram(int(x)) for x in distinct[kinds]], dtype=np.float32)
-        if len(rows) * len(kinds) <= CELLS:
-            counts = np.zeros((len(rows), len(kinds)), dtype=np.float32)
-            counts[r, g] = much[at:to]
-            out[rows] += counts @ vectors
-        else:  # many rows of few trigrams each: one sum a row over its own vectors
-            own = vectors[g] * much[at:to, None]
-            out[rows] += np.add.reduceat(own, np.flatnonzero(np.append(True, r[1:] != r[:-1])), axis=0)
-        at = to
+    counts = np.bincount(row * len(distinct) + which, weights=weight, minlength=size * len(distinct)).reshape(size, -1).astype(np.float32)
+    for at in range(0, len(distinct), 4096):
+        out += counts[:, at : at + 4096] @ np.array([_gram(int(g)) for g in distinct[at : at + 4096]], dtype=np.float32)
     return out, many
 
 
