@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, jaccard, language, lattice, lines, mixing, quality, substrings, toxicity
+from . import decontaminate, html_text, jaccard, language, lattice, lines, mixing, oracles, quality, substrings, toxicity
 from .common import table
 
 
@@ -55,4 +55,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op7_language, op8_jaccard, op9_lattice_lm, op10_mixing,
 )}
 
-SQL: dict[str, str] = {"op4_line_dedup": lines.SQL}
+SQL: dict[str, str] = {"op1_substrings": oracles.SUBSTRINGS, "op4_line_dedup": lines.SQL, "op5_decontamination": oracles.DECONTAMINATION, "op8_jaccard": oracles.JACCARD}
