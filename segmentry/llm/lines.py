@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, near, packed, scratch, text_changed, unpacked, written
+from .common import keyed, near, packed, scratch, small, text_changed, unpacked, written
 
 PERCENT = 80
 BITS = 17
@@ -137,11 +137,14 @@ def _words_of(docs: DataFrame, at: DataFrame) -> DataFrame:
     return each.select("rid", F.col("x.at").alias("pos"), F.array_distinct(F.array_remove(F.split("x.line", " "), "")).alias("words"))
 
 
-def _verified(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
-    """(rid, pos) of each x that a y of its pairs matches."""
+def _verified(pairs: DataFrame, words: DataFrame, percent: int, few: bool) -> DataFrame:
+    """(rid, pos) of each x that a y of its pairs matches; few pairs are broadcast, so that only their own words are shuffled."""
     x = words.select(F.col("rid").alias("x_rid"), F.col("pos").alias("x_pos"), F.col("words").alias("x_words"))
     y = words.select(F.col("rid").alias("y_rid"), F.col("pos").alias("y_pos"), F.col("words").alias("y_words"))
-    both = pairs.join(y, ["y_rid", "y_pos"]).join(x, ["x_rid", "x_pos"])
+    if few:
+        x = x.join(F.broadcast(pairs.select("x_rid", "x_pos").distinct()), ["x_rid", "x_pos"], "left_semi")
+        pairs = F.broadcast(pairs)
+    both = y.join(pairs, ["y_rid", "y_pos"]).join(x, ["x_rid", "x_pos"])
     shared = F.size(F.array_intersect("x_words", "y_words"))
     return both.filter((100 + percent) * shared >= percent * (F.size("x_words") + F.size("y_words"))).select(F.col("x_rid").alias("rid"), F.col("x_pos").alias("pos")).distinct()
 
@@ -158,6 +161,7 @@ def later_matches(docs: DataFrame, percent: int = PERCENT, bits: int = BITS) ->
     words = written(_words_of(docs, at), "words")
     spot = F.pmod(F.xxhash64(*_AT), F.lit(1 << 40))
     lists = written(_lists(members, percent).withColumn("spot", spot), "lists")
+    sizes = written(lists.groupBy("code").agg(F.count("*").alias("k")).filter("k > 1"), "sizes")
     found, open_lines, turn = copies, members, 0
     while True:
         x = _lists(open_lines, percent)
@@ -166,14 +170,20 @@ def later_matches(docs: DataFrame, percent: int = PERCENT, bits: int = BITS) ->
             y = lists.groupBy("code").agg(F.min(F.struct(*_ROW, "i")).alias("y")).select("code", "y.*")
             pairs = _pairs(x, y, percent).groupBy("x_rid", "x_pos").agg(F.min(F.struct("y_rid", "y_pos")).alias("y")).select("x_rid", "x_pos", "y.*")
         else:
-            size = x.groupBy("code").agg(F.count("*").alias("open")).join(lists.groupBy("code").agg(F.count("*").alias("k")), "code")
-            size = written(size.filter(F.col("k") > (GROW ** (turn - 1) if turn > 1 else 1)).select("code", "k"), "sizes")
-            if not size.limit(1).count():
+            bound = GROW ** (turn - 1) if turn > 1 else 1
+            large = sizes.filter(F.col("k") > bound)
+            if not large.limit(1).count():
+                return found
+            large = near(large)
+            x = x.join(large, "code", "left_semi")
+            if turn > 1 and not x.limit(1).count():
                 return found
             upto = [F.least(F.lit(1.0), F.lit(float(GROW**t)) / F.col("k")) * F.lit(float(1 << 40)) for t in (turn - 1, turn)]
-            y = lists.join(near(size), "code").filter((F.col("spot") < upto[1]) & (F.col("spot") >= upto[0] if turn > 1 else F.lit(True)))
+            y = lists.join(large, "code").filter((F.col("spot") < upto[1]) & (F.col("spot") >= upto[0] if turn > 1 else F.lit(True)))
             pairs = _pairs(x, y, percent).distinct()
-        got = written(_verified(written(pairs, "pairs"), words, percent), "matched")
+        pairs = written(pairs, "pairs")
+        # the first round has a pair for about every line that is left
+        got = written(_verified(pairs, words, percent, turn > 0 and small(pairs)), "matched")
         found = found.unionByName(got)
         open_lines = written(open_lines.join(near(got), _AT, "left_anti"), "open")
         turn += 1
