@@ -49,39 +49,39 @@ def _plain(text: str) -> Column:
 
 
 def _ranks(docs: DataFrame, bits: int) -> DataFrame:
-    """One row with one array: the rarity rank of each bucket of words, a logarithm of its count."""
+    """One row with one array: the rarity rank of each bucket of words, a logarithm of its count, in the top 12 bits."""
     spark = docs.sparkSession
     words = docs.select(F.explode(F.split(F.replace(_plain("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w")).filter("w <> ''")
     counts = written(words.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << bits) - 1)).alias("bucket")).agg(F.count("*").alias("n")), "counts")
     rank = F.floor(16 * F.log2(F.coalesce("n", F.lit(0)) + F.lit(1))).cast("int")
     every = spark.range(1 << bits, numPartitions=1).join(F.broadcast(counts), F.col("id") == F.col("bucket"), "left")
-    return every.select(F.sort_array(F.collect_list(F.struct("id", rank.alias("rank")))).alias("x")).select(F.col("x.rank").alias("ranks"))
+    return every.select(F.sort_array(F.collect_list(F.struct("id", rank.alias("rank")))).alias("x")).select(F.transform("x.rank", lambda r: F.shiftleft(r.cast("long"), 52)).alias("ranks"))
 
 
 def _sets(docs: DataFrame, percent: int, bits: int) -> DataFrame:
-    """Each line with a word: rid, pos, size n, two hashes of its set, parity, and the codes of its prefix."""
+    """Each line with a word: lid, rid, pos, size n, two hashes of its set, parity, and the codes of its prefix."""
     lines = docs.select("rid", F.posexplode(F.split(_plain("text"), "\n")).alias("pos", "line")).filter(F.trim("line") != "").withColumn("ranks", _ranks(docs, bits).scalar())
 
     def code(h: Column) -> Column:
-        return F.shiftleft(F.get("ranks", h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")).cast("long"), 52).bitwiseOR(F.shiftrightunsigned(h, 12))
+        # never null, so that the codes are sorted as plain longs
+        return F.coalesce(F.get("ranks", h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 12))
 
     codes = lines.select(*_AT, F.sort_array(F.array_distinct(F.transform(F.transform(F.array_remove(F.split("line", " "), ""), lambda w: F.xxhash64(w)), code))).alias("codes"))
     n = F.size("codes")
 
-
     def parity(of: Column) -> Column:
         return F.aggregate(of, F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
 
     # long lines: also the parity of those words whose next bit is set
     more = F.when(n > LONG, parity(F.filter("codes", lambda c: c.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long"))
-    return codes.select(*_AT, n.alias("n"), F.xxhash64("codes").alias("one"), F.xxhash64(F.lit(percent), "codes").alias("two"), parity(F.col("codes")).alias("parity"), more.alias("more"), F.slice("codes", 1, n - F.ceil(n * percent / 100).cast("int") + 2).alias("prefix"))
+    return codes.select(F.monotonically_increasing_id().alias("lid"), *_AT, n.alias("n"), F.xxhash64("codes").alias("one"), F.xxhash64(F.lit(percent), "codes").alias("two"), parity(F.col("codes")).alias("parity"), more.alias("more"), F.slice("codes", 1, n - F.ceil(n * percent / 100).cast("int") + 2).alias("prefix"))
 
 
 _ROW = [*_AT, "n", "parity", "more"]
 
 
-def _lists(lines: DataFrame, percent: int) -> DataFrame:
-    """A row for each key (code) of each line: a prefix word at place i, or a frequent one there with one after it."""
+def _lists(lines: DataFrame, percent: int, row: list[str] = _ROW) -> DataFrame:
+    """A row for each key (code) of each line, with its columns `row`: a prefix word at place i, or a frequent one there with one after it."""
     # the first shared word stands among all of a prefix but its last word
     firsts = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
 
@@ -96,17 +96,17 @@ def _lists(lines: DataFrame, percent: int) -> DataFrame:
     any_frequent, places = frequent(F.get("prefix", firsts - 1)), F.sequence(F.lit(0), firsts - 1)
     at = F.when(any_frequent, F.flatten(F.transform(places, lambda i: F.array_repeat(i, F.size(keys(i))))))
     every = F.when(any_frequent, F.flatten(F.transform(places, keys))).otherwise(F.slice("prefix", 1, firsts))
-    return lines.select(*_ROW, at.alias("at"), F.posexplode(every).alias("i", "code")).select(*_ROW, F.coalesce(F.get("at", "i"), "i").alias("i"), "code")
+    return lines.select(*row, at.alias("at"), F.posexplode(every).alias("i", "code")).select(*row, F.coalesce(F.get("at", "i"), "i").alias("i"), "code")
 
 
-def _may_match(percent: int) -> Column:
-    """Length, parity and positional filters on a pair of prefix rows (aliases x and y)."""
-    p, both = percent, F.col("x.n") + F.col("y.n")
+def _may_match(percent: int, x_n: Column, y_n: Column, x_i: Column, y_i: Column) -> Column:
+    """Length, parity and positional filters on a pair of prefix rows (aliases x and y), given their sizes and places."""
+    p, both = percent, x_n + y_n
     whole, half = (F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")) for c in ("parity", "more"))
-    differ = F.when(F.least("x.n", "y.n") > LONG, F.bit_count(whole.bitwiseXOR(half)) + F.bit_count(half)).otherwise(F.bit_count(whole))
+    differ = F.when(F.least(x_n, y_n) > LONG, F.bit_count(whole.bitwiseXOR(half)) + F.bit_count(half)).otherwise(F.bit_count(whole))
     # words before the shared one may be shared too: a pair meets at each word that its prefixes share
-    before, after = F.least("x.i", "y.i"), F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
-    return (100 * F.least("x.n", "y.n") >= p * F.greatest("x.n", "y.n")) & ((100 + p) * differ <= (100 - p) * both) & ((100 + p) * (before + after) >= p * both)
+    before, after = F.least(x_i, y_i), F.least(x_n - x_i, y_n - y_i)
+    return (100 * F.least(x_n, y_n) >= p * F.greatest(x_n, y_n)) & ((100 + p) * differ <= (100 - p) * both) & ((100 + p) * (before + after) >= p * both)
 
 
 def _earlier() -> Column:
@@ -118,15 +118,18 @@ _PAIR = ["x_rid", "x_pos", "y_rid", "y_pos"]
 
 def _pairs(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
     """Pairs of prefix rows with an earlier y that pass the filters."""
-    met = x.alias("x").join(y.alias("y"), (F.col("x.code") == F.col("y.code")) & _earlier() & _may_match(percent))
+    met = x.alias("x").join(y.alias("y"), (F.col("x.code") == F.col("y.code")) & _earlier() & _may_match(percent, *(F.col(c) for c in ("x.n", "y.n", "x.i", "y.i"))))
     return met.select(*(F.col(c.replace("_", ".")).alias(c) for c in _PAIR))
 
 
 def _candidates(able: DataFrame, percent: int) -> DataFrame:
-    """(rid, pos) of the lines that share a prefix word with another line and pass the filters with it."""
-    lists = _lists(able, percent)
-    other = (F.col("y.rid") != F.col("x.rid")) | (F.col("y.pos") != F.col("x.pos"))
-    return lists.alias("x").join(lists.alias("y"), (F.col("x.code") == F.col("y.code")) & other & _may_match(percent), "left_semi").select(*_AT).distinct()
+    """(lid) of the lines that share a prefix word with another line and pass the filters with it."""
+    # narrow rows, as each line is shuffled once for each of its keys: size and place share a column
+    lists = _lists(able, percent, ["lid", "n", "parity", "more"]).select("lid", "parity", "more", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i")).alias("span"), "code")
+    n = [F.shiftright(f"{side}.span", 32) for side in "xy"]
+    i = [F.col(f"{side}.span").bitwiseAND(F.lit((1 << 32) - 1)) for side in "xy"]
+    other = F.col("x.lid") != F.col("y.lid")
+    return lists.alias("x").join(lists.alias("y"), (F.col("x.code") == F.col("y.code")) & other & _may_match(percent, *n, *i), "left_semi").select("lid").distinct()
 
 
 def _words_of(docs: DataFrame, at: DataFrame) -> DataFrame:
@@ -154,8 +157,8 @@ def later_matches(docs: DataFrame, percent: int = PERCENT, bits: int = BITS) ->
     # a set so small that one word more is too many matches only its equals
     able = sets.filter(100 * F.col("n") >= percent * (F.col("n") + 1)).join(near(copies), _AT, "left_anti")
     at = written(_candidates(able, percent), "near")
-    members = written(able.join(near(at), _AT, "left_semi").select(*_ROW, "prefix"), "members")
-    words = written(_words_of(docs, at), "words")
+    members = written(able.join(near(at), "lid", "left_semi").select(*_ROW, "prefix"), "members")
+    words = written(_words_of(docs, members.select(*_AT)), "words")
     spot = F.pmod(F.xxhash64(*_AT), F.lit(1 << 40))
     lists = written(_lists(members, percent).withColumn("spot", spot), "lists")
     found, open_lines, turn = copies, members, 0
