@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, near, packed, scratch, text_changed, unpacked, written
+from .common import keyed, near, packed, scratch, small, text_changed, unpacked, written
 
 PERCENT = 80
 BITS = 17
@@ -141,10 +141,16 @@ def _words_of(docs: DataFrame, at: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
-    """(rid, pos) of each x that a y of its pairs matches."""
-    x = words.select(F.col("rid").alias("x_rid"), F.col("pos").alias("x_pos"), F.col("words").alias("x_words"))
-    y = words.select(F.col("rid").alias("y_rid"), F.col("pos").alias("y_pos"), F.col("words").alias("y_words"))
-    both = pairs.join(y, ["y_rid", "y_pos"]).join(x, ["x_rid", "x_pos"])
+    """(rid, pos) of each x that a y of its pairs (a written table) matches."""
+    few = small(pairs)
+
+    def side(name: str) -> DataFrame:
+        mine = words.select(F.col("rid").alias(f"{name}_rid"), F.col("pos").alias(f"{name}_pos"), F.col("words").alias(f"{name}_words"))
+        on = [f"{name}_rid", f"{name}_pos"]
+        # few pairs go to the words, so that only the words they need are shuffled
+        return mine.join(F.broadcast(pairs.select(on)), on, "left_semi") if few else mine
+
+    both = pairs.join(side("y"), ["y_rid", "y_pos"]).join(side("x"), ["x_rid", "x_pos"])
     shared = F.size(F.array_intersect("x_words", "y_words"))
     return both.filter((100 + percent) * shared >= percent * (F.size("x_words") + F.size("y_words"))).select(F.col("x_rid").alias("rid"), F.col("x_pos").alias("pos")).distinct()
 
