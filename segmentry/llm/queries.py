@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, jaccard, language, lattice, lines, mixing, oracles, quality, substrings, toxicity
+from . import alignment, decontaminate, html_text, jaccard, language, lattice, lines, mixing, oracles, quality, substrings, toxicity
 from .common import table
 
 
@@ -50,9 +50,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_substrings, op2_html_text, op3_toxicity, op4_line_dedup, op5_decontamination, op6_quality,
-    op7_language, op8_jaccard, op9_lattice_lm, op10_mixing,
+    op7_language, op8_jaccard, op9_lattice_lm, op10_mixing, op11_alignment,
 )}
 
 SQL: dict[str, str] = {"op1_substrings": oracles.SUBSTRINGS, "op4_line_dedup": lines.SQL, "op5_decontamination": oracles.DECONTAMINATION, "op8_jaccard": oracles.JACCARD}
