@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, decontaminate, html_text, jaccard, language, lattice, lines, merkle, mixing, oracles, quality, substrings, toxicity
+from . import alignment, decontaminate, html_text, jaccard, language, lattice, lines, merkle, mixing, oracles, quality, substrings, toxicity, urls
 from .common import table
 
 
@@ -58,9 +58,13 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.digest(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_substrings, op2_html_text, op3_toxicity, op4_line_dedup, op5_decontamination, op6_quality,
-    op7_language, op8_jaccard, op9_lattice_lm, op10_mixing, op11_alignment, op12_merkle,
+    op7_language, op8_jaccard, op9_lattice_lm, op10_mixing, op11_alignment, op12_merkle, op13_urls,
 )}
 
 SQL: dict[str, str] = {"op1_substrings": oracles.SUBSTRINGS, "op4_line_dedup": lines.SQL, "op5_decontamination": oracles.DECONTAMINATION, "op8_jaccard": oracles.JACCARD, "op12_merkle": merkle.SQL}
