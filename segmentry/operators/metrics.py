@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segmentry.functions.rules import rounded
+from segmentry.functions.exact import rounded
 
 
 def weighted_mean(value: str, weight: str) -> Column:
@@ -14,16 +14,20 @@ def weighted_mean(value: str, weight: str) -> Column:
 
 
 def with_total(rows: DataFrame, by: list[str], sums: list[str], means: list[str], weight: str, label: str = "total", digits: dict[str, tuple[int, int]] | None = None) -> DataFrame:
-    """Sums and weighted means by group and, with `label` in every column of `by`, over all rows.
+    """Sums and weighted means by group and, with `label` in every column of `by`, over all rows: grouping sets over one scan.
 
     digits: for a column, the decimals to which its rows are rounded before they are summed, and to which the sum is.
+    A null group is a group of its own beside the total; without rows there is still a total, of nulls.
     """
     digits = digits or {}
-    rows = rows.withColumns({c: rounded(F.col(c), d[0]) for c, d in digits.items()})
+    rows = rows.select(*by, *(rounded(F.col(c), digits[c][0]).alias(c) if c in digits else F.col(c) for c in dict.fromkeys([*sums, *means, weight])), F.lit(False).alias("_none"))
+    # a row of nothing, so that the total is there for an empty table
+    none = rows.sparkSession.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields if f.name != "_none"), F.lit(True).alias("_none"))
     total = {c: rounded(F.sum(c), digits[c][1]) if c in digits else F.sum(c) for c in sums}
-    aggregates = [*(v.alias(c) for c, v in total.items()), *(weighted_mean(c, weight).alias(c) for c in means)]
-    parts = rows.groupBy(*by).agg(*aggregates)
-    return parts.unionByName(rows.agg(*aggregates).select(*(F.lit(label).alias(c) for c in by), *sums, *means))
+    aggregates = [*(v.alias(c) for c, v in total.items()), *(weighted_mean(c, weight).alias(c) for c in means), F.grouping("_none").alias("_all")]
+    keys = [F.col(c) for c in [*by, "_none"]]
+    found = rows.unionByName(none).groupingSets([keys, []], *keys).agg(*aggregates).filter("_all = 1 OR NOT _none")
+    return found.select(*(F.when(F.col("_all") == 1, F.lit(label)).otherwise(F.col(c)).alias(c) for c in by), *sums, *means)
 
 
 def skip_reasons(items: DataFrame, key: str, needed: DataFrame, done: DataFrame, missing: str = "missing", finished: str = "done") -> DataFrame:

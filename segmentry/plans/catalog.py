@@ -349,8 +349,8 @@ def scene_slice(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT *, CAST(l_quantity AS BIGINT) AS n, CAST(round_even(l_extendedprice, 0) AS BIGINT) AS bytes FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linenumber + 4 AS scene, n AS frames, round_even(n / 4.0 * 100, 0) / 100 AS encode_sec, 4.0::DOUBLE AS fps,
-round_even(bytes / 1e6 * 100, 0) / 100 AS size_mb, CAST(round_even(n / 50.0 * 100, 0) AS BIGINT) AS ratio, greatest(n - 1, 0) / 24.0 * 1000.0 AS ms,
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linenumber + 4 AS scene, n AS frames, CAST(printf('%.2f', n / 4.0) AS DOUBLE) AS encode_sec, 4.0::DOUBLE AS fps,
+CAST(printf('%.2f', bytes / 1e6) AS DOUBLE) AS size_mb, CAST(round_even(n / 50.0 * 100, 0) AS BIGINT) AS ratio, greatest(n - 1, 0) / 24.0 * 1000.0 AS ms,
 CASE WHEN l_linenumber > 1 THEN n / 24.0 END AS begin_sec, CASE WHEN l_linenumber > 1 THEN l_linenumber / 24.0 END AS duration FROM r""")
 def chunk_rows(spark, sf_dir):
     r = _table(spark, sf_dir, "lineitem")
