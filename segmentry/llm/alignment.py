@@ -9,7 +9,7 @@ memoised by state and token.
 A single space between two characters that are no white space is a cut for both tokenizers: the byte-level one never joins
 what is before such a space with the space, and no piece of the other has its space mark anywhere but in front (checked when
 it is loaded). The tokens of a text are therefore those of its stretches between such spaces, every group ends with its
-stretch, and a worker keeps the tokens, groups and links of the stretches it meets again (CACHE of them, then it starts anew).
+stretch, and a worker keeps the tokens, groups and links of the stretches it meets again (CACHE of them; then those met only once go).
 
 A pair's count is the number of documents that hold it linked. Documents are tokenised once; their distinct pairs are
 written with their numbers of links, and counted by Spark. The most frequent pairs go to all workers: those of at least 2**j
@@ -43,7 +43,7 @@ from .common import written
 BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: Stretches, and steps of the transducer, kept by a worker (some 300 bytes each).
-CACHE = 1 << 17
+CACHE = 1 << 18
 #: Characters of a text that are read at a time.
 SLICE = 1 << 20
 #: Pairs that every worker gets with their counts.
@@ -66,24 +66,27 @@ class Transducer:
 
     def __init__(self, bytes_of: tuple[list[bytes], list[bytes]]):
         self.bytes_of = bytes_of
+        self.names = tuple([str(i) for i in range(len(side))] for side in bytes_of)
         self.forget()
 
     def forget(self) -> None:
-        self.states: list[tuple[int, bytes]] = [(SIDE_A, b"")]
+        self.suffixes = [b""]
+        self.leads = [SIDE_A]  # which side leads in a state
         self.number: dict[tuple[int, bytes], int] = {(SIDE_A, b""): LEVEL}
-        self.steps: dict[tuple[int, int], int] = {}
+        self.steps: dict[int, int] = {}  # state << 32 | token: state after
 
     def _state(self, side: int, suffix: bytes) -> int:
         if not suffix:
             return LEVEL
         if (side, suffix) not in self.number:
-            self.number[side, suffix] = len(self.states)
-            self.states.append((side, suffix))
+            self.number[side, suffix] = len(self.suffixes)
+            self.suffixes.append(suffix)
+            self.leads.append(side)
         return self.number[side, suffix]
 
     def _step(self, state: int, token: int) -> int:
         """The state after the next token: of the side that trails, or of side A where none leads."""
-        leader, suffix = self.states[state]
+        leader, suffix = self.leads[state], self.suffixes[state]
         taker = SIDE_A if state == LEVEL else 1 - leader
         new = self.bytes_of[taker][token]
         if len(new) > len(suffix):
@@ -94,31 +97,39 @@ class Transducer:
             if not suffix.startswith(new):
                 raise ValueError("the two sides have different bytes")
             after = self._state(leader, suffix[len(new) :])
-        self.steps[state, token] = after
+        self.steps[state << 32 | token] = after
         return after
 
-    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-        """The groups of ids, and the pairs of ids that overlap, of two rows of tokens."""
+    def align(self, a: list[int], b: list[int], links: list[int]) -> list[str]:
+        """The groups of two rows of tokens, each as its ids `a1,a2|b1`; the pairs of ids that overlap are added to links (A's in the high 32 bits)."""
         if len(self.steps) > CACHE:
             self.forget()
-        groups, links, state, i, j = [], [], LEVEL, 0, 0
-        while i < len(a) or j < len(b) or state != LEVEL:
+        steps, leads, (name_a, name_b), n = self.steps, self.leads, self.names, len(a)
+        groups, state, i, j = [], LEVEL, 0, 0
+        while True:
             if state == LEVEL:
+                if i == n:
+                    break
                 token, from_i, from_j = a[i], i, j
                 i += 1
-            elif self.states[state][0] == SIDE_A:
+            elif leads[state] == SIDE_A:
                 token = b[j]
-                links.append((a[i - 1], token))
+                links.append(a[i - 1] << 32 | token)
                 j += 1
             else:
                 token = a[i]
-                links.append((token, b[j - 1]))
+                links.append(token << 32 | b[j - 1])
                 i += 1
-            after = self.steps.get((state, token))
+            after = steps.get(state << 32 | token)
             state = self._step(state, token) if after is None else after
             if state == LEVEL:
-                groups.append((a[from_i:i], b[from_j:j]))
-        return groups, links
+                if i - from_i == 1 and j - from_j == 1:
+                    groups.append(name_a[a[from_i]] + "|" + name_b[b[from_j]])
+                else:
+                    groups.append(",".join([name_a[x] for x in a[from_i:i]]) + "|" + ",".join([name_b[x] for x in b[from_j:j]]))
+        if j < len(b):
+            raise ValueError("the two sides have different bytes")
+        return groups
 
 
 class Aligner:
@@ -140,40 +151,61 @@ class Aligner:
         if any("▁" in n.lstrip("▁") for n in names):
             raise ValueError("a piece has a space mark after another character")
         self.transducer = Transducer((of_a, of_b))
-        self.forget()
-
-    def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.valid, self.n_a, self.n_b, self.n_groups, self.n_links = (array("q") for _ in range(5))
-        self.texts: list[str] = []
-        self.links = array("q")
-        self._frozen: list[np.ndarray] | None = None
+        self.counts, self.texts, self.links = array("q"), [], array("q")
+        self.again = bytearray()
+        self._frozen: tuple[np.ndarray, np.ndarray] | None = None
+
+    def _shrink(self) -> None:
+        """Forgets all stretches but those met again since they were learned (or since the last time), half of CACHE at most."""
+        *_, n_links, begin = self.columns()
+        links = self.all_links()
+        kept = [(s, k) for s, k in self.number.items() if self.again[k]][: CACHE // 2]
+        at = np.array([k for _, k in kept], dtype=np.int64)
+        counts = np.frombuffer(self.counts, dtype=np.int64).reshape(-1, 5)[at]
+        self.links = array("q", b"".join(links[begin[k] : begin[k] + n_links[k]].tobytes() for k in at))
+        self.counts, self.texts = array("q", counts.tobytes()), [self.texts[k] for k in at]
+        self.number, self.again, self._frozen = {s: i for i, (s, _) in enumerate(kept)}, bytearray(len(kept)), None
 
     def learn(self, stretches: set[str]) -> None:
         """Tokens, groups and links of stretches (without the space before them) that aren't known."""
         if len(self.number) > CACHE:
-            self.forget()
-        new = [s for s in stretches if s not in self.number]
+            self._shrink()
+        new, of_a, number, again, align = [], self.transducer.bytes_of[SIDE_A], self.number, self.again, self.transducer.align
+        for s in stretches:
+            k = number.get(s)
+            if k is None:
+                new.append(s)
+            else:
+                again[k] = 1
         if not new:
             return
         self._frozen = None
-        for s, e, b in zip(new, self.a.encode_batch([" " + s for s in new], add_special_tokens=False), self.b.encode(new, num_threads=1), strict=True):
-            a, whole = e.ids, (" " + s).encode()
-            of_a, of_b = self.transducer.bytes_of
-            same = b"".join([of_a[t] for t in a]) == whole and b"".join([of_b[t] for t in b]) == whole
-            groups, links = self.transducer.align(a, b) if same else ([], [])
-            self.number[s] = len(self.texts)
-            self.texts.append(";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups))
-            for column, n in ((self.valid, same), (self.n_a, len(a)), (self.n_b, len(b)), (self.n_groups, len(groups)), (self.n_links, len(links))):
-                column.append(int(n))
-            self.links.extend(x << 32 | y for x, y in links)
+        whole = [" " + s for s in new]
+        for s, text, e, b in zip(new, whole, self.a.encode_batch_fast(whole, add_special_tokens=False), self.b.encode(new, num_threads=1), strict=True):
+            a, links = e.ids, []
+            try:
+                groups = align(a, b, links) if b"".join([of_a[t] for t in a]) == text.encode() else None
+            except (IndexError, ValueError):  # B's bytes are others
+                groups = None
+            if groups is None:
+                groups, links = [], []
+            number[s] = len(self.texts)
+            self.texts.append(";".join(groups))
+            self.counts.extend((bool(groups), len(a), len(b), len(groups), len(links)))
+            self.links.extend(links)
+        again.extend(bytes(len(new)))
 
     def columns(self) -> list[np.ndarray]:
-        """valid, n_a, n_b, n_groups, n_links by stretch, then where its links begin, then all links."""
+        """valid, n_a, n_b, n_groups, n_links by stretch, then where its links begin."""
         if self._frozen is None:
-            found = [np.array(c, dtype=np.int64) for c in (self.valid, self.n_a, self.n_b, self.n_groups, self.n_links)]
-            self._frozen = [*found, np.cumsum(found[4]) - found[4], np.array(self.links, dtype=np.int64)]
-        return self._frozen
+            found = np.array(self.counts, dtype=np.int64).reshape(-1, 5).T.copy()
+            self._frozen = np.vstack([found, np.cumsum(found[4]) - found[4]]), np.array(self.links, dtype=np.int64)
+        return list(self._frozen[0])
+
+    def all_links(self) -> np.ndarray:
+        self.columns()
+        return self._frozen[1]
 
 
 @lru_cache(maxsize=2)
@@ -200,7 +232,8 @@ class _Document:
 
     def add(self, known: Aligner, stretches: list[str]) -> None:
         ids = np.fromiter(map(known.number.__getitem__, stretches), dtype=np.int64, count=len(stretches))
-        valid, *sums, begin, links = known.columns()
+        valid, *sums, begin = known.columns()
+        links = known.all_links()
         if not self.ok or not valid[ids].all():
             self.ok = False
             return

@@ -108,13 +108,19 @@ def test_long_texts_go_by_slices(spark, tokenizers, monkeypatch):
 def test_transducer_follows_suffixes():
     bytes_of = ([b"ab", b"c", b"abc", b"d"], [b"a", b"bcd", b"b", b"cd", b"d"])
     t = alignment.Transducer(bytes_of)
-    assert t.align([0, 1, 3], [0, 1]) == ([([0, 1, 3], [0, 1])], [(0, 0), (0, 1), (1, 1), (3, 1)])
-    assert t.align([2, 3], [0, 2, 3]) == ([([2, 3], [0, 2, 3])], [(2, 0), (2, 2), (2, 3), (3, 3)])
+
+    def align(a, b):
+        links = []
+        return t.align(a, b, links), [(x >> 32, x & 0xFFFFFFFF) for x in links]
+
+    assert align([0, 1, 3], [0, 1]) == (["0,1,3|0,1"], [(0, 0), (0, 1), (1, 1), (3, 1)])
+    assert align([2, 3], [0, 2, 3]) == (["2,3|0,2,3"], [(2, 0), (2, 2), (2, 3), (3, 3)])
     before = dict(t.steps)
-    t.align([0, 1, 3], [0, 1])
+    align([0, 1, 3], [0, 1])
     assert t.steps == before  # all steps were known
-    with pytest.raises(ValueError):
-        t.align([0], [4])
+    for a, b in (([0], [4]), ([0], [0]), ([0], [0, 2, 4])):
+        with pytest.raises((IndexError, ValueError)):
+            align(a, b)
 
 
 def test_tables_of_nothing(spark):
