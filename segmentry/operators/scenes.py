@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from segmentry.sources.tables import settled
+from segmentry.sources.tables import near, settled
 
 from .ordered import _carried, _with, neighbours, running_sum, within
 
@@ -145,9 +145,14 @@ def marks(totals: DataFrame, jobs: int) -> DataFrame:
     return totals.select("source_id", F.explode(F.sequence(F.lit(1), F.lit(jobs - 1))).alias("i"), "total").select("source_id", F.rint(F.col("total") * F.col("i") / jobs).cast("long").alias("mark"))
 
 
-def worth_splitting(total: int | None, jobs: int, min_len: int, fps: float) -> bool:
+def worth_splitting(total: int | None, jobs: int, min_len: int, fps: float, least: float = 60.0) -> bool:
     """Whether a source is long enough to be cut into segments for `jobs` tasks."""
-    return total is not None and jobs >= 2 and total >= jobs * max(2 * min_len, round(60 * fps))
+    return total is not None and jobs >= 2 and total >= jobs * shortest_span(min_len, fps, least)
+
+
+def shortest_span(min_len: int, fps: float, least: float = 60.0) -> int:
+    """Frames that each of a source's segments should have: two shortest scenes, and `least` seconds."""
+    return max(2 * min_len, round(least * fps))
 
 
 def contiguous(ready: DataFrame, by: str, on: str, begin: int = 0) -> DataFrame:
@@ -197,17 +202,41 @@ def require_scenes(scenes: DataFrame) -> DataFrame:
     return scenes
 
 
+def _in_windows(rows: DataFrame, windows: DataFrame, part: int = PART) -> DataFrame:
+    """rows (source_id, frame, ...) with the columns of each window (settled: source_id, low, high, ...) that holds them: low <= frame < high.
+
+    Windows and rows meet on stretches of `part` frames of a source, so no join is by source alone.
+    """
+    spots = windows.filter("high > low").withColumn("_spot", F.explode(F.sequence(F.floor(F.col("low") / part), F.floor((F.col("high") - 1) / part))))
+    met = rows.withColumn("_spot", F.floor(F.col("frame") / part)).join(near(settled(spots, "window-spots")), ["source_id", "_spot"])
+    return met.filter("frame >= low AND frame < high").drop("_spot")
+
+
+def windowed_candidates(frames: DataFrame, windows: DataFrame, jobs: int, halo: int = 0, width: int = 2) -> DataFrame:
+    """(source_id, part, frame): candidate cuts by the frames of each window (source_id, part, begin, end) and `halo` more to either side.
+
+    Without a halo, frames outside give no neighbours; with one of `width`, the cuts inside are those of the whole source.
+    """
+    spans = settled(windows.select(
+        "source_id", "part", "begin", "end", (F.col("source_id") * jobs + F.col("part")).alias("_id"),
+        F.greatest(F.lit(0).cast("long"), F.col("begin") - halo).alias("low"), (F.col("end") + halo).alias("high")), "spans")
+    inside = _in_windows(frames.select("source_id", "frame", "score"), spans)
+    own = inside.select(F.col("_id").alias("source_id"), (F.col("frame") - F.col("low")).alias("frame"), "score")
+    found = candidate_cuts(own, width=width).withColumnRenamed("source_id", "_id")
+    back = found.join(near(spans), "_id").withColumn("frame", F.col("frame") + F.col("low"))
+    return back.filter("frame >= begin AND frame < end").select("source_id", "part", "frame")
+
+
 def windowed_cuts(frames: DataFrame, windows: DataFrame, gap: int, jobs: int) -> DataFrame:
     """(source_id, part, frame): the cuts that detection finds which reads only the frames of a window.
 
     windows has (source_id, part, begin, end) with parts 0 to jobs - 1. A window's first frame counts as accepted, and
     frames outside give no neighbours.
     """
-    spans = windows.select("source_id", "part", "begin", "end", (F.col("source_id") * jobs + F.col("part")).alias("_id"))
-    inside = frames.select("source_id", "frame", "score").join(F.broadcast(spans), "source_id").filter("frame >= begin AND frame < end")
-    own = inside.select(F.col("_id").alias("source_id"), (F.col("frame") - F.col("begin")).alias("frame"), "score")
-    found = min_gap(candidate_cuts(own), gap).withColumnRenamed("source_id", "_id")
-    return found.join(F.broadcast(spans), "_id").select("source_id", "part", (F.col("frame") + F.col("begin")).alias("frame"))
+    spans = settled(windows.select("source_id", "part", "begin", (F.col("source_id") * jobs + F.col("part")).alias("_id")), "window-ids")
+    found = windowed_candidates(frames, windows, jobs).join(near(spans), ["source_id", "part"])
+    kept = min_gap(found.select(F.col("_id").alias("source_id"), (F.col("frame") - F.col("begin")).alias("frame")), gap).withColumnRenamed("source_id", "_id")
+    return kept.join(near(spans), "_id").select("source_id", "part", (F.col("frame") + F.col("begin")).alias("frame"))
 
 
 def boundaries(frames: DataFrame, keys: DataFrame, totals: DataFrame, jobs: int, gap: int, fps: float, before: float = 14.0, lead: float = 10.0, after: float = 30.0) -> DataFrame:
@@ -225,7 +254,7 @@ def boundaries(frames: DataFrame, keys: DataFrame, totals: DataFrame, jobs: int,
     order = Window.partitionBy("source_id").orderBy("mark")
     windows = windows.withColumn("part", F.row_number().over(order) - 1).withColumn("end", F.col("mark") + high)
     near_keys, windows = settled(near_keys, "near-keys"), settled(windows, "windows")
-    cuts = settled(windowed_cuts(frames, windows, gap, jobs), "window-cuts").join(F.broadcast(windows.select("source_id", "part", "mark")), ["source_id", "part"])
+    cuts = settled(windowed_cuts(frames, windows, gap, jobs), "window-cuts").join(near(windows.select("source_id", "part", "mark")), ["source_id", "part"])
     first = cuts.filter("frame >= mark").groupBy("source_id", "part", "mark").agg(F.min("frame").alias("cut"))
     pairs = first.join(near_keys.select("source_id", "mark", F.col("r_frame").alias("key")), ["source_id", "mark"])
     best = pairs.groupBy("source_id", "part", "mark", "cut").agg(F.min(F.struct(F.abs(F.col("key") - F.col("cut")).alias("off"), "key")).alias("x"))
@@ -245,13 +274,23 @@ def segments(found: DataFrame, totals: DataFrame, jobs: int) -> DataFrame:
     return pairs.filter("end IS NOT NULL").select("source_id", "part", F.col("frame").alias("begin"), "end", (~F.col("is_cut")).alias("joins"))
 
 
-def segmented(frames: DataFrame, keys: DataFrame, totals: DataFrame, jobs: int, gap: int, fps: float, **window: float) -> DataFrame:
-    """(source_id, start_frame, end_frame) of the scenes that are found segment by segment; segments without frames give none."""
-    parts = settled(segments(boundaries(frames, keys, totals, jobs, gap, fps, **window), totals, jobs + 1), "segments")
-    cuts = settled(windowed_cuts(frames, parts, gap, jobs + 1).select("source_id", "frame"), "segment-cuts")
-    starts = cuts.unionByName(parts.filter("begin > 0").select("source_id", F.col("begin").alias("frame")))
-    found = scenes(starts, totals)
-    return merged(found, parts.filter("joins").select("source_id", F.col("begin").alias("frame")))
+def segmented(frames: DataFrame, keys: DataFrame, totals: DataFrame, jobs: int, gap: int, fps: float, least: float = 60.0, width: int = 2, **window: float) -> DataFrame:
+    """(source_id, start_frame, end_frame) of the scenes that are found segment by segment: the same as in one pass over each source.
+
+    Sources with fewer than `jobs` times the shortest span of frames, or without a boundary inside, are one segment. A
+    segment is judged with the frames of a halo on either side, and the last accepted cut is handed from segment to
+    segment (`min_gap` maps how each may be entered to how it is left). The scene before a boundary that is no accepted
+    cut goes on behind it.
+    """
+    whole = settled(totals.filter("total > 0").select("source_id", "total"), "totals")
+    long = whole.filter(F.col("total") >= jobs * shortest_span(gap, fps, least)) if jobs >= 2 else whole.limit(0)
+    cut = segments(boundaries(frames, keys, long, jobs, gap, fps, **window), long, jobs + 1)
+    rest = whole.join(long.select("source_id"), "source_id", "left_anti").select("source_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("begin"), F.col("total").alias("end"), F.lit(False).alias("joins"))
+    parts = settled(cut.unionByName(rest), "segments")
+    found = settled(windowed_candidates(frames, parts, jobs + 1, halo=width, width=width).select("source_id", "frame"), "segment-candidates")
+    cuts = settled(min_gap(found, gap), "segment-cuts")
+    edges = parts.filter("begin > 0").select("source_id", F.col("begin").alias("frame"))
+    return merged(scenes(cuts.unionByName(edges), whole), edges.join(cuts, ["source_id", "frame"], "left_anti"))
 
 
 def segment_lengths(parts: DataFrame) -> DataFrame:

@@ -321,13 +321,6 @@ inwin AS (SELECT m.source_id, m.mark, k.frame AS key FROM marks3 m JOIN keys k O
 wins AS (SELECT source_id, mark, coalesce(max(key) FILTER (WHERE key <= mark - 10), min(key)) AS b, mark + 30 AS e FROM inwin GROUP BY ALL),
 firsts AS (SELECT w.source_id, w.mark, min(c.frame) AS cut FROM wins w JOIN totals t USING (source_id) JOIN cuts c ON c.source_id = w.source_id AND c.frame >= w.mark AND c.frame >= w.b + 2 AND c.frame < least(w.e, t.total) - 2 GROUP BY ALL),
 found AS (SELECT f.source_id, f.mark, arg_min(i.key, (abs(i.key - f.cut), i.key)) AS frame, min(abs(i.key - f.cut)) <= 1 AS is_cut FROM firsts f JOIN inwin i ON i.source_id = f.source_id AND i.mark = f.mark GROUP BY ALL)"""
-_SEGMENTED = """, bounds AS (SELECT source_id, frame, arg_max(is_cut, o) AS is_cut FROM (SELECT source_id, 0 AS frame, true AS is_cut, -1 AS o FROM totals UNION ALL SELECT source_id, total, true, 1000000000 FROM totals UNION ALL SELECT source_id, frame, is_cut, mark FROM found) GROUP BY ALL),
-segs AS (SELECT source_id, frame AS b, lead(frame) OVER (PARTITION BY source_id ORDER BY frame) AS e, is_cut FROM bounds),
-pieces AS (SELECT DISTINCT source_id, b AS frame FROM segs WHERE e IS NOT NULL UNION SELECT c.source_id, c.frame FROM cuts c JOIN segs s ON c.source_id = s.source_id AND c.frame >= s.b + 2 AND c.frame < s.e - 2),
-kept AS (SELECT p.* FROM pieces p LEFT JOIN segs s ON s.source_id = p.source_id AND s.b = p.frame AND s.e IS NOT NULL AND NOT s.is_cut WHERE s.b IS NULL)
-SELECT k.source_id, k.frame AS start_frame, coalesce(lead(k.frame) OVER (PARTITION BY k.source_id ORDER BY k.frame), total) AS end_frame FROM kept k JOIN totals USING (source_id)"""
-
-
 @query(_sql("frames totals cuts keys", f", {_SEGMENTS} SELECT source_id, mark, frame, is_cut FROM found"))
 def segment_boundaries(spark, sf_dir):
     f = _settled_frames(spark, sf_dir)
@@ -336,10 +329,14 @@ def segment_boundaries(spark, sf_dir):
     return found.select("source_id", "mark", "frame", "is_cut")
 
 
-@query(_sql("frames totals cuts keys", f", {_SEGMENTS}{_SEGMENTED}"))
+@query("WITH RECURSIVE " + ",\n".join(_PARTS[p] for p in ("frames", "totals", "cuts")) + f""",
+kept AS (SELECT source_id, CAST(0 AS BIGINT) AS frame FROM totals UNION ALL
+  SELECT k.source_id, (SELECT min(c.frame) FROM cuts c WHERE c.source_id = k.source_id AND c.frame >= k.frame + {GAP}) FROM kept k WHERE k.frame IS NOT NULL)
+SELECT source_id, frame AS start_frame, coalesce(lead(frame) OVER (PARTITION BY source_id ORDER BY frame), total) AS end_frame FROM kept JOIN totals USING (source_id) WHERE frame IS NOT NULL""")
 def segmented_scenes(spark, sf_dir):
+    # sources of SEGMENTS times 20 frames or more are cut into segments, the others not; the SQL goes through each source in one pass
     f = _settled_frames(spark, sf_dir)
-    return scenes.segmented(f, _keys(f), _totals(f), SEGMENTS, 1, 1.0)
+    return scenes.segmented(f, _keys(f), _totals(f), SEGMENTS, GAP, 1.0, least=20.0)
 
 
 @query(_sql("frames totals cuts scenes", """, n AS (SELECT source_id, count(*) AS n FROM scenes GROUP BY source_id)

@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,3 +40,8 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def near(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A settled side of a join, of numbers and flags: to be broadcast if it has at most `limit` rows, else shuffled."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

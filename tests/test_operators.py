@@ -198,3 +198,21 @@ def test_segmented_detection_equals_sequential_detection(spark):
     got = scenes.segmented(frames, keys, totals, 3, 8, 1.0, before=60, lead=40, after=150)
     want = {(r.source_id, r.start_frame, r.end_frame) for r in whole.collect()}
     assert {(r.source_id, r.start_frame, r.end_frame) for r in got.collect()} == want and len(want) == 8
+
+
+@pytest.mark.parametrize(("jobs", "gap"), [(3, 7), (5, 1), (1, 4)])
+def test_segments_hand_their_last_cut_on(spark, jobs, gap):
+    rng = random.Random(jobs)
+    sizes = {1: 900, 2: 420, 3: 59, 4: 1, 5: 300}  # the gate leaves the small ones whole
+    rows = [(s, f, 5000 if rng.random() < 0.2 else rng.randrange(900)) for s, n in sizes.items() for f in range(n)]
+    frames = spark.createDataFrame(rows, "source_id long, frame long, score long")
+    totals = spark.createDataFrame([*sizes.items(), (6, 0)], "source_id long, total long")
+    keys = spark.createDataFrame([(s, f) for s, n in sizes.items() for f in range(n) if f % 9 == 0], "source_id long, frame long")
+    whole = scenes.scenes(scenes.min_gap(scenes.candidate_cuts(frames), gap), totals)
+    got = scenes.segmented(frames, keys, totals, jobs, gap, 1.0, least=20.0)
+    want = sorted((r.source_id, r.start_frame, r.end_frame) for r in whole.collect())
+    assert sorted((r.source_id, r.start_frame, r.end_frame) for r in got.collect()) == want and len(want) > 100
+    long = totals.filter(f"total >= {jobs * scenes.shortest_span(gap, 1.0, 20.0)}")
+    inner = scenes.boundaries(frames, keys, long, jobs, gap, 1.0).collect()
+    assert {r.source_id for r in inner} == ({1, 2, 5} if jobs > 1 else set())
+    assert jobs < 3 or any(not r.is_cut for r in inner)
