@@ -41,3 +41,16 @@ def skip_reasons(items: DataFrame, key: str, needed: DataFrame, done: DataFrame,
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of one of the two frames and not the other, with `side`."""
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+
+
+def whole_groups(rows: DataFrame, by: str, bad: Column) -> DataFrame:
+    """The rows of groups (null is one) in which no row is bad: one bad part voids its source, and nothing else."""
+    void = rows.filter(bad).select(F.col(by).alias("_void")).distinct()
+    return rows.join(void, F.col(by).eqNullSafe(F.col("_void")), "left_anti")
+
+
+def parallelism(rows: DataFrame, by: list[str], begin: str, end: str) -> DataFrame:
+    """By group: busy (the sum of end - begin), wall (from the first begin to the last end), and busy / wall; null where no time has passed. Rows without both times don't count."""
+    timed = rows.filter(F.col(begin).isNotNull() & F.col(end).isNotNull())
+    sums = timed.groupBy(*by).agg(F.sum(F.col(end) - F.col(begin)).alias("busy"), (F.max(end) - F.min(begin)).alias("wall"))
+    return sums.withColumn("ratio", F.col("busy") / F.nullif("wall", F.lit(0).cast(sums.schema["wall"].dataType)))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segmentry.functions.rules import rate
+from segmentry.operators import ordered
+
+from .tables import near, settled
 
 # Patterns of scene lines and of the encoder's metric output.
 SCENE = r"frames \[\s*(\d+),\s*(\d+)\)"
@@ -34,6 +37,28 @@ def read_scenes(spark: SparkSession, path: str) -> DataFrame:
     return found
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, value): the lines of each file with their numbers from 0, however many splits a file is read in.
+
+    A split is read in order by one task, so a line's place in it is the difference of row ids, and the splits' line counts, by
+    where they begin in the file, give the rest.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), "value", F.monotonically_increasing_id().alias("_at"))
+    rows = settled(rows, "lines")
+    splits = rows.groupBy("path", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))  # a row for each split
+    shifts = settled(splits.select("path", "_block", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift")), "splits")
+    return rows.join(near(shifts), ["path", "_block"]).select("path", (F.col("_at") + F.col("_shift")).alias("line"), "value")
+
+
+def ordered_scenes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, scene, start_frame, end_frame) of the scene lists at path, numbered in the order of their lines; ValueError where no line names a scene."""
+    found = settled(scene_lines(numbered_lines(spark, path)).select("path", "line", "start_frame", "end_frame", F.floor(F.col("line") / 65536).alias("_bucket")), "scene-lines")
+    if not found.limit(1).count():
+        raise ValueError(f"no scene in {path}")
+    return ordered.position(found, ["path"], ["line"], "_bucket", "scene").select("path", "scene", "start_frame", "end_frame")
+
+
 def metric_values(df: DataFrame, column: str = "value") -> DataFrame:
     """df with ssim_y, ssim_all, ssim_db, psnr_y, psnr_avg; null where the text has none."""
     def groups(pattern: str, n: int) -> Column:
@@ -85,3 +110,10 @@ def packet_count(column: Column) -> Column:
     """The number that a packet count prints; -1 for anything but digits."""
     text = F.regexp_replace(F.regexp_replace(column, r"^\s+|\s+$", ""), ",+$", "")
     return F.coalesce(F.when(text.rlike(r"^[0-9]+$"), text.try_cast("long")), F.lit(-1))
+
+
+def hdr_probe(df: DataFrame, column: str = "value") -> DataFrame:
+    """df with transfer (the first stream's, up to a comma) and side_data (the first frame's list of side data, as text, however nested) of probe output in JSON; null where there is none, or no JSON."""
+    probed = F.try_parse_json(column)
+    transfer = F.trim(F.split_part(F.try_variant_get(probed, "$.streams[0].color_transfer", "string"), F.lit(","), F.lit(1)))
+    return df.withColumns({"transfer": transfer, "side_data": F.to_json(F.try_variant_get(probed, "$.frames[0].side_data_list", "variant"))})
