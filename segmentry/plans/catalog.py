@@ -375,3 +375,46 @@ def incomplete_parts(spark, sf_dir):
     c = _table(spark, sf_dir, "conversations").filter("turn <> 1 OR conv_id % 2 = 0")
     expected = c.groupBy("conv_id").agg(F.count_distinct("turn").alias("expected"))
     return scenes.incomplete(scenes.contiguous(c, "conv_id", "turn"), expected, "conv_id")
+
+
+@query("""WITH r AS (SELECT p_partkey AS k, p_size AS n FROM part)
+SELECT k AS p_partkey, CASE WHEN n % 11 = 0 THEN '' ELSE trim(CASE WHEN n % 3 = 0 THEN '--master-display copy --max-cll copy ' ELSE '' END
+|| CASE WHEN n % 4 = 0 THEN '--dhdr10-info copy ' ELSE '' END || CASE WHEN n % 5 = 0 THEN '--dolby-vision-rpu copy --dolby-vision-profile 10.1' ELSE '' END) END AS args FROM r""")
+def hdr_probe(spark, sf_dir):
+    n = F.col("p_size")
+    kind = lambda name: F.struct(F.struct(F.lit(name).alias("side_data_type")).alias("entry"))
+    plus, vision = kind("HDR Dynamic Metadata SMPTE2094-40 (HDR10+)"), kind("DOVI configuration record")
+    side = F.filter(F.array(F.when(n % 4 == 0, plus), F.when(n % 5 == 0, vision)), lambda x: x.isNotNull())
+    frame = F.struct(side.alias("side_data_list"))
+    other = F.struct(F.array(vision, plus).alias("side_data_list"))  # a second frame doesn't count
+    stream = F.struct(F.when(n % 3 == 0, F.lit("smpte2084")).otherwise(F.lit("bt709")).alias("color_transfer"))
+    text = F.to_json(F.struct(F.array(stream).alias("streams"), F.array(frame, other).alias("frames")))
+    probed = texts.hdr_probe(_table(spark, sf_dir, "part").select("p_partkey", F.when(n % 11 == 0, F.lit("no json")).otherwise(text).alias("value")))
+    return probed.select("p_partkey", F.concat_ws(" ", rules.hdr_args(F.col("transfer"), F.col("side_data"))).alias("args"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS frames FROM lineitem
+WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity < 3 OR l_shipdate > DATE '1998-06-01')""")
+def valid_sources(spark, sf_dir):
+    # orders are sources, lines their parts: a part of under three frames, or a late one, voids its source
+    parts = _table(spark, sf_dir, "lineitem")
+    bad = (F.col("l_quantity") < 3) | (F.col("l_shipdate") > F.lit("1998-06-01").cast("date"))
+    return metrics.whole_groups(parts, "l_orderkey", bad).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("frames"))
+
+
+@query("""WITH r AS (SELECT event_type, epoch_us(ts) AS b, epoch_us(ts) + CAST(round_even(value * 1000, 0) AS BIGINT) * 1000 AS e FROM events WHERE value >= 0)
+SELECT event_type, CAST(sum(e - b) AS BIGINT) AS busy, max(e) - min(b) AS wall, CAST(sum(e - b) AS BIGINT) / nullif(max(e) - min(b), 0) AS ratio FROM r GROUP BY event_type""")
+def wall_parallelism(spark, sf_dir):
+    begin = F.unix_micros(F.col("ts").cast("timestamp"))
+    timed = _table(spark, sf_dir, "events").filter("value >= 0").select("event_type", begin.alias("begin"), (begin + F.rint(F.col("value") * 1000).cast("long") * 1000).alias("end"))
+    return metrics.parallelism(timed, ["event_type"], "begin", "end")
+
+
+@query("""WITH k AS (SELECT user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'signup'), m AS (SELECT user_id, event_id, epoch_us(ts) AS t FROM events WHERE event_type = 'error')
+SELECT m.user_id AS source_id, m.event_id, m.t, coalesce((SELECT max(k.t) FROM k WHERE k.user_id = m.user_id AND k.t <= m.t - 10000000), (SELECT min(k.t) FROM k WHERE k.user_id = m.user_id)) AS key_t FROM m""")
+def lead_by_time(spark, sf_dir):
+    # for each mark the last keyframe at least ten seconds before it, by time, else the source's first
+    e = _table(spark, sf_dir, "events").select(F.col("user_id").alias("source_id"), "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    marks = e.filter("event_type = 'error'").withColumn("at", F.col("t") - 10_000_000)
+    keys = e.filter("event_type = 'signup'").select("source_id", F.col("t").alias("at"), F.col("t").alias("key_t"))
+    return ordered.as_of(marks, keys, BY, "at", ["key_t"], 3_600_000_000 * 24, else_first=True).select("source_id", "event_id", "t", "key_t")
