@@ -7,6 +7,7 @@ Users of `events` stand for sources: a user's events in order are frames, `value
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from segmentry.functions import rules
 from segmentry.operators import metrics, ordered, scenes
 from segmentry.sources import texts
-from segmentry.sources.tables import settled
+from segmentry.sources.tables import finished, settled
 
 FPS = 24.0
 GAP = 8
@@ -42,11 +43,16 @@ def _sql(parts: str, body: str) -> str:
 
 
 def query(sql: str | None) -> Callable:
+    """Registers a query and its SQL. Tables that it settles on the way go with it: only its result is left."""
     def named(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return finished(spark, lambda: f(spark, sf_dir), f.__name__)
+
+        QUERIES[f.__name__] = run
         if sql:
             SQL[f.__name__] = sql
-        return f
+        return run
 
     return named
 

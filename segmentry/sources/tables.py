@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,15 +36,52 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: The tables of the scratch under way; None outside any.
+_HELD: ContextVar[list[str] | None] = ContextVar("held", default=None)
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, until the process ends: what several branches of a plan read is made once."""
-    spark = df.sparkSession
+    """df as a Parquet table in the shared folder: what several branches of a plan read is made once.
+
+    The table goes with the scratch it is made in, else when the process ends.
+    """
+    spark, held = df.sparkSession, _HELD.get()
     path = f"{shared_dir(spark)}/segmentry-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(remove, spark, path)
+    if held is None:
+        atexit.register(remove, spark, path)
+    else:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables settled inside go when it ends; it gives their paths so far. A result that reads them is to be settled outside."""
+    mine: list[str] = []
+    token = _HELD.set(mine)
+    try:
+        yield mine
+    finally:
+        _HELD.reset(token)
+        for path in mine:
+            remove(spark, path)
+
+
+def finished(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The frame that `make` gives. If tables were settled for it, it is a table itself (of the scratch around this, if any) and those are gone."""
+    outer = _HELD.get()
+    with scratch(spark) as mine:
+        found = make()
+        if not mine:
+            return found
+        token = _HELD.set(outer)
+        try:
+            return settled(found, name)
+        finally:
+            _HELD.reset(token)
+
+
 def near(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A settled side of a join, of numbers and flags: to be broadcast if it has at most `limit` rows, else shuffled."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

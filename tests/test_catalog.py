@@ -36,3 +36,14 @@ def test_entry_point_runs(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_only_results_are_left(spark, tmp_path):
+    from segmentry.sources.tables import shared_dir
+
+    folder = shared_dir(spark)
+    before = set(os.listdir(folder))
+    made = [catalog.QUERIES[n](spark, SF) for n in ("segmented_scenes", "scene_index", "parse_scene_lines", "frame_index")]
+    left = set(os.listdir(folder)) - before
+    assert sorted(n.split("-")[1] for n in left) == ["parse_scene_lines", "scene_index", "segmented_scenes"]
+    assert all(d.count() for d in made)
