@@ -6,8 +6,10 @@ none) is one window. The windows' hashes are broadcast; training texts are scann
 rolling hash, and each hit is verified word by word before it counts.
 
 The broadcast is bounded: benchmark items are dealt into blocks of about `block_bytes` of text, and each block is one more
-narrow pass over the documents, so any benchmark size works without a shuffle. A block is arrays: the items' bytes,
-where their words begin and end, and windows in order of hash; about five times its text, on the driver and in a worker.
+narrow pass over the documents, without a shuffle. CHAIN passes run in one stage (a worker and a block each); what they found is
+then written, with the texts, before the next ones, so a task never has more than CHAIN workers, whatever the benchmark's
+size. A block is arrays: the items' bytes, where their words begin and end, and windows in order of hash; about five times its
+text, on the driver and in a worker.
 
 Defined cases: a null or empty text has no words and no hits; very long texts are scanned whole; a null item text has no windows; a null
 item_id counts as the empty id; repeated document rows each get their own result row; repeated items
@@ -25,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import packed, text_changed, unpacked
+from .common import packed, text_changed, unpacked, written
 
 N = 10
 BLOCK_BYTES = 8 << 20
+CHAIN = 4
 _HITS = "n_words long, spans array<int>, items array<string>"
 
 
@@ -124,6 +127,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str], n: in
         kinds = {f.name: f.dataType.simpleString() for f in out.schema.fields}
         schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carried), *(["text string"] if text else []), _HITS])
         out = out.mapInArrow(_scanner(index, carried, text), schema)
+        if (b + 1) % CHAIN == 0 and b < blocks - 1:
+            out = written(out, "hits")
     return out
 
 
