@@ -9,10 +9,12 @@ still missing. No step sees more of a source than about a millionth of it at onc
 Output shards (SHARDS, more where one would hold over SHARD_WORDS words): every pass contributes a source's blocks (the
 rest as many as it reaches). These block quotas are split over the shards by a binary tree: at each node the left half's
 quotas are one draw from the multivariate hypergeometric distribution, by a generator of the node's own, so they add up
-exactly at each level and each shard expects the same mixture. A source's blocks, permuted anew in each pass, are then
-dealt to the shards in disjoint runs as long as their quotas; each shard is one partition and sorts its documents by a hash.
+exactly at each level and each shard expects the same mixture; a node only looks at the sources that have blocks in it. A
+source's blocks, permuted anew in each pass and for each source, are then dealt to the shards in disjoint runs as long as
+their quotas; each shard is one partition and sorts its documents by a hash.
 
-Sources are metadata: one row each on the driver, at most MAX_SOURCES (checked), and four bytes a block.
+Sources are metadata: one row each on the driver, at most MAX_SOURCES (checked), and 24 bytes for each shard that a source
+reaches. Runs become a list of shards by block in Spark; these lists are broadcast if they are short, else shuffled by source.
 
 Defined cases: a null text has size 0, and rows of size 0 are never taken; a null source is a source of its
 own, last in order; sources whose texts are all empty have target 0; repeated rows are rows of their own
@@ -22,11 +24,14 @@ columns pass through `mix`.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked, written
+from .common import near, packed, unpacked, written
 
 WEIGHTS = (5, 2, 1)
 TIMES = 3
@@ -57,16 +62,43 @@ def generator(seed: int, node: int) -> np.random.Generator:
     return np.random.default_rng([seed, node])
 
 
-def split(quotas: np.ndarray, shards: int, seed: int = SEED, node: int = 1) -> np.ndarray:
-    """shards x sources: how many blocks of each source each shard gets. Sums over shards are the quotas."""
-    if shards == 1:
-        return quotas[None, :]
-    left = shards // 2
-    rng, whole = generator(seed, node), int(quotas.sum())
-    # the left half takes its part of all blocks, rounded at random
-    n = whole * left // shards + int(rng.random() * shards < whole * left % shards)
-    got = rng.multivariate_hypergeometric(quotas, n, method="marginals") if n else np.zeros_like(quotas)
-    return np.vstack([split(got, left, seed, 2 * node), split(quotas - got, shards - left, seed, 2 * node + 1)])
+def dealt(quotas: np.ndarray, shards: int, seed: int = SEED) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """In order of shards: a shard, the sources that it gets blocks of, and how many. Sums over shards are the quotas."""
+    def node(number: int, first: int, shards: int, of: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if not len(of):
+            return
+        if shards == 1:
+            yield first, of, n
+            return
+        left = shards // 2
+        rng, whole = generator(seed, number), int(n.sum())
+        # the left half takes its part of all blocks, rounded at random
+        take = whole * left // shards + int(rng.random() * shards < whole * left % shards)
+        got = rng.multivariate_hypergeometric(n, take, method="marginals") if take else np.zeros_like(n)
+        for half, at, size, part in ((2 * number, first, left, got), (2 * number + 1, first + left, shards - left, n - got)):
+            yield from node(half, at, size, of[part > 0], part[part > 0])
+
+    live = np.flatnonzero(quotas)
+    yield from node(1, 0, shards, live, quotas[live])
+
+
+def split(quotas: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
+    """shards x sources: how many blocks of each source each shard gets."""
+    out = np.zeros((shards, len(quotas)), dtype=np.int64)
+    for shard, of, n in dealt(quotas, shards, seed):
+        out[shard, of] = n
+    return out
+
+
+def runs(quotas: np.ndarray, shards: int, seed: int = SEED) -> pa.Table:
+    """(k, begin, end, shard): the run [begin, end) of the blocks dealt of source k that each shard gets."""
+    at, found = np.zeros(len(quotas), dtype=np.int64), []
+    for shard, of, n in dealt(quotas, shards, seed):
+        found.append((of.astype(np.int32), at[of], at[of] + n, np.full(len(of), shard, dtype=np.int32)))
+        at[of] += n
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32())
+    columns = [pa.array(np.concatenate(c) if found else [], t) for c, t in zip(zip(*found, strict=True) if found else [()] * 4, kinds, strict=True)]
+    return pa.table(dict(zip(("k", "begin", "end", "shard"), columns, strict=True)))
 
 
 def block_bits(size: int) -> int:
@@ -97,11 +129,11 @@ def plan(docs: DataFrame, shards: int | None = None, keep: tuple[str, ...] = (),
     known = sorted(known, key=lambda r: (r._source is None, (r._source or "").encode("utf-8", "surrogatepass")))
     want = targets([r.s for r in known]) if sum(r.s for r in known) else [0.0] * len(known)
     shares = []
-    for r, t in zip(known, want, strict=True):
+    for k, (r, t) in enumerate(zip(known, want, strict=True)):
         passes = min(TIMES, int(t // r.s)) if r.s else 0
-        shares.append((r._source, r.s, t, passes, round(t) - passes * r.s if r.s and passes < TIMES else 0, block_bits(r.s)))
+        shares.append((r._source, r.s, t, passes, round(t) - passes * r.s if r.s and passes < TIMES else 0, block_bits(r.s), k))
     shards = shards or max(SHARDS, -(-sum(r.s for r in known) // SHARD_WORDS))
-    share = F.broadcast(spark.createDataFrame(shares, "g string, source_size long, target double, passes int, rest long, bits int"))
+    share = F.broadcast(spark.createDataFrame(shares, "g string, source_size long, target double, passes int, rest long, bits int, k int"))
     of = sized.join(share, F.col("_source").eqNullSafe(F.col("g")), "left").drop("g")
     of = of.withColumns({"block": _bits(F.lit(0), F.col("bits")), "part": _bits(F.col("bits"), F.lit(10))})
 
@@ -120,10 +152,10 @@ def plan(docs: DataFrame, shards: int | None = None, keep: tuple[str, ...] = (),
 
     reached = {r[0]: r[1] + 1 for r in first}
     quotas = np.array([(s[3] << s[5]) + reached.get(s[0], 0) for s in shares], dtype=np.int64)
-    dealt = split(quotas, shards, seed).T if len(shares) and quotas.sum() else np.zeros((len(shares), shards), dtype=np.int64)
     # the shard of each of a source's blocks, in the order in which they are dealt
-    ranks = F.broadcast(spark.createDataFrame([(s[0], np.repeat(np.arange(shards), d).tolist()) for s, d in zip(shares, dealt, strict=True)], "g string, dealt array<int>"))
-    of = of.join(ranks, F.col("_source").eqNullSafe(F.col("g")), "left").drop("g")
+    lists = spark.createDataFrame(runs(quotas, shards, seed)).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("begin", "end", "shard"))).alias("x"))
+    ranks = written(lists.select("k", F.flatten(F.transform("x", lambda r: F.array_repeat(r["shard"], (r["end"] - r["begin"]).cast("int")))).alias("dealt")), "dealt")
+    of = of.join(near(ranks), "k", "left")
 
     inside = (F.col("block") == F.col("edge")) & (F.col("part") == F.col("edge_part"))
     whole = F.coalesce((F.col("block") < F.col("edge")) | ((F.col("block") == F.col("edge")) & (F.col("part") < F.col("edge_part"))), F.lit(False))
@@ -134,10 +166,12 @@ def plan(docs: DataFrame, shards: int | None = None, keep: tuple[str, ...] = (),
 
     blocks = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits"))
 
-    # block position of pass k: an odd multiple of the block number, so a permutation of all blocks
+    # block position of pass k: an odd multiple of the block number, so a permutation of all blocks, the source's own in each pass
     def copy(k: Column) -> Column:
         full = k < F.col("passes")
-        turned = F.pmod(F.col("block") * (2 * (k * 37 + seed) + 1).cast("long") + k * 101, blocks)
+        drawn = F.xxhash64(F.lit(seed), F.col("_source"), k)
+        odd = 2 * F.pmod(drawn, F.lit(1 << 20)) + 1
+        turned = F.pmod(F.col("block") * odd + F.pmod(F.call_function("shiftright", drawn, F.lit(24)), blocks), blocks)
         shard = F.get("dealt", F.when(full, k * blocks + turned).otherwise(F.col("passes") * blocks + F.col("block")).cast("int"))
         return F.struct(k.alias("pass"), shard.alias("shard"), F.when(full, F.col("size")).otherwise(F.col("rest_taken")).alias("words"))
 
