@@ -13,21 +13,28 @@ def weighted_mean(value: str, weight: str) -> Column:
     return F.sum(F.col(value) * F.col(weight)) / F.nullif(F.sum(F.when(F.col(value).isNotNull(), F.col(weight))), F.lit(0))
 
 
-def with_total(rows: DataFrame, by: list[str], sums: list[str], means: list[str], weight: str, label: str = "total", digits: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+def with_total(
+    rows: DataFrame, by: list[str], sums: list[str], means: list[str], weight: str, label: str = "total", digits: dict[str, tuple[int, int]] | None = None,
+    within: list[str] | None = None, mean_digits: int | None = None,
+) -> DataFrame:
     """Sums and weighted means by group and, with `label` in every column of `by`, over all rows: grouping sets over one scan.
 
-    digits: for a column, the decimals to which its rows are rounded before they are summed, and to which the sum is.
-    A null group is a group of its own beside the total; without rows there is still a total, of nulls.
+    within: columns for each of whose values there are groups and a total, such as a source's. digits: for a column, the
+    decimals to which its rows are rounded before they are summed, and to which the sum is; mean_digits: those of means.
+    A null group is a group of its own beside the total; without rows there is still a total, of nulls (unless `within` something).
     """
-    digits = digits or {}
-    rows = rows.select(*by, *(rounded(F.col(c), digits[c][0]).alias(c) if c in digits else F.col(c) for c in dict.fromkeys([*sums, *means, weight])), F.lit(False).alias("_none"))
-    # a row of nothing, so that the total is there for an empty table
-    none = rows.sparkSession.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields if f.name != "_none"), F.lit(True).alias("_none"))
+    digits, within = digits or {}, within or []
+    rows = rows.select(*within, *by, *(rounded(F.col(c), digits[c][0]).alias(c) if c in digits else F.col(c) for c in dict.fromkeys([*sums, *means, weight])), F.lit(False).alias("_none"))
+    if not within:
+        # a row of nothing, so that the total is there for an empty table
+        none = rows.sparkSession.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields if f.name != "_none"), F.lit(True).alias("_none"))
+        rows = rows.unionByName(none)
     total = {c: rounded(F.sum(c), digits[c][1]) if c in digits else F.sum(c) for c in sums}
-    aggregates = [*(v.alias(c) for c, v in total.items()), *(weighted_mean(c, weight).alias(c) for c in means), F.grouping("_none").alias("_all")]
-    keys = [F.col(c) for c in [*by, "_none"]]
-    found = rows.unionByName(none).groupingSets([keys, []], *keys).agg(*aggregates).filter("_all = 1 OR NOT _none")
-    return found.select(*(F.when(F.col("_all") == 1, F.lit(label)).otherwise(F.col(c)).alias(c) for c in by), *sums, *means)
+    mean = {c: weighted_mean(c, weight) if mean_digits is None else rounded(weighted_mean(c, weight), mean_digits) for c in means}
+    aggregates = [*(v.alias(c) for c, v in (total | mean).items()), F.grouping("_none").alias("_all")]
+    outer, keys = [F.col(c) for c in within], [F.col(c) for c in [*within, *by, "_none"]]
+    found = rows.groupingSets([keys, outer], *keys).agg(*aggregates).filter("_all = 1 OR NOT _none")
+    return found.select(*within, *(F.when(F.col("_all") == 1, F.lit(label)).otherwise(F.col(c).cast("string")).alias(c) for c in by), *sums, *means)
 
 
 def skip_reasons(items: DataFrame, key: str, needed: DataFrame, done: DataFrame, missing: str = "missing", finished: str = "done") -> DataFrame:

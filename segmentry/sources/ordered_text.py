@@ -13,8 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from segmentry.operators.metrics import with_total
+
 from .raw import opened
 
+# The columns of a source's metrics, in order, what is summed, and what is averaged by frames.
+METRICS = ("scene", "start_frame", "end_frame", "frames", "seek", "trim", "encode_sec", "fps", "size_mb", "ssim_all", "ssim_db", "psnr_avg", "ssim_y", "psnr_y")
+SUMS = ("frames", "encode_sec", "size_mb")
+MEANS = ("ssim_all", "ssim_db", "psnr_avg", "ssim_y", "psnr_y")
+
 
 @dataclass
 class _Made(WriterCommitMessage):
@@ -107,3 +114,14 @@ def csv_lines(rows: DataFrame, by: str, order: str, columns: list[str], label: s
     place = F.when(number == label, F.lit(2**62)).otherwise(number.try_cast("long"))
     head = rows.select(F.col(by).alias("name")).distinct().select("name", F.lit(-1).cast("long").alias("place"), F.lit(",".join(columns)).alias("value"))
     return head.unionByName(rows.select(F.col(by).alias("name"), place.alias("place"), F.concat_ws(",", *map(cell, columns)).alias("value")))
+
+
+def write_metric_files(rows: DataFrame, path: str, by: str, label: str = "total", mode: str = "append") -> None:
+    """A CSV for each value of `by`: its rows (METRICS) by scene, then sums of frames, seconds and sizes and means by frames.
+
+    Sums of seconds and sizes have one decimal, means five, both rounded as the binary value is; what a row lacks is empty.
+    """
+    total = with_total(rows.withColumn("_part", F.lit(0)), ["_part"], list(SUMS), list(MEANS), "frames", label, {"encode_sec": (2, 1), "size_mb": (2, 1)}, within=[by], mean_digits=5)
+    last = total.filter(F.col("_part").cast("string") == label).drop("_part").withColumn("scene", F.lit(label))
+    every = rows.select(by, *METRICS).withColumn("scene", F.col("scene").cast("string")).unionByName(last, allowMissingColumns=True)
+    write_ordered(csv_lines(every, by, "scene", list(METRICS), label), path, ".csv", mode)

@@ -178,3 +178,28 @@ def test_parallelism_to_wall_time(spark):
     rows = spark.createDataFrame([("x", 0.0, 4.0), ("x", 1.0, 5.0), ("x", None, 9.0), ("y", 3.0, 3.0)], "g string, begin double, end double")
     got = {r.g: (r.busy, r.wall, r.ratio) for r in metrics.parallelism(rows, ["g"], "begin", "end").collect()}
     assert got == {"x": (8.0, 5.0, 1.6), "y": (0.0, 0.0, None)}
+
+
+def test_metric_files_of_several_sources(spark, tmp_path):
+    import csv
+    import random
+
+    rng = random.Random(2)
+    rows, shape = [], "source string, scene long, start_frame long, end_frame long, frames long, seek string, trim string, encode_sec double, fps double, size_mb double, ssim_all double, ssim_db double, psnr_avg double, ssim_y double, psnr_y double"
+    for source in ("a", "b"):
+        for i in range(12):
+            n = rng.randrange(1, 300)
+            measured = [rng.random() if rng.random() < 0.8 else None for _ in range(4)]
+            rows.append((source, i, 10 * i, 10 * i + n, n, "00:00:01.000", f"0:{n}", round(rng.random() * 9, 2), 24.5, round(rng.random() * 5, 2), *measured, None))
+    ordered_text.write_metric_files(spark.createDataFrame(rows, shape).repartition(5), str(tmp_path / "out"), "source")
+    for source in ("a", "b"):
+        got = list(csv.DictReader(open(tmp_path / "out" / f"{source}.csv", newline="")))
+        mine = [r for r in rows if r[0] == source]
+        assert list(got[0]) == list(ordered_text.METRICS) and [g["scene"] for g in got] == [*(str(i) for i in range(12)), "total"]
+        assert [g["seek"] for g in got] == ["00:00:01.000"] * 12 + [""] and all(float(g["encode_sec"]) == r[7] for g, r in zip(got, mine))
+        total = got[-1]
+        assert int(total["frames"]) == sum(r[4] for r in mine) and float(total["encode_sec"]) == round(sum(r[7] for r in mine), 1) and float(total["size_mb"]) == round(sum(r[9] for r in mine), 1)
+        for k, c in enumerate(("ssim_all", "ssim_db", "psnr_avg", "ssim_y")):
+            known = [(r[4], r[10 + k]) for r in mine if r[10 + k] is not None]
+            assert float(total[c]) == pytest.approx(sum(n * v for n, v in known) / sum(n for n, _ in known), abs=1e-5)
+        assert total["psnr_y"] == "" and total["start_frame"] == ""
