@@ -11,10 +11,11 @@ like and for roles and classes that name such things, by half for words that in
 the text is about. All paths inside a damped wrapper are damped alike, so a page in a <form> or a "has-sidebar" keeps its
 article. Damped paths are not lifted by their neighbours.
 
-Blocks below the threshold, if undamped, stay with the content around them: those between two content blocks that aren't
-mostly links, and what stands in the same section as the content block next to it. Headings right before a content block stay
-whatever their class; so does the last h1 before the first one, unless it is in a page's header. A page whose best path is
-inside nav, footer, aside or the like has no article.
+Paths inside nav, footer, aside or the like are never content and have no part in the spread, so a footer of any length moves
+nothing; a page of nothing else has no article. Blocks below the threshold, if undamped, stay with the content around them:
+those between two content blocks that aren't mostly links, and what stands in the same section or the same article as the
+content block next to it. Headings right before a content block stay whatever their class; so does the last h1 before the
+first one, unless it is in a page's header (an article's own header may hold it).
 
 Text of script, style, noscript, template and head is never text, nor is what is hidden. Character references are decoded,
 white space inside a block becomes one blank, blocks are joined by an empty line. Unclosed and misnested tags are repaired as
@@ -223,6 +224,23 @@ def _home(path: tuple) -> tuple:
     return path[:n]
 
 
+def _article(path: tuple) -> tuple:
+    """The path to the innermost article; empty for none."""
+    n = len(path)
+    while n and path[n - 1].split(".")[0] != "article":
+        n -= 1
+    return path[:n]
+
+
+def _titles(block: Block) -> bool:
+    """Whether an h1 may be the article's: it is in no nav, footer, aside or the like, but for the header of an article or main."""
+    names = [x.split(".")[0] for x in block.path]
+    if not block.aside:
+        return True
+    at = max((i for i, x in enumerate(names) if x in ("article", "main")), default=-1)
+    return at >= 0 and not any(x in ASIDE and not (x == "header" and i > at) for i, x in enumerate(names))
+
+
 def _ratios(found: list[Block]) -> dict[tuple, float]:
     """Each path's fused ratio: text and punctuation per block, smoothed, damped by links and by what elements are called."""
     total: dict[tuple, list[float]] = {}
@@ -253,12 +271,10 @@ def _ratios(found: list[Block]) -> dict[tuple, float]:
 
 
 def content_paths(found: list[Block], ratio: dict[tuple, float]) -> set[tuple]:
-    """The paths whose ratio reaches the threshold; none where the best of them stands in nav, footer, aside or the like."""
-    level = SHARE * float(np.std(list(ratio.values()))) if len(ratio) > 1 else 0.0
-    best = max(ratio.values())
-    if any(b.aside and ratio[b.path] == best for b in found):
-        return set()
-    return {p for p, r in ratio.items() if r >= level and r > 0}
+    """The paths whose ratio reaches the threshold. Those in nav, footer, aside or the like are none, however long, and don't count for the spread."""
+    own = {b.path: ratio[b.path] for b in found if not b.aside}
+    level = SHARE * float(np.std(list(own.values()))) if len(own) > 1 else 0.0
+    return {p for p, r in own.items() if r >= level and r > 0}
 
 
 def main_text(page: str | None) -> str:
@@ -275,7 +291,7 @@ def main_text(page: str | None) -> str:
     leads = [False] * (len(found) + 1)  # headings with only headings between them and the next content block
     for i in range(len(found) - 1, -1, -1):
         leads[i] = found[i].path not in content and _name(found[i].path) in HEADINGS and i + 1 < len(found) and (found[i + 1].path in content or leads[i + 1])
-    title = max((i for i in range(at[0]) if _name(found[i].path) == "h1" and not found[i].aside), default=-1)
+    title = max((i for i in range(at[0]) if _name(found[i].path) == "h1" and _titles(found[i])), default=-1)
     if any(_name(found[i].path) == "h1" for i in at):
         title = -1
     kept, n = [], 0  # n: content blocks so far
@@ -287,7 +303,7 @@ def main_text(page: str | None) -> str:
         stays = leads[i] and not b.aside or i == title
         if not stays and b.factor >= least and 2 * b.links <= len(b.text):
             beside = [found[j] for j in at[max(0, n - 1) : n + 1]]  # the content block before and the one after
-            stays = 0 < n < len(at) or any(_home(b.path) == _home(x.path) for x in beside)
+            stays = 0 < n < len(at) or any(_home(b.path) == _home(x.path) or _article(b.path) and _article(b.path) == _article(x.path) for x in beside)
         if stays:
             kept.append(b.text)
     return "\n\n".join(kept)
