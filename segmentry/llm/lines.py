@@ -6,7 +6,7 @@ with it; lines are judged on the input, so what matches a removed line goes too.
 
 1.  Rarity: words are counted over all documents in 2 ** BITS hash buckets, a table of fixed size. A word's code
     opens with its bucket's rank and ends in its hash, so all lines order their words alike, rare ones first.
-2.  Lines with equal sets collapse into the first of them by two 64-bit hashes of the codes; the others are removed.
+2.  Lines with equal sets collapse into the first of them by a 64-bit hash of the codes and the rarest code; the others are removed.
 3.  The prefix filter: lines can only match if they share one of their n - ceil(percent * n / 100) + 1 rarest
     words. Where the first word they share is a frequent one (HOT), all they share are, and they share a second within one
     word more; so a frequent word's list is split by the second word. A semi-join on these keys, with the length filter, the
@@ -24,17 +24,19 @@ table gives an empty result; other columns pass through.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keyed, near, packed, scratch, small, text_changed, unpacked, written
 
 PERCENT = 80
-BITS = 17
+BITS = 19
 #: Occurrences of a bucket's words, as a power of two, from which a word is frequent.
 HOT = 16
 #: Words of a line from which its parity has 128 bits.
-LONG = 32
+LONG = 64
 #: Lines of a list that are met grow by this factor a round.
 GROW = 16
 _AT = ["rid", "pos"]
@@ -52,29 +54,30 @@ def _ranks(docs: DataFrame, bits: int) -> DataFrame:
     """One row with one array: the rarity rank of each bucket of words, a logarithm of its count, in the top 12 bits."""
     spark = docs.sparkSession
     words = docs.select(F.explode(F.split(F.replace(_plain("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w")).filter("w <> ''")
-    counts = written(words.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << bits) - 1)).alias("bucket")).agg(F.count("*").alias("n")), "counts")
+    counts = written(words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - bits).alias("bucket")).agg(F.count("*").alias("n")), "counts")
     rank = F.floor(16 * F.log2(F.coalesce("n", F.lit(0)) + F.lit(1))).cast("int")
     every = spark.range(1 << bits, numPartitions=1).join(F.broadcast(counts), F.col("id") == F.col("bucket"), "left")
     return every.select(F.sort_array(F.collect_list(F.struct("id", rank.alias("rank")))).alias("x")).select(F.transform("x.rank", lambda r: F.shiftleft(r.cast("long"), 52)).alias("ranks"))
 
 
 def _sets(docs: DataFrame, percent: int, bits: int) -> DataFrame:
-    """Each line with a word: lid, rid, pos, size n, two hashes of its set, parity, and the codes of its prefix."""
+    """Each line with a word: lid, rid, pos, size n, a hash of its set and its rarest code, parity, and the codes of its prefix."""
     lines = docs.select("rid", F.posexplode(F.split(_plain("text"), "\n")).alias("pos", "line")).filter(F.trim("line") != "").withColumn("ranks", _ranks(docs, bits).scalar())
 
     def code(h: Column) -> Column:
         # never null, so that the codes are sorted as plain longs
-        return F.coalesce(F.get("ranks", h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 12))
+        return F.coalesce(F.get("ranks", F.shiftrightunsigned(h, 64 - bits)), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 12))
 
-    codes = lines.select(*_AT, F.sort_array(F.array_distinct(F.transform(F.transform(F.array_remove(F.split("line", " "), ""), lambda w: F.xxhash64(w)), code))).alias("codes"))
+    hashes = F.array_distinct(F.transform(F.array_remove(F.split("line", " "), ""), lambda w: F.xxhash64(w)))
+    codes = lines.select(*_AT, F.sort_array(F.transform(hashes, code)).alias("codes"))
     n = F.size("codes")
 
-    def parity(of: Column) -> Column:
-        return F.aggregate(of, F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
+    def parity(bit: Callable[[Column], Column]) -> Column:
+        return F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", bit(c), c.bitwiseAND(F.lit(63)).cast("int"))))
 
     # long lines: also the parity of those words whose next bit is set
-    more = F.when(n > LONG, parity(F.filter("codes", lambda c: c.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long"))
-    return codes.select(F.monotonically_increasing_id().alias("lid"), *_AT, n.alias("n"), F.xxhash64("codes").alias("one"), F.xxhash64(F.lit(percent), "codes").alias("two"), parity(F.col("codes")).alias("parity"), more.alias("more"), F.slice("codes", 1, n - F.ceil(n * percent / 100).cast("int") + 2).alias("prefix"))
+    more = F.when(n > LONG, parity(lambda c: F.shiftrightunsigned(c, 6).bitwiseAND(F.lit(1).cast("long")))).otherwise(F.lit(0).cast("long"))
+    return codes.select(F.monotonically_increasing_id().alias("lid"), *_AT, n.alias("n"), F.xxhash64("codes").alias("one"), F.get("codes", F.lit(0)).alias("two"), parity(lambda c: F.lit(1).cast("long")).alias("parity"), more.alias("more"), F.slice("codes", 1, n - F.ceil(n * percent / 100).cast("int") + 2).alias("prefix"))
 
 
 _ROW = [*_AT, "n", "parity", "more"]
@@ -116,9 +119,17 @@ def _earlier() -> Column:
 _PAIR = ["x_rid", "x_pos", "y_rid", "y_pos"]
 
 
+def _places() -> list[Column]:
+    return [F.col(c) for c in ("x.n", "y.n", "x.i", "y.i")]
+
+
 def _pairs(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
     """Pairs of prefix rows with an earlier y that pass the filters."""
-    met = x.alias("x").join(y.alias("y"), (F.col("x.code") == F.col("y.code")) & _earlier() & _may_match(percent, *(F.col(c) for c in ("x.n", "y.n", "x.i", "y.i"))))
+    return _ids(x.alias("x").join(y.alias("y"), (F.col("x.code") == F.col("y.code")) & _earlier() & _may_match(percent, *_places())))
+
+
+def _ids(met: DataFrame) -> DataFrame:
+    """(x_rid, x_pos, y_rid, y_pos) of the pairs x and y."""
     return met.select(*(F.col(c.replace("_", ".")).alias(c) for c in _PAIR))
 
 
@@ -145,12 +156,13 @@ def _verified(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
     few = small(pairs)
 
     def side(name: str) -> DataFrame:
-        mine = words.select(F.col("rid").alias(f"{name}_rid"), F.col("pos").alias(f"{name}_pos"), F.col("words").alias(f"{name}_words"))
-        on = [f"{name}_rid", f"{name}_pos"]
-        # few pairs go to the words, so that only the words they need are shuffled
-        return mine.join(F.broadcast(pairs.select(on)), on, "left_semi") if few else mine
+        return words.select(F.col("rid").alias(f"{name}_rid"), F.col("pos").alias(f"{name}_pos"), F.col("words").alias(f"{name}_words"))
 
-    both = pairs.join(side("y"), ["y_rid", "y_pos"]).join(side("x"), ["x_rid", "x_pos"])
+    x, y = side("x"), side("y")
+    if few:
+        # few pairs go to the words, so that only the words they need are shuffled, once
+        x = x.join(F.broadcast(pairs.select("x_rid", "x_pos")), ["x_rid", "x_pos"], "left_semi")
+    both = y.join(F.broadcast(pairs) if few else pairs, ["y_rid", "y_pos"]).join(x, ["x_rid", "x_pos"])
     shared = F.size(F.array_intersect("x_words", "y_words"))
     return both.filter((100 + percent) * shared >= percent * (F.size("x_words") + F.size("y_words"))).select(F.col("x_rid").alias("rid"), F.col("x_pos").alias("pos")).distinct()
 
@@ -166,21 +178,24 @@ def later_matches(docs: DataFrame, percent: int = PERCENT, bits: int = BITS) ->
     members = written(able.join(near(at), "lid", "left_semi").select(*_ROW, "prefix"), "members")
     words = written(_words_of(docs, members.select(*_AT)), "words")
     spot = F.pmod(F.xxhash64(*_AT), F.lit(1 << 40))
-    lists = written(_lists(members, percent).withColumn("spot", spot), "lists")
-    found, open_lines, turn = copies, members, 0
+    lists = written(_lists(members, percent).withColumn("spot", spot), "keys")
+    # a list's earliest line and its number of lines; a list of one line makes no pairs
+    heads = written(lists.groupBy("code").agg(F.min(F.struct(*_ROW, "i")).alias("y"), F.count("*").alias("k")).filter("k > 1"), "heads")
+    lists = written(lists.join(heads, "code"), "lists")
+    found, open_lines, turn = copies, members.select(*_AT), 0
     while True:
-        x = _lists(open_lines, percent)
         if turn == 0:
             # of its lists' earliest lines, a line meets the earliest
-            y = lists.groupBy("code").agg(F.min(F.struct(*_ROW, "i")).alias("y")).select("code", "y.*")
-            pairs = _pairs(x, y, percent).groupBy("x_rid", "x_pos").agg(F.min(F.struct("y_rid", "y_pos")).alias("y")).select("x_rid", "x_pos", "y.*")
+            met = lists.select(F.struct(*_ROW, "i").alias("x"), "y").filter(_earlier() & _may_match(percent, *_places()))
+            pairs = _ids(met).groupBy("x_rid", "x_pos").agg(F.min(F.struct("y_rid", "y_pos")).alias("y")).select("x_rid", "x_pos", "y.*")
         else:
-            size = x.groupBy("code").agg(F.count("*").alias("open")).join(lists.groupBy("code").agg(F.count("*").alias("k")), "code")
-            size = written(size.filter(F.col("k") > (GROW ** (turn - 1) if turn > 1 else 1)).select("code", "k"), "sizes")
-            if not size.limit(1).count():
+            # lists that have met all of their lines are done
+            rest = lists.drop("y").filter(F.col("k") > (GROW ** (turn - 1) if turn > 1 else 1))
+            x = rest.join(near(open_lines), _AT, "left_semi")
+            if not x.limit(1).count():
                 return found
             upto = [F.least(F.lit(1.0), F.lit(float(GROW**t)) / F.col("k")) * F.lit(float(1 << 40)) for t in (turn - 1, turn)]
-            y = lists.join(near(size), "code").filter((F.col("spot") < upto[1]) & (F.col("spot") >= upto[0] if turn > 1 else F.lit(True)))
+            y = rest.filter((F.col("spot") < upto[1]) & (F.col("spot") >= upto[0] if turn > 1 else F.lit(True)))
             pairs = _pairs(x, y, percent).distinct()
         got = written(_verified(written(pairs, "pairs"), words, percent), "matched")
         found = found.unionByName(got)
@@ -209,7 +224,7 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         return F.slice("_lines", begin + 1, end - begin)
 
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(F.transform(ends, kept)), "\n"))
-    counts = {"n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
+    counts = {"n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
     done = joined.withColumn("_kept", text)
     return unpacked(done, docs.columns, text_changed(F.col("_kept"), docs.columns), counts)
 

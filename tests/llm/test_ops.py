@@ -298,6 +298,21 @@ def test_op4_matches_brute_force(spark, monkeypatch, hot, grow, long):
         assert got == want
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_op4_counts_lists_once_and_drops_lone_keys(spark, monkeypatch, few):
+    kept, write = {}, lines.written
+    monkeypatch.setattr(lines, "small", lambda df: few)
+    monkeypatch.setattr(lines, "GROW", 2)
+    monkeypatch.setattr(lines, "written", lambda df, name: kept.setdefault(name, []).append(write(df, name)) or kept[name][-1])
+    base = [f"b{i}" for i in range(20)]
+    rows = [(i, " ".join(base[:18] + [f"own{i}", f"odd{i}"])) for i in range(12)] + [(100 + i, f"alone{i} " * 9) for i in range(5)]
+    found = lines.later_matches(table(spark, rows).select(F.col("doc_id").alias("rid"), "text"))
+    assert {r.rid for r in found.collect()} == {i for i, (_, gone, _) in brute_lines(rows).items() if gone} == set(range(1, 12))
+    (lists,) = kept["lists"]
+    sizes = {r.code: (r["count"], r.k) for r in lists.groupBy("code", "k").count().collect()}
+    assert sizes and all(n == k > 1 for n, k in sizes.values()) and "sizes" not in kept
+
+
 def test_op4_keeps_columns(spark):
     docs = table(spark, [(1, "one two three four five\nsix"), (2, "one two three four five\nnew line here"), (3, None), (4, "")])
     got = {r.doc_id: r for r in lines.deduplicate(docs).collect()}
