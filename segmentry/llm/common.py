@@ -12,6 +12,9 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of rows that go to a Python worker at a time.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Rows of 64-bit keys that may be broadcast (about 16 MB in memory as a hashed relation each million).
 BROADCAST_ROWS = 1_000_000
 
@@ -20,6 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean(spark: SparkSession) -> None:
+    """From now on the session sends rows to Python workers in batches of BATCH_BYTES at most, unless it has a smaller limit.
+
+    A batch stands in buffers of up to twice its size outside the heap, and again in the worker: at Spark's 64 MB that is
+    several hundred MB an executor, which it keeps beside the next stage's heap.
+    """
+    if int(spark.conf.get(_BATCH).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where nothing sets it, a new one in local mode, else ValueError."""
     sc = spark.sparkContext
@@ -100,6 +113,12 @@ def packed(docs: DataFrame, *own: str) -> DataFrame:
     return docs.select(*own, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
 
+def beside(docs: DataFrame) -> DataFrame:
+    """docs' text and all other columns as the struct `row`, so that workers get a text once."""
+    others = [c for c in docs.columns if c != "text"] or ["text"]
+    return docs.select("text", F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"))
+
+
 def unpacked(rows: DataFrame, columns: list[str], changed: dict[str, Column], added: dict[str, Column] | None = None) -> DataFrame:
     """The columns of `row` with those `changed` in their place, and those `added` at the end (in place of any so named)."""
     added = added or {}

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import packed, text_changed, unpacked, written
+from .common import beside, text_changed, unpacked, written
 
 N = 10
 BLOCK_BYTES = 8 << 20
@@ -153,9 +153,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, how: str = "spans", n:
 
     Other columns stay as they are; n_chars, where there is one, follows the text.
     """
-    hits = benchmark_hits(packed(docs, "text"), benchmark, ["text", "row"], n)
+    hits = benchmark_hits(beside(docs), benchmark, ["text", "row"], n)
     if how == "documents":
-        return hits.filter(F.size("spans") == 0).select("row.*")
+        return unpacked(hits.filter(F.size("spans") == 0), docs.columns, {"text": F.col("text")})
     return unpacked(hits.mapInArrow(_cut, hits.schema), docs.columns, text_changed(F.col("text"), docs.columns))
 
 

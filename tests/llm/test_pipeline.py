@@ -4,6 +4,10 @@ import random
 
 import corpus_pipeline
 import __spark_entry__
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from segmentry.llm import common, decontaminate
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -49,3 +53,29 @@ def test_stages_on_empty_tables_repeated_rows_and_odd_columns(spark, tmp_path):
         got = out.collect()
         assert got and all(r.known == 4 and r.lang_pred == "y" for r in got), name
         assert any(r.doc_id == 4 and len(r.text) > 300_000 for r in got) or name == "mixing sources"
+
+
+def test_workers_get_texts_once_and_in_small_batches(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "nothing of this is anywhere")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.range(1500).coalesce(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("of that "), F.lit(2000)).alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(16_000).cast("long").alias("n_chars"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([b.num_rows]), "bytes": pa.array([b.nbytes])})
+
+    sent, was, key = [], decontaminate.benchmark_hits, "spark.sql.execution.arrow.maxBytesPerBatch"
+    monkeypatch.setattr(decontaminate, "benchmark_hits", lambda rows, *a: sent.append(rows) or was(rows, *a))
+    for _, stage in [corpus_pipeline.STAGES[i] for i in (0, 2, 3)]:
+        spark.conf.unset(key)
+        out = stage(spark, docs.limit(3), str(tmp_path))
+        got = docs.mapInArrow(sizes, "rows long, bytes long").collect()
+        assert sum(b.rows for b in got) == 1500 and max(b.bytes for b in got) < 1.1 * common.BATCH_BYTES
+        assert out.columns == COLUMNS
+    assert sent[0].columns == ["text", "row"] and sent[0].schema["row"].dataType.names == [c for c in COLUMNS if c != "text"]
+    spark.conf.set(key, "65536")
+    common.lean(spark)
+    assert spark.conf.get(key).rstrip("b") == "65536"
+    spark.conf.unset(key)
+    only = spark.createDataFrame([("of that",), (None,)], "text string")
+    for how in ("spans", "documents"):
+        assert sorted(decontaminate.decontaminate(only, spark.read.parquet(str(tmp_path / "benchmark.parquet")), how).collect(), key=str) == sorted(only.collect(), key=str)
