@@ -6,9 +6,9 @@ none) is one window. The windows' hashes are broadcast; training texts are scann
 rolling hash, and each hit is verified word by word before it counts.
 
 The broadcast is bounded: benchmark items are dealt into blocks of about `block_bytes` of text, and each block is one more
-narrow pass over the documents, without a shuffle. CHAIN passes run in one stage (a worker and a block each); what they found is
-then written, with the texts, before the next ones, so a task never has more than CHAIN workers, whatever the benchmark's
-size. A block is arrays: the items' bytes, where their words begin and end, and windows in order of hash; about five times its
+narrow pass over the documents, without a shuffle. CHAIN passes run in one worker, a piece of text after the other; what they found is
+then written, with the texts, before the next ones, so a task has one worker with CHAIN blocks at most, whatever the benchmark's
+size. The hit words are cut out in the worker of the last pass. A block is arrays: the items' bytes, where their words begin and end, and windows in order of hash; about five times its
 text, on the driver and in a worker.
 
 Defined cases: a null or empty text has no words and no hits; very long texts are scanned whole; a null item text has no windows; a null
@@ -19,7 +19,7 @@ item_id counts as the empty id; repeated document rows each get their own result
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,7 @@ from .common import beside, text_changed, unpacked, written
 N = 10
 BLOCK_BYTES = 8 << 20
 CHAIN = 4
+Pass = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 _HITS = "n_words long, spans array<int>, items array<string>"
 
 
@@ -112,23 +113,40 @@ def _scanner(index, columns: list[str], keep_text: bool):
     return run
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str], n: int = N, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The columns `keep` of each document with n_words, spans (word ranges [s, e, s, e, ...] that are hit) and items."""
+def _after(passes: list[Pass]) -> Pass:
+    """The passes one after the other in one worker: each worker has its own interpreter and libraries, some 100 MB."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for each in passes:
+            batches = each(batches)
+        yield from batches
+
+    return run
+
+
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str], n: int = N, block_bytes: int = BLOCK_BYTES, then: Pass | None = None) -> DataFrame:
+    """The columns `keep` of each document with n_words, spans (word ranges [s, e, s, e, ...] that are hit) and items.
+
+    then: what the last worker does with the rows, whose columns stay.
+    """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").alias("body")).filter("body IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("body") + F.octet_length("item") + 64)).first()[0] or 0
     blocks = max(1, -(-int(size) // block_bytes))
     out = docs.select(*keep, *([] if "text" in keep else ["text"]))
     carried = [c for c in keep if c != "text"]
+    kinds = {f.name: f.dataType.simpleString() for f in out.schema.fields}
+    passes: list[Pass] = []
     for b in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == b)
         index = spark.sparkContext.broadcast(Index([(r.item, r.body) for r in part.toLocalIterator()], n))
-        text = "text" in keep or b < blocks - 1
-        kinds = {f.name: f.dataType.simpleString() for f in out.schema.fields}
-        schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carried), *(["text string"] if text else []), _HITS])
-        out = out.mapInArrow(_scanner(index, carried, text), schema)
-        if (b + 1) % CHAIN == 0 and b < blocks - 1:
-            out = written(out, "hits")
+        last = b == blocks - 1
+        text = "text" in keep or not last
+        passes.append(_scanner(index, carried, text))
+        if last or (b + 1) % CHAIN == 0:
+            schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carried), *(["text string"] if text else []), _HITS])
+            out, passes = out.mapInArrow(_after([*passes, then] if last and then else passes), schema), []
+            out = out if last else written(out, "hits")
     return out
 
 
@@ -153,10 +171,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, how: str = "spans", n:
 
     Other columns stay as they are; n_chars, where there is one, follows the text.
     """
-    hits = benchmark_hits(beside(docs), benchmark, ["text", "row"], n)
     if how == "documents":
+        hits = benchmark_hits(beside(docs), benchmark, ["text", "row"], n)
         return unpacked(hits.filter(F.size("spans") == 0), docs.columns, {"text": F.col("text")})
-    return unpacked(hits.mapInArrow(_cut, hits.schema), docs.columns, text_changed(F.col("text"), docs.columns))
+    hits = benchmark_hits(beside(docs), benchmark, ["text", "row"], n, then=_cut)
+    return unpacked(hits, docs.columns, text_changed(F.col("text"), docs.columns))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

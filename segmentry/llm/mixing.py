@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import near, packed, unpacked, written
@@ -111,6 +111,14 @@ def _bits(begin: Column, size: Column) -> Column:
     return F.call_function("shiftrightunsigned", F.call_function("shiftleft", F.col("place"), begin), F.lit(64) - size).cast("int")
 
 
+def _local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """rows as a frame, by Arrow: of plain tuples Spark would make an RDD, for which each executor keeps more Python workers."""
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return spark.createDataFrame(pa.table({c: pa.array(v, kinds[t]) for c, v, t in zip(names, columns, types, strict=True)}))
+
+
 def plan(docs: DataFrame, shards: int | None = None, keep: tuple[str, ...] = (), seed: int = SEED) -> tuple[DataFrame, int]:
     """Each row of docs (its columns `keep`) with size, source, source_size, target, taken and copies; the number of shards.
 
@@ -133,7 +141,7 @@ def plan(docs: DataFrame, shards: int | None = None, keep: tuple[str, ...] = (),
         passes = min(TIMES, int(t // r.s)) if r.s else 0
         shares.append((r._source, r.s, t, passes, round(t) - passes * r.s if r.s and passes < TIMES else 0, block_bits(r.s), k))
     shards = shards or max(SHARDS, -(-sum(r.s for r in known) // SHARD_WORDS))
-    share = F.broadcast(spark.createDataFrame(shares, "g string, source_size long, target double, passes int, rest long, bits int, k int"))
+    share = F.broadcast(_local(spark, shares, "g string, source_size long, target double, passes int, rest long, bits int, k int"))
     of = sized.join(share, F.col("_source").eqNullSafe(F.col("g")), "left").drop("g")
     of = of.withColumns({"block": _bits(F.lit(0), F.col("bits")), "part": _bits(F.col("bits"), F.lit(10))})
 
@@ -144,10 +152,10 @@ def plan(docs: DataFrame, shards: int | None = None, keep: tuple[str, ...] = (),
         return run.filter((F.col("upto") >= F.col(rest)) & (F.col("upto") - F.col("s") < F.col(rest))).select("_source", F.col(level), (F.col(rest) - F.col("upto") + F.col("s")).alias("left")).collect()
 
     first = ends(of.filter("rest > 0").groupBy("_source", "block", "rest").agg(F.sum("size").alias("s")), "block", "rest")
-    edge = F.broadcast(spark.createDataFrame([tuple(r) for r in first], "g string, edge int, edge_rest long"))
+    edge = F.broadcast(_local(spark, first, "g string, edge int, edge_rest long"))
     of = of.join(edge, F.col("_source").eqNullSafe(F.col("g")), "left").drop("g")
     second = ends(of.filter("block = edge").groupBy("_source", "part", "edge_rest").agg(F.sum("size").alias("s")), "part", "edge_rest")
-    inner = F.broadcast(spark.createDataFrame([tuple(r) for r in second], "g string, edge_part int, part_rest long"))
+    inner = F.broadcast(_local(spark, second, "g string, edge_part int, part_rest long"))
     of = of.join(inner, F.col("_source").eqNullSafe(F.col("g")), "left").drop("g")
 
     reached = {r[0]: r[1] + 1 for r in first}

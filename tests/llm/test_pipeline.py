@@ -64,7 +64,7 @@ def test_workers_get_texts_once_and_in_small_batches(spark, tmp_path, monkeypatc
             yield pa.RecordBatch.from_pydict({"rows": pa.array([b.num_rows]), "bytes": pa.array([b.nbytes])})
 
     sent, was, key = [], decontaminate.benchmark_hits, "spark.sql.execution.arrow.maxBytesPerBatch"
-    monkeypatch.setattr(decontaminate, "benchmark_hits", lambda rows, *a: sent.append(rows) or was(rows, *a))
+    monkeypatch.setattr(decontaminate, "benchmark_hits", lambda rows, *a, **b: sent.append(rows) or was(rows, *a, **b))
     for _, stage in [corpus_pipeline.STAGES[i] for i in (0, 2, 3)]:
         spark.conf.unset(key)
         out = stage(spark, docs.limit(3), str(tmp_path))
@@ -79,3 +79,18 @@ def test_workers_get_texts_once_and_in_small_batches(spark, tmp_path, monkeypatc
     only = spark.createDataFrame([("of that",), (None,)], "text string")
     for how in ("spans", "documents"):
         assert sorted(decontaminate.decontaminate(only, spark.read.parquet(str(tmp_path / "benchmark.parquet")), how).collect(), key=str) == sorted(only.collect(), key=str)
+
+
+def test_decontamination_takes_one_worker_a_task(spark, tmp_path):
+    words = "the and of with that from there which would about".split()
+    texts = [" ".join(words[(i * j) % 10] for j in range(1, 30)) for i in range(1, 6)]
+    docs = spark.createDataFrame([(i, f"start {t} end", "en", "ab"[i % 2], 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    cut = corpus_pipeline.remove_benchmark(spark, docs, str(tmp_path))
+    assert plan(cut).count("MapInArrow") == 1 and {r.text for r in cut.collect()} == {"start  end"}
+    many = decontaminate.benchmark_hits(docs.select("doc_id", "text"), bench, ["doc_id"], block_bytes=40)
+    assert plan(many).count("MapInArrow") == 1 and all(r.spans == [1, 30] for r in many.collect())
